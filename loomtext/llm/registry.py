@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, langid
 
 QUERIES = {
+    "op8_language_id": langid.query,
     "op10_bpe_codec": bpe.query,
 }
 
