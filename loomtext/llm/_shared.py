@@ -117,7 +117,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _POW = _INV = np.empty(0, np.uint64)
 
 
-def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+#: White space and ASCII punctuation, for words of letters and digits only.
+NOT_WORD = np.zeros(256, bool)
+NOT_WORD[:128] = [not chr(c).isalnum() for c in range(128)]
+
+
+def word_hashes(texts: pa.Array, lower: bool = True, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, in
     order, with A-Z lower-cased if ``lower``; and for each text where its words
     start (one entry more than texts). Null counts as empty.
@@ -131,7 +136,7 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     offsets = offsets - offsets[0]
     if not len(raw):
         return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
-    word = ~_SPACE[raw]
+    word = ~space[raw]
     start = word.copy()
     start[1:] &= ~word[:-1]
     inner = offsets[1:-1][offsets[1:-1] < len(raw)]
