@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, toxicity
+from . import bpe, langid, mainhtml, toxicity
 
 QUERIES = {
+    "op7_main_html": mainhtml.query,
     "op3_toxicity_ftrl": toxicity.query,
     "op8_language_id": langid.query,
     "op10_bpe_codec": bpe.query,
