@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mainhtml, toxicity
+from . import bpe, langid, mainhtml, toxicity, warc
 
 QUERIES = {
+    "op2_warc_revisits": warc.query,
     "op7_main_html": mainhtml.query,
     "op3_toxicity_ftrl": toxicity.query,
     "op8_language_id": langid.query,
     "op10_bpe_codec": bpe.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_warc_revisits": warc.SQL,
+}
