@@ -172,6 +172,57 @@ def shingles(words: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndar
     return value, owner[base]
 
 
+#: Most ids that are broadcast to thin a table; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def thinned(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``df`` semi- or anti-joined with the stored, distinct ``ids(doc_id)``:
+    broadcast after counting if they are few, so that texts aren't shuffled."""
+    few = ids.count() <= BROADCAST_IDS
+    out = df.join(F.broadcast(ids) if few else ids, "doc_id", how)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def by_groups(df: DataFrame, keys: list[str], work, schema: str, partitions: int | None = None) -> DataFrame:
+    """Deal ``df`` out by ``keys`` and give ``work`` one pyarrow table for each
+    group, whole; it returns a table of ``schema`` or None. Groups follow each
+    other in a sorted stream, so only one group is held at a time."""
+    names = list(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                out = work(pa.Table.from_batches(held))
+                held.clear()
+                if out is not None and out.num_rows:
+                    yield from out.to_batches()
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            change = np.zeros(batch.num_rows, bool)
+            for k in names:
+                col = batch.column(k).to_numpy(zero_copy_only=False)
+                change[1:] |= col[1:] != col[:-1]
+            first = tuple(batch.column(k)[0].as_py() for k in names)
+            if last is not None and first != last:
+                yield from done()
+            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if i:
+                    yield from done()
+                held.append(batch.slice(a, b - a))
+            last = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in names)
+        yield from done()
+
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *names).sortWithinPartitions(*names).mapInArrow(run, schema)
+
+
 def components(edges: DataFrame, tag: str = "cc", most: int = 40) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: ``node, root`` for
     each node of an edge, root being the smallest node reachable.

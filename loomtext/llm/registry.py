@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, mainhtml, toxicity, warc
+from . import bpe, decontaminate, langid, mainhtml, neardup, toxicity, warc
 
 QUERIES = {
+    "op5_ngram_jaccard_join": neardup.query,
     "op9_decontaminate": decontaminate.query,
     "op2_warc_revisits": warc.query,
     "op7_main_html": mainhtml.query,
