@@ -58,10 +58,14 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(PATTERN)
         self.later = regex.compile(r"[^\x00-\u052f]")
-        code = _byte_codes()
-        self.piece = {i: bytes(code[c] for c in p) for p, i in spec["model"]["vocab"].items()}
+        shown = _byte_codes()
+        code = {c: b for b, c in shown.items()}
+        self.shown = str.maketrans({chr(b): c for b, c in shown.items()})
+        self.model = self.tokenizer.model
+        self.piece = {i: bytes([code[c] for c in p]) for p, i in spec["model"]["vocab"].items()}
         self.piece |= {i: s.encode() for s, i in self.special.items()}
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.former: dict[str, tuple[int, str, bytes]] = {}
 
     def pieces(self, text: str) -> list[str]:
         # The two regex engines know different versions of Unicode. Up to
@@ -79,18 +83,25 @@ class Codec:
             out += [part] if k % 2 else self.pieces(part)
         return out
 
+    def ids(self, word: str) -> list[int]:
+        if word in self.special:
+            return [self.special[word]]
+        return [x.id for x in self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.shown))]
+
     def learn(self, words: set[str]) -> None:
-        """Add the missing words to the table: number of ids, ids, bytes."""
-        known = self.known
-        missing = [w for w in words if w not in known]
-        if len(known) + len(missing) > TABLE_WORDS:
-            known.clear()
-            missing = list(words)
-        for a in range(0, len(missing), 4096):
-            some = missing[a : a + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids = e.ids
-                known[w] = len(ids), ",".join(map(str, ids)), b"".join([self.piece[i] for i in ids])
+        """Add the missing words to the table: number of ids, ids, bytes. A
+        full table becomes the former one, from which words move back when
+        they are met again; so frequent words are not encoded twice."""
+        if len(self.known) + len(words) > TABLE_WORDS:
+            self.former, self.known = self.known, {}
+        known, former, piece = self.known, self.former, self.piece
+        for w in words:
+            if w not in known:
+                if w not in former:
+                    ids = self.ids(w)
+                    known[w] = len(ids), ",".join(map(str, ids)), b"".join([piece[i] for i in ids])
+                else:
+                    known[w] = former[w]
 
     def run(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, ids joined by commas, decoded text."""
@@ -100,12 +111,12 @@ class Codec:
         return sum([r[0] for r in rows]), ",".join([r[1] for r in rows]), b"".join([r[2] for r in rows]).decode("utf-8", "replace")
 
 
-def _byte_codes() -> dict[str, int]:
-    """The byte that each printable stand-in of byte-level BPE means: visible
-    Latin-1 characters mean themselves, the others follow from U+0100."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
+def _byte_codes() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level BPE: visible Latin-1
+    characters stand for themselves, the others follow from U+0100."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in visible else next(rest)) for b in range(256)}
 
 
 def _mapped(docs: DataFrame, schema: str, path: str | None, row) -> DataFrame:
