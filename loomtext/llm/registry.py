@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, mainhtml, neardup, toxicity, warc
+from . import bpe, decontaminate, langid, mainhtml, metricjoin, neardup, toxicity, warc
 
 QUERIES = {
+    "op4_embedding_range_join": metricjoin.query,
     "op5_ngram_jaccard_join": neardup.query,
     "op9_decontaminate": decontaminate.query,
     "op2_warc_revisits": warc.query,
@@ -16,4 +17,5 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op2_warc_revisits": warc.SQL,
+    "op4_embedding_range_join": metricjoin.SQL,
 }
