@@ -80,17 +80,23 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """Index and weight of the non-zero coordinates, from
-    ``labelled(doc_id, text, toxic)``; None without a usable row."""
-    usable = labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    size = {r[0]: (r[1], r[2] or 0) for r in usable.groupBy("toxic").agg(F.count("*"), F.sum(F.length("text"))).collect()}
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Index and weight of the non-zero coordinates, from ``docs(doc_id, text)``
+    and ``labels(doc_id, toxic)``; None without a usable row. Ids and lengths
+    alone are joined by shuffle; the sampled ids, of bounded number, are sent
+    to the texts."""
+    labels = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    usable = docs.select("doc_id", F.length("text").alias("size")).join(labels, "doc_id")
+    size = {r[0]: (r[1], r[2] or 0) for r in usable.groupBy("toxic").agg(F.count("*"), F.sum("size")).collect()}
     if not size:
         return None
     share = {k: min(1.0, PER_LABEL / n, TRAIN_CHARS / 2 / max(1, chars)) for k, (n, chars) in size.items()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     wanted = F.when(F.col("toxic") == 1, F.lit(share.get(1, 1.0))).otherwise(F.lit(share.get(0, 1.0)))
-    rows = usable.where(draw < wanted).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    drawn = usable.where(draw < wanted).select("doc_id", "toxic").distinct()
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    if not rows.num_rows:
+        return None
     texts, labels = rows.column("text"), np.array(rows.column("toxic").to_pylist(), float)
     each: list[np.ndarray] = []
     for a in range(0, len(labels), 256):
@@ -135,7 +141,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataF
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
-    model = fit(docs.where(id_bucket("doc_id", 5) != 0).join(labels.where(id_bucket("doc_id", 5) != 0), "doc_id"))
+    model = fit(docs.where(id_bucket("doc_id", 5) != 0), labels.where(id_bucket("doc_id", 5) != 0))
     return score(docs, model).select(
         "doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )
