@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, mainhtml, metricjoin, neardup, substrings, toxicity, warc
+from . import bpe, decontaminate, katz, langid, mainhtml, metricjoin, neardup, substrings, toxicity, warc
 
 QUERIES = {
+    "op1_katz_backoff": katz.query,
     "op6_substring_dedup": substrings.query,
     "op4_embedding_range_join": metricjoin.query,
     "op5_ngram_jaccard_join": neardup.query,
