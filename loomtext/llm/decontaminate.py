@@ -23,10 +23,13 @@ once; very long texts are searched whole; a null id is not reported.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import stored, table, thinned
 
 WINDOW, SHORTEST, COVERAGE = 10, 5, 0.5
 BROADCAST_WINDOWS = 2_000_000
@@ -39,42 +42,58 @@ UNITS = (
 _NAME, _NUMBER, _UNIT = "\x01", "\x02", "\x03"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once: a column that is named and
+    then used repeatedly would be put in at each use, also within a lambda."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def marked(text: Column) -> Column:
     """The words of a text, parted by single spaces; those of slots begin with
     the mark of their type."""
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x03]", " ")
-    s = F.regexp_replace(s, r"(?<=[^\s.!?:]\s)(?=\p{Lu}\p{Ll})", _NAME)
-    s = F.trim(F.regexp_replace(F.lower(s), "[^\\p{L}\\p{M}\\p{N}\x01]+", " "))
-    s = F.when(s.contains(_NAME), F.regexp_replace(s, "(?<=\x01[^ ]{1,80}) (?=\x01)", "_")).otherwise(s)
-    digits = F.regexp_replace(F.regexp_replace(s, r"(?<=\p{N}) (?=[^ ]*\p{N})", "_"), r"(?<=^| )\x01?([^ ]*\p{N}[^ ]*)", f"{_NUMBER}$1")
-    digits = F.regexp_replace(digits, f"(\x02[^ ]*) ({'|'.join(UNITS)})(?= |$)", f"$1 {_UNIT}$2")
-    return F.when(s.rlike(r"\p{N}"), digits).otherwise(s)
+    s = F.translate(F.coalesce(text, F.lit("")), "\x01\x02\x03", "   ")
+    s = F.lower(F.regexp_replace(s, r"(?=\p{Lu}\p{Ll})(?<=[^\s.!?:]\s)", _NAME))
+    s = F.trim(F.regexp_replace(s, "[^\\p{L}\\p{M}\\p{N}\x01]+", " "))
+    s = let(s, lambda x: F.when(x.contains(_NAME), F.regexp_replace(x, " (?=\x01)(?<=\x01[^ ]{1,80} )", "_")).otherwise(x))
+
+    def numbered(x: Column) -> Column:
+        x = F.regexp_replace(F.regexp_replace(x, r" (?<=\p{N} )(?=[^ \p{N}]*+\p{N})", "_"), r"(^| )\x01?([^ \p{N}]*+\p{N}[^ ]*+)", f"$1{_NUMBER}$2")
+        return F.regexp_replace(x, f"(\x02[^ ]*) ({'|'.join(UNITS)})(?= |$)", f"$1 {_UNIT}$2")
+
+    return let(s, lambda x: F.when(x.rlike(r"\p{N}"), numbered(x)).otherwise(x))
 
 
 def template(words: Column) -> Column:
     """Template words of marked words: a slot is its mark alone."""
-    s = F.when(words.rlike("[\x01-\x03]"), F.regexp_replace(words, "([\x01-\x03])[^ ]*", "$1")).otherwise(words)
-    return F.filter(F.split(s, " "), lambda w: w != "")
+    return F.filter(F.split(F.regexp_replace(words, "([\x01-\x03])[^ ]*", "$1"), " "), lambda w: w != "")
 
 
 def _hashes(words: Column, width: int) -> Column:
     """Hashes of the windows of ``width`` words, by position."""
-    n = F.size(words) - (width - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, F.lit(width))))).otherwise(F.array().cast("array<bigint>"))
+
+    def of(w: Column) -> Column:
+        n = F.size(w) - (width - 1)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(w, i, F.lit(width))))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
 def _items(items: DataFrame) -> DataFrame:
     """Windows ``item_id, q, hash, width, total`` of the items, literal enough."""
     t = items.where("item_id is not null and text is not null").select("item_id", template(marked(F.col("text"))).alias("t")).where(F.size("t") >= SHORTEST)
     t = t.select("item_id", "t", F.least(F.size("t"), F.lit(WINDOW)).alias("width"))
-    each = F.transform(
-        F.sequence(F.lit(0), F.size("t") - F.col("width")),
-        lambda i: F.struct(
-            i.alias("q"),
-            F.xxhash64(F.slice("t", i + 1, F.col("width"))).alias("hash"),
-            F.size(F.filter(F.slice("t", i + 1, F.col("width")), lambda w: ~w.isin(_NAME, _NUMBER, _UNIT))).alias("literal"),
-        ),
-    )
+
+    def windows(x: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(x["t"]) - x["width"]),
+            lambda i: F.struct(
+                i.alias("q"),
+                F.xxhash64(F.transform(F.slice(x["t"], i + 1, x["width"]), lambda w: F.xxhash64(w))).alias("hash"),
+                F.size(F.filter(F.slice(x["t"], i + 1, x["width"]), lambda w: ~w.isin(_NAME, _NUMBER, _UNIT))).alias("literal"),
+            ),
+        )
+
+    each = let(F.struct("t", "width"), windows)
     t = t.withColumn("w", F.filter(each, lambda x: 2 * x["literal"] >= F.col("width"))).where(F.size("w") > 0)
     return t.select("item_id", "width", F.size("w").alias("total"), F.inline("w")).drop("literal")
 
@@ -90,23 +109,22 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     windows = F.broadcast(windows) if size <= BROADCAST_WINDOWS else windows
     t = docs.where("doc_id is not null and text is not null").select("doc_id", template(marked(F.col("text"))).alias("t"))
 
-    def placed(w: int) -> Column:
-        return F.transform(_hashes(F.col("t"), w), lambda h, i: F.struct(i.alias("p"), h.alias("hash"), F.lit(w).alias("width")))
+    def placed(w: int) -> DataFrame:
+        return t.select("doc_id", F.posexplode(_hashes(F.col("t"), w)).alias("p", "hash")).join(windows.where(F.col("width") == w), "hash")
 
-    each = [placed(w) for w in sorted(widths)]
+    found = reduce(DataFrame.unionByName, [placed(w) for w in sorted(widths)])
     found = (
-        t.select("doc_id", F.inline(each[0] if len(each) == 1 else F.concat(*each)))
-        .join(windows, ["hash", "width"])
+        found
         .groupBy("doc_id", "item_id", "width", "total", (F.col("p") - F.col("q")).alias("shift"))
         .agg(F.collect_set("q").alias("qs"))
     )
     # enough windows at all, before values are looked at
     pairs = found.groupBy("doc_id", "item_id").agg(F.max("total").alias("total"), F.collect_list(F.struct("shift", "qs", "width")).alias("places"))
     pairs = pairs.where(F.size(F.array_distinct(F.flatten("places.qs"))) >= COVERAGE * F.col("total"))
-    places = pairs.select("doc_id", "item_id", "total", F.inline("places"))
+    places = stored(pairs.select("doc_id", "item_id", "total", F.inline("places")), "places")
     values = F.filter(F.split(marked(F.col("text")), " "), lambda w: w != "")
     items = items.select("item_id", values.alias("iv"))
-    texts = docs.select("doc_id", values.alias("dv"))
+    texts = thinned(docs.select("doc_id", "text"), stored(places.select("doc_id").distinct(), "ids"), "left_semi").select("doc_id", values.alias("dv"))
     own = F.col("shift") + F.array_min("qs")
     span = F.array_max("qs") - F.array_min("qs") + F.col("width")
     slots = F.filter(
@@ -132,4 +150,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that no benchmark item contaminates; columns stay."""
     bad = contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return thinned(docs, stored(bad.select("doc_id").distinct(), "bad"), "left_anti")
