@@ -161,8 +161,8 @@ hard AS (SELECT *, CAST(l_left + sum(cnt) OVER (PARTITION BY row1 ORDER BY row2)
 _BWT = f""",
 t AS (SELECT string_agg(o, '' ORDER BY k) AS t FROM corpus),
 tt AS (SELECT t || substr(t, 1, {PREFIX}) AS x, length(t) AS n, string_split(t, '') AS l FROM t),
-rot AS (SELECT unnest(range(n)) AS sa, unnest(list_transform(range(n), lambda i: x[i + 1 : i + {PREFIX}])) AS r, l, n FROM tt),
-bwt AS (SELECT row_number() OVER (ORDER BY r) - 1 AS pos, sa, l[CASE WHEN sa = 0 THEN n ELSE sa END] AS ch FROM rot),
+rot AS (SELECT unnest(range(n)) AS sa, unnest(list_transform(range(n), lambda i: x[i + 1 : i + {PREFIX}])) AS r, unnest(list_concat([l[n]], l[1 : n - 1])) AS ch FROM tt),
+bwt AS (SELECT row_number() OVER (ORDER BY r) - 1 AS pos, sa, ch FROM rot),
 heads AS (SELECT pos, sa, ch FROM (SELECT *, lag(ch) OVER (ORDER BY pos) AS before FROM bwt) WHERE before IS NULL OR before <> ch),
 rl AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS run_id, ch, pos AS start, lead(pos, 1, (SELECT count(*) FROM bwt)) OVER (ORDER BY pos) - pos AS len, sa FROM heads)"""
 _PART = _text("part", "p_partkey", "p_name")
