@@ -1,12 +1,7 @@
-"""Helpers of the subpackage: reading tables, the shared work folder, bounded
-Arrow batches, vectorised word hashing and connected components."""
+"""Helpers of the subpackage: reading tables, bounded Arrow batches, vectorised word hashing and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+from ..sources.ship import ship
+
 #: Most rows of an Arrow batch that Spark hands to Python. A batch of documents
 #: then stays at some tens of MB even if every document is very long.
 ARROW_ROWS = 512
@@ -27,47 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the session's Arrow batch size to ``rows`` if it is larger."""
+    """Before work in Python: send the package to the executors, and lower the
+    session's Arrow batch size to ``rows`` if it is larger."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our
-    own where that is unset (single-machine sessions and tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = getattr(spark, "_loomtext_dir", None)
-        if place is None:
-            place = "file://" + tempfile.mkdtemp(prefix="loomtext-")
-            spark._loomtext_dir = place
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(place)
-    return place
-
-
-def _remove(spark_ref, path: str) -> None:
-    spark = spark_ref()
-    try:
-        if spark is not None and spark.sparkContext._jsc is not None:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # noqa: BLE001  the session may be gone at exit
-        pass
-
-
-def stored(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and
-    the files outlive executors. They are removed when the process ends."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    atexit.register(_remove, weakref.ref(spark), path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_bucket(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % n
 
@@ -84,6 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 _ODD = 0x9E3779B97F4A7C15
@@ -195,8 +161,10 @@ def by_groups(df: DataFrame, keys: list[str], work, schema: str, partitions: int
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                out = work(pa.Table.from_batches(held))
+                group = pa.Table.from_batches(held)
                 held.clear()
+                out = work(group)
+                del group
                 if out is not None and out.num_rows:
                     yield from out.to_batches()
 
