@@ -47,8 +47,12 @@ from pyspark.sql import functions as F
 from ._shared import by_groups, id_bucket, mix, slices, small_batches, stored, table, word_hashes
 
 K = 5
-#: Bytes of text for each bucket, and of a slice whose pairs are counted at once.
-BUCKET_BYTES, SLICE = 20_000_000, 8 << 20
+#: Bytes of text for each bucket of words and the least number of buckets; a
+#: bucket is worked on in SHELVES, one after the other. Bytes of a slice whose
+#: pairs are counted at once.
+BUCKET_BYTES, BUCKETS, SHELVES, SLICE = 40_000_000, 24, 4, 4 << 20
+#: Documents whose sums are added up by one task at a time.
+TOGETHER = 100_000
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _LOW6 = np.uint64((1 << 48) - 1)
 _NULL = -(1 << 63)
@@ -65,6 +69,11 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     return [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(-1, n).T).reshape(-1).view(kind) if n else np.empty(0, kind) for kind, n, b in planes]
 
 
+def _context(word: np.ndarray) -> np.ndarray:
+    """A context is named by six bytes of its word's hash."""
+    return mix(word) >> np.uint64(16)
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token, context (six bytes) and text of every token, end marks included."""
     words, starts = word_hashes(texts)
@@ -77,7 +86,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w[inner], w[ends] = words, END
     v = np.concatenate([[START], w[:-1]]) if len(w) else w.copy()
     v[1:][ends[:-1]] = START
-    return w, v & _LOW6, owner
+    return w, _context(v), owner
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -111,7 +120,7 @@ def _deal(docs: DataFrame, hot, n: int) -> DataFrame:
         for batch in slices(batches, "text", SLICE):
             w, v, owner = tokens(batch.column("text"))
             ids, learn = batch.column("doc_id").to_numpy(), batch.column("learn").to_numpy(zero_copy_only=False)
-            order = np.argsort(w & ~np.uint64((1 << 20) - 1) | mix(v) >> np.uint64(44), kind="stable")
+            order = np.argsort(w & ~np.uint64((1 << 20) - 1) | v >> np.uint64(28), kind="stable")
             w, v, owner = w[order], v[order], owner[order]
             new = np.ones(len(w), bool)
             new[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1])
@@ -119,20 +128,24 @@ def _deal(docs: DataFrame, hot, n: int) -> DataFrame:
             times = np.diff(np.r_[first, len(w)])
             trained = np.add.reduceat(learn[owner].astype(np.int64), first)
             pw, pv = w[first], v[first]
-            q = _bucket(pw, pv, frequent, n)
+            q = _bucket(pw, pv, frequent, n * SHELVES)
             by = np.argsort(q, kind="stable")
-            cut = np.searchsorted(q[by], np.arange(n + 1))
+            cut = np.searchsorted(q[by], np.arange(n * SHELVES + 1))
             blobs, names = [], []
             docs_of = owner.astype(np.uint32 if batch.num_rows > 65535 else np.uint16)
             for b in np.flatnonzero(np.diff(cut)):
                 k = by[cut[b] : cut[b + 1]]
                 flat = np.repeat(first[k] - np.r_[0, np.cumsum(times[k])[:-1]], times[k]) + np.arange(int(times[k].sum()))
                 used, local = np.unique(docs_of[flat], return_inverse=True)
-                blobs.append(pack(np.diff(ids[used], prepend=0), np.diff(pw[k], prepend=np.uint64(0)), np.ascontiguousarray(pv[k].view(np.uint8).reshape(-1, 8)[:, :6]).view("S6").ravel(), trained[k].astype(np.uint32), times[k].astype(np.uint32), local.astype(np.uint32)))
+                blobs.append(pack(np.diff(ids[used], prepend=0), np.diff(pw[k], prepend=np.uint64(0)), _to_six(np.diff(pv[k], prepend=np.uint64(0))), trained[k].astype(np.uint32), times[k].astype(np.uint32), local.astype(np.uint32)))
                 names.append(int(b))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["q", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([x // SHELVES for x in names], pa.int32()), pa.array([x % SHELVES for x in names], pa.int32()), pa.array(blobs, pa.binary())], names=["q", "shelf", "blob"])
+
+    return docs.select("doc_id", "text", "learn").mapInArrow(work, "q int, shelf int, blob binary")
+
 
-    return docs.select("doc_id", "text", "learn").mapInArrow(work, "q int, blob binary")
+def _to_six(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel()
 
 
 def _six(raw: np.ndarray) -> np.ndarray:
@@ -146,21 +159,53 @@ def _classes(c: np.ndarray) -> np.ndarray:
     return np.minimum(c, K + 1)
 
 
-def _counted(hot, parts: int):
+def _home(ids: np.ndarray, homes: int) -> np.ndarray:
+    """The part in which a document's sums are added up."""
+    return (mix(ids.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+
+
+def _by_home(ids: np.ndarray, homes: int, kind: str, columns: list[np.ndarray]) -> list[tuple[int, str, bytes]]:
+    home = _home(ids, homes)
+    return [(int(p), kind, pack(ids[home == p], *[c[home == p] for c in columns])) for p in np.unique(home)]
+
+
+def _rows(rows: list[tuple[int, str, bytes]]) -> pa.Table:
+    return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.string()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _counted(hot, parts: int, homes: int):
     """Of a bucket: rows ``part, kind, blob``."""
 
     def work(group: pa.Table) -> pa.Table:
+        rows, ids, sums = [], [], []
+        shelves = group.column("shelf").to_numpy()
+        for k in np.unique(shelves):
+            blobs = [group.column("blob")[int(i)].as_py() for i in np.flatnonzero(shelves == k)]
+            more, doc_ids, col = shelf(blobs)
+            rows += more
+            ids.append(doc_ids), sums.append(np.stack(col, 1))
+            if sum(map(len, ids)) > 4 * TOGETHER:
+                ids, sums = _added(ids, sums)
+                if len(ids[0]) > 3 * TOGETHER:
+                    rows += _by_home(ids[0], homes, "documents", _columns(sums[0]))
+                    ids, sums = [], []
+        if ids:
+            ids, sums = _added(ids, sums)
+            rows += _by_home(ids[0], homes, "documents", _columns(sums[0]))
+        return _rows(rows)
+
+    def shelf(blobs: list[bytes]) -> tuple[list[tuple[int, str, bytes]], np.ndarray, list[np.ndarray]]:
         frequent, exact = hot.value
         ids, w, v, trained, times, docs = ([] for _ in range(6))
         base = 0
-        for raw in group.column("blob").to_pylist():
+        for raw in blobs:
             a, b, c, d, e, f = unpack(raw)
-            ids.append(np.cumsum(a)), w.append(np.cumsum(b, dtype=np.uint64)), v.append(_six(c)), trained.append(d), times.append(e), docs.append(f.astype(np.int64) + base)
+            ids.append(np.cumsum(a)), w.append(np.cumsum(b, dtype=np.uint64)), v.append(np.cumsum(_six(c), dtype=np.uint64) & _LOW6), trained.append(d), times.append(e), docs.append(f.astype(np.int32) + np.int32(base))
             base += len(a)
         ids, w, v, trained, times, docs = map(np.concatenate, (ids, w, v, trained, times, docs))
         trained, times = trained.astype(np.int64), times.astype(np.int64)
         doc_ids, of = np.unique(ids, return_inverse=True)
-        docs, n = of[docs], len(doc_ids)
+        docs, n = of.astype(np.int32)[docs], len(doc_ids)
         # c(w): of this bucket's words, or the exact counts of the frequent
         words, at = np.unique(w, return_inverse=True)
         c = np.bincount(at, trained, len(words)).astype(np.int64)
@@ -186,17 +231,19 @@ def _counted(hot, parts: int):
         seen_words = int((c[~is_hot] > 0).sum())
         rows = [(-1, "counts", pack(n6, u6, np.array([total, seen_words])))]
         # documents: tokens by class of count
-        token = np.repeat(np.arange(len(w)), times)
-        tw, tvw = cw[token], cvw[pair[token]]
+        token = np.repeat(np.arange(len(w), dtype=np.int32), times)
+        tw, tvw = cw[token], cvw[pair][token]
         seen = tvw > 0
         col = [np.bincount(docs, minlength=n), np.bincount(docs, tw > 0, n), np.bincount(docs, np.log10(tw + 1.0), n)]
         col += [np.bincount(docs[tvw == r], minlength=n) for r in range(1, K + 1)]
-        col.append(np.bincount(docs[tvw > K], np.log10(tvw[tvw > K]), n))
+        many = tvw > K
+        col.append(np.bincount(docs[many], np.log10(tvw[many]), n))
         back = ~seen
+        del tvw
         col += [np.bincount(docs[back & (tw == r)], minlength=n) for r in range(K + 1)]
         many = back & (tw > K)
         col += [np.bincount(docs[many], np.log10(tw[many]), n), np.bincount(docs[many], minlength=n)]
-        rows.append((-1, "documents", pack(doc_ids, *[x.astype(np.float64) for x in col])))
+        del tw, many, seen
         # contexts: partial counts that make a(v)
         pv, pc_, pw = v[first], cvw, cw[first]
         some = pc_ > 0
@@ -218,20 +265,31 @@ def _counted(hot, parts: int):
             at = np.flatnonzero(new)
             times = np.diff(np.r_[at, len(bv)])
             bv, bd = bv[at], bd[at]
-            low = np.sort(frequent & _LOW6)
+            low = np.sort(_context(frequent))
             is_hot = low[np.minimum(np.searchsorted(low, bv), max(0, len(low) - 1))] == bv if len(low) else np.zeros(len(bv), bool)
             if is_hot.any():
-                rows.append((-1, "frequent", pack(bv[is_hot], doc_ids[bd[is_hot]], times[is_hot].astype(np.uint32))))
+                rows += _by_home(doc_ids[bd[is_hot]], homes, "frequent", [bv[is_hot], times[is_hot].astype(np.uint32)])
             bv, bd, times = bv[~is_hot], bd[~is_hot], times[~is_hot]
             part = (mix(bv) % np.uint64(parts)).astype(np.int64)
             for p in np.unique(part):
                 k = part == p
                 rows.append((int(p), "backoffs", pack(np.diff(bv[k], prepend=np.uint64(0)), doc_ids[bd[k]], times[k].astype(np.uint32))))
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "kind": [r[1] for r in rows], "blob": pa.array([r[2] for r in rows], pa.binary())})
+        return rows, doc_ids, col
 
     return work
 
 
+def _columns(sums: np.ndarray) -> list[np.ndarray]:
+    """Columns of whole numbers as such, which pack better."""
+    return [c.astype(np.int32) if (c == np.rint(c)).all() and c.max(initial=0) < 1 << 31 else c for c in sums.T]
+
+
+def _added(ids: list[np.ndarray], sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    name, at = np.unique(np.concatenate(ids), return_inverse=True)
+    each = np.concatenate(sums)
+    return [name], [np.stack([np.bincount(at, each[:, k], len(name)) for k in range(each.shape[1])], 1)]
+
+
 def context_terms(stats: list[np.ndarray], d2: np.ndarray, d1: np.ndarray, total: int) -> np.ndarray:
     """log10 a(v) and log10(c(v) + 1) of contexts by their counts: c, then
     n_1..n_K and the sum beyond, of pairs and of the followers' own counts."""
@@ -246,12 +304,14 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of
     ``docs(doc_id, text)``, learning from the rows where ``learn`` is true."""
     spark = docs.sparkSession
-    small_batches(spark, 2048)
+    small_batches(spark, 512)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    n = max(1, math.ceil(size / BUCKET_BYTES))
+    n = max(BUCKETS, math.ceil(size / BUCKET_BYTES))
     hot = spark.sparkContext.broadcast(_frequent(docs, rows, n))
-    tables = stored(by_groups(_deal(docs, hot, n), ["q"], _counted(hot, n), "part int, kind string, blob binary"), "katz")
+    homes = max(1, math.ceil(rows / TOGETHER))
+    schema = "part int, kind string, blob binary"
+    tables = stored(by_groups(_deal(docs, hot, n), ["q"], _counted(hot, n, homes), schema), "katz")
     n2, n1 = np.zeros(K + 2, np.int64), np.zeros(K + 2, np.int64)
     total = vocabulary = 0
     for (raw,) in tables.where("kind = 'counts'").select("blob").toLocalIterator():  # one small row a bucket
@@ -264,7 +324,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     # n_r d_r r is the mass of the words seen r times; the rest is the unknown's
     seen_mass = sum(d1[r] * r * n1[r] for r in range(1, K + 1)) + (total - sum(r * n1[r] for r in range(1, K + 1)))
     unknown = 1 - seen_mass / (total + 1)
-    frequent = np.sort(hot.value[0] & _LOW6)
+    frequent = np.sort(_context(hot.value[0]))
 
     def contexts(group: pa.Table) -> pa.Table | None:
         kinds = group.column("kind").to_pylist()
@@ -276,7 +336,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
         stats = [np.bincount(at, np.concatenate([x[i] for x in ctx]), len(name)) for i in range(1, 2 * K + 4)] if ctx else []
         log_a, log_c = context_terms(stats, d2, d1, total) if ctx else (np.empty(0), np.empty(0))
         special = np.isin(name, frequent)
-        out = [pa.table({"v": pa.array(name[special].view(np.int64)), "doc_id": pa.array(np.zeros(special.sum(), np.int64)), "value": log_a[special] + log_c[special]})]
+        rows = [(-1, "terms", pack(name[special], (log_a + log_c)[special]))] if special.any() else []
         if back:
             bv = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in back])
             doc, times = np.concatenate([x[1] for x in back]), np.concatenate([x[2] for x in back])
@@ -285,34 +345,40 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                 place = np.minimum(np.searchsorted(name, bv), len(name) - 1)
                 value = np.where(name[place] == bv, (log_a + log_c)[place], 0.0)  # no such context: a(v) = 1
             ids, which = np.unique(doc, return_inverse=True)
-            out.append(pa.table({"v": pa.nulls(len(ids), pa.int64()), "doc_id": pa.array(ids), "value": np.bincount(which, value * times, len(ids))}))
-        return pa.concat_tables(out)
+            rows += _by_home(ids, homes, "added", [np.bincount(which, value * times, len(ids))])
+        return _rows(rows) if rows else None
 
-    joined = stored(by_groups(tables.where("part >= 0"), ["part"], contexts, "v bigint, doc_id bigint, value double"), "contexts")
-    terms = joined.where("v is not null").select("v", "value").collect()  # frequent contexts only
-    term = spark.sparkContext.broadcast({r.v: r.value for r in terms})
+    joined = stored(by_groups(tables.where("kind in ('contexts', 'backoffs')"), ["part"], contexts, schema), "contexts")
+    terms: dict[int, float] = {}
+    for (raw,) in joined.where("kind = 'terms'").select("blob").toLocalIterator():  # frequent contexts only
+        v, value = unpack(bytes(raw))
+        terms |= dict(zip(v.tolist(), value.tolist()))
+    term = spark.sparkContext.broadcast(terms)
 
-    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def documents(group: pa.Table) -> pa.Table:
         logs2 = np.log10(d2[1:] * np.arange(1, K + 1))
         logs1 = np.log10(np.r_[unknown, d1[1:] * np.arange(1, K + 1) / (total + 1)])
-        for batch in batches:
-            for kind, raw in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist()):
-                if kind == "documents":
-                    ids, *x = unpack(raw)
-                    value = np.stack(x[3 : 3 + K], 1) @ logs2 + x[3 + K] - x[2]
-                    value += np.stack(x[4 + K : 5 + 2 * K], 1) @ logs1 + x[5 + 2 * K] - x[6 + 2 * K] * np.log10(total + 1)
-                    out = [ids, x[0].astype(np.int64), x[1].astype(np.int64), x[2], value]
-                else:
-                    v, ids, times = unpack(raw)
-                    value = np.array([term.value.get(int(k), 0.0) for k in v.view(np.int64)]) * times
-                    zero = np.zeros(len(ids), np.int64)
-                    out = [ids, zero, zero, zero.astype(float), value]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["doc_id", "n_tokens", "n_known", "logs", "value"])
-
-    parts = tables.where("kind in ('documents', 'frequent')").select("kind", "blob").mapInArrow(documents, "doc_id bigint, n_tokens bigint, n_known bigint, logs double, value double")
-    zero = F.lit(0).cast("bigint")
-    parts = parts.unionByName(joined.where("v is null").select("doc_id", zero.alias("n_tokens"), zero.alias("n_known"), F.lit(0.0).alias("logs"), "value"))
-    sums = parts.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "value")])
+        ids, sums = [], []
+        for kind, raw in zip(group.column("kind").to_pylist(), group.column("blob").to_pylist()):
+            own, *x = unpack(raw)
+            out = np.zeros((len(own), 4))
+            if kind == "documents":
+                out[:, 0], out[:, 1], out[:, 2] = x[0], x[1], x[2]
+                out[:, 3] = np.stack(x[3 : 3 + K], 1) @ logs2 + x[3 + K] - x[2]
+                out[:, 3] += np.stack(x[4 + K : 5 + 2 * K], 1) @ logs1 + x[5 + 2 * K] - x[6 + 2 * K] * np.log10(total + 1)
+            elif kind == "frequent":
+                out[:, 3] = np.array([term.value.get(v, 0.0) for v in x[0].tolist()]) * x[1]
+            else:
+                out[:, 3] = x[0]
+            # added up as they come, so that one document is one row throughout
+            ids.append(own), sums.append(out)
+            if sum(map(len, ids)) > 4 * TOGETHER:
+                ids, sums = _added(ids, sums)
+        ids, sums = _added(ids, sums)
+        return pa.table({"doc_id": ids[0], "n_tokens": sums[0][:, 0].astype(np.int64), "n_known": sums[0][:, 1].astype(np.int64), "logs": sums[0][:, 2], "value": sums[0][:, 3]})
+
+    parts = tables.where("kind in ('documents', 'frequent')").unionByName(joined.where("kind = 'added'"))
+    sums = by_groups(parts, ["part"], documents, "doc_id bigint, n_tokens bigint, n_known bigint, logs double, value double")
     base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(total + vocabulary + 1))
     return sums.select(F.when(F.col("doc_id") != _NULL, F.col("doc_id")).alias("doc_id"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"), F.col("value").alias("score"))
 
