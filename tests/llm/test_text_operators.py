@@ -246,7 +246,7 @@ def katz_by_hand(rows, learn):
     return out
 
 
-@pytest.mark.parametrize("bucket,together", [(8_000_000, 100_000), (2_000, 7)])
+@pytest.mark.parametrize("bucket,together", [(40_000_000, 100_000), (200, 7)])
 def test_katz(spark, monkeypatch, bucket, together):
     monkeypatch.setattr(katz, "BUCKET_BYTES", bucket)
     monkeypatch.setattr(katz, "TOGETHER", together)
