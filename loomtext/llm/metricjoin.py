@@ -101,7 +101,11 @@ def _join(group: pa.Table, similarity: float) -> pa.Table | None:
         if (new == low).all():
             break
         low = new
-    return pa.table({"rep": rep[probe][hit], "low": low, "links": (links @ copies[home]).astype(np.int64)})
+    # both sides tell what they reach: else a link of two vectors that each
+    # reach another, smaller one would be lost to the components
+    met = links.any(0)
+    counts = np.concatenate([(links @ copies[home]).astype(np.int64), np.zeros(int(met.sum()), np.int64)])
+    return pa.table({"rep": np.concatenate([rep[probe][hit], rep[home][met]]), "low": np.concatenate([low, other[met]]), "links": counts})
 
 
 def range_join(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
