@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,12 @@ from pyspark.sql import functions as F
 from ..sources.scratch import stored
 from ..sources.ship import ship
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  other C libraries don't have it
+except (OSError, AttributeError):
+    _LIBC = None
+
 #: Most rows of an Arrow batch that Spark hands to Python. A batch of documents
 #: then stays at some tens of MB even if every document is very long.
 ARROW_ROWS = 512
@@ -37,6 +44,14 @@ def id_bucket(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % n
 
 
+def trim() -> None:
+    """Give freed memory back to the system; workers live long, and what they
+    keep for later counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``limit`` bytes in each; one
     longer value stays whole and makes a slice of its own."""
@@ -49,7 +64,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
-        pa.default_memory_pool().release_unused()
+        trim()
 
 
 _ODD = 0x9E3779B97F4A7C15
@@ -164,7 +179,10 @@ def by_groups(df: DataFrame, keys: list[str], work, schema: str, partitions: int
                 group = pa.Table.from_batches(held)
                 held.clear()
                 out = work(group)
+                large = group.nbytes > 1 << 20
                 del group
+                if large:
+                    trim()
                 if out is not None and out.num_rows:
                     yield from out.to_batches()
 

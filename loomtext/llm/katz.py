@@ -44,13 +44,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import by_groups, id_bucket, mix, slices, small_batches, stored, table, word_hashes
+from ._shared import by_groups, id_bucket, mix, slices, small_batches, stored, table, trim, word_hashes
 
 K = 5
 #: Bytes of text for each bucket of words and the least number of buckets; a
 #: bucket is worked on in SHELVES, one after the other. Bytes of a slice whose
 #: pairs are counted at once.
-BUCKET_BYTES, BUCKETS, SHELVES, SLICE = 40_000_000, 24, 4, 4 << 20
+BUCKET_BYTES, BUCKETS, SHELVES, SLICE = 40_000_000, 24, 8, 4 << 20
 #: Documents whose sums are added up by one task at a time.
 TOGETHER = 100_000
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
@@ -177,24 +177,24 @@ def _counted(hot, parts: int, homes: int):
     """Of a bucket: rows ``part, kind, blob``."""
 
     def work(group: pa.Table) -> pa.Table:
-        rows, ids, sums = [], [], []
+        rows, held = [], []
         shelves = group.column("shelf").to_numpy()
         for k in np.unique(shelves):
-            blobs = [group.column("blob")[int(i)].as_py() for i in np.flatnonzero(shelves == k)]
-            more, doc_ids, col = shelf(blobs)
+            more, columns = shelf([group.column("blob")[int(i)].as_py() for i in np.flatnonzero(shelves == k)])
             rows += more
-            ids.append(doc_ids), sums.append(np.stack(col, 1))
-            if sum(map(len, ids)) > 4 * TOGETHER:
-                ids, sums = _added(ids, sums)
-                if len(ids[0]) > 3 * TOGETHER:
-                    rows += _by_home(ids[0], homes, "documents", _columns(sums[0]))
-                    ids, sums = [], []
-        if ids:
-            ids, sums = _added(ids, sums)
-            rows += _by_home(ids[0], homes, "documents", _columns(sums[0]))
+            held.append(columns)
+            if sum(len(x[0]) for x in held) > TOGETHER:
+                held = [_merged(held)]
+                if len(held[0][0]) > 3 * TOGETHER:
+                    rows += _by_home(held[0][0], homes, "documents", held[0][1:])
+                    held = []
+            trim()
+        if held:
+            merged = _merged(held)
+            rows += _by_home(merged[0], homes, "documents", merged[1:])
         return _rows(rows)
 
-    def shelf(blobs: list[bytes]) -> tuple[list[tuple[int, str, bytes]], np.ndarray, list[np.ndarray]]:
+    def shelf(blobs: list[bytes]) -> tuple[list[tuple[int, str, bytes]], list[np.ndarray]]:
         frequent, exact = hot.value
         ids, w, v, trained, times, docs = ([] for _ in range(6))
         base = 0
@@ -274,14 +274,20 @@ def _counted(hot, parts: int, homes: int):
             for p in np.unique(part):
                 k = part == p
                 rows.append((int(p), "backoffs", pack(np.diff(bv[k], prepend=np.uint64(0)), doc_ids[bd[k]], times[k].astype(np.uint32))))
-        return rows, doc_ids, col
+        return rows, [doc_ids, *map(_compact, col)]
 
     return work
 
 
-def _columns(sums: np.ndarray) -> list[np.ndarray]:
-    """Columns of whole numbers as such, which pack better."""
-    return [c.astype(np.int32) if (c == np.rint(c)).all() and c.max(initial=0) < 1 << 31 else c for c in sums.T]
+def _compact(column: np.ndarray) -> np.ndarray:
+    """Whole numbers as such, which take less room."""
+    return column.astype(np.int32) if column.max(initial=0) < 1 << 31 and (column == np.rint(column)).all() else column
+
+
+def _merged(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Ids and columns with the columns of equal ids added up."""
+    name, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+    return [name, *[_compact(np.bincount(at, np.concatenate([x[k] for x in held]), len(name))) for k in range(1, len(held[0]))]]
 
 
 def _added(ids: list[np.ndarray], sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
