@@ -17,6 +17,9 @@ def work_dir(spark: SparkSession) -> str:
     if not place:
         place = getattr(spark, "_loomtext_dir", None)
         if place is None:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             place = "file://" + tempfile.mkdtemp(prefix="loomtext-")
             spark._loomtext_dir = place
     return place

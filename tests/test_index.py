@@ -133,3 +133,27 @@ def test_bad_parameters(spark):
         TextIndex(None, w1=0)
     with pytest.raises(ValueError):
         TextIndex.of_strings(spark, ["a"]).chunk_plan(0)
+
+
+def test_command_line(spark, tmp_path):
+    from loomtext.__main__ import main, options
+
+    spark.createDataFrame([(1, "banana"), (2, "ananas")], "k long, t string").write.parquet(str(tmp_path / "in"))
+    main([str(tmp_path / "in"), "k", "t", str(tmp_path / "out"), "--chunks", "2"])
+    t, sa, b = naive(["banana", "ananas"], 4)
+    assert [r.start for r in load(spark, str(tmp_path / "out"), "rlbwt").orderBy("run_id").collect()] == heads(b)
+    assert [r.sa for r in load(spark, str(tmp_path / "out"), "ssa").orderBy("run_id").collect()] == [sa[i] for i in heads(b)]
+    assert load(spark, str(tmp_path / "out"), "chunks").agg(F.sum("cnt")).first()[0] == len(t)
+    with pytest.raises(SystemExit):
+        options().parse_args(["--version"])
+
+
+def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from loomtext.sources import scratch
+
+    class Cluster:
+        conf, sparkContext = spark.conf, type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.work_dir(Cluster())
+    assert scratch.work_dir(spark).startswith("file:")
