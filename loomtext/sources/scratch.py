@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import weakref
@@ -30,9 +31,12 @@ def _remove(spark_ref, path: str) -> None:
     try:
         if spark is not None and spark.sparkContext._jsc is not None:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # noqa: BLE001  the session may be gone at exit
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone at exit
         pass
+    local = path.removeprefix("file://").removeprefix("file:")
+    if local.startswith("/"):
+        shutil.rmtree(local, ignore_errors=True)
 
 
 def stored(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:

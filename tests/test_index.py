@@ -148,12 +148,16 @@ def test_command_line(spark, tmp_path):
         options().parse_args(["--version"])
 
 
-def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+def test_cluster_needs_a_shared_folder(spark):
     from loomtext.sources import scratch
 
-    class Cluster:
-        conf, sparkContext = spark.conf, type("Context", (), {"master": "spark://host:7077"})
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    def session(master):
+        return type("Session", (), {"conf": Conf(), "sparkContext": type("Context", (), {"master": master})})()
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch.work_dir(Cluster())
-    assert scratch.work_dir(spark).startswith("file:")
+        scratch.work_dir(session("spark://host:7077"))
+    assert scratch.work_dir(session("local[4]")).startswith("file:")
