@@ -24,7 +24,7 @@ except (OSError, AttributeError):
 #: then stays at some tens of MB even if every document is very long.
 ARROW_ROWS = 512
 #: Texts are worked on in slices of about so many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,16 +86,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n:
-        size = 1 << (n - 1).bit_length()
-        _POW = np.multiply.accumulate(np.full(size, _ODD, np.uint64))
-        _INV = np.multiply.accumulate(np.full(size, pow(_ODD, -1, 1 << 64), np.uint64))
-    return _POW, _INV
+_LOW = 1 << 16
+_POWERS, _INVERSES = (np.multiply.accumulate(np.full(_LOW, p, np.uint64)) for p in (_ODD, pow(_ODD, -1, 1 << 64)))
 
 
-_POW = _INV = np.empty(0, np.uint64)
+def _power(low: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The powers ``at`` + 1 of a number, from its first 65,536: no table of a
+    text's length has to stay in memory."""
+    high = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(at[-1] >> 16) if len(at) else 0, low[-1])]))
+    return high[at >> 16] * low[at & (_LOW - 1)]
 
 
 #: White space and ASCII punctuation, for words of letters and digits only.
@@ -126,12 +125,11 @@ def word_hashes(texts: pa.Array, lower: bool = True, space: np.ndarray = _SPACE)
     last = word.copy()
     last[:-1] &= ~word[1:] | start[1:]
     end = np.flatnonzero(last)
-    power, inverse = _powers(len(raw))
     codes = _TABLE[_LOWER[raw] if lower else raw]
-    codes *= power[: len(raw)]
+    codes *= _power(_POWERS, np.arange(len(raw), dtype=np.int32 if len(raw) < 1 << 31 else np.int64))
     np.cumsum(codes, out=codes)
     total = codes[end] - np.where(first > 0, codes[first - 1], np.uint64(0))
-    total *= inverse[first]
+    total *= _power(_INVERSES, first)
     total ^= (end - first + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix(total), np.searchsorted(first, offsets)
 

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from ._shared import slices, small_batches, table
 
 #: Words in a task's table, and ids in a decoded one.
-TABLE_WORDS = 200_000
+TABLE_WORDS = 100_000
 #: The tokenizer's file in the package of vocabularies.
 VOCABULARY = "byte_bpe_50k.json"
 
