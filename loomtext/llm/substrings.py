@@ -9,6 +9,10 @@ ends in c..r. Only windows with room for ``LEAST`` shingles (passages of
 are joined with the first of them in the corpus (the smallest document, then
 place), so a passage that very many documents share costs a row each and not a
 pair each; the intervals that overlap across hash functions make a candidate.
+A window that this leaves with a place not found is then compared with all
+windows of its minimum in smaller documents, those of equal surroundings once:
+an index of the surroundings' shingles, rarest first, gives every one that can
+reach ``SIMILARITY``, so a line that recurs in many surroundings costs no pairs.
 
 Candidates are verified on the shingles themselves: a place of a document is
 repeated if it lies in a stretch of LEAST shingles of which so many stand in
@@ -136,17 +140,152 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = np.frombuffer(raw, np.uint32)
             a, b = _distances(np.array(ats, np.int64))
             parts.append(b"".join(s[max(0, i - WIDTH) : j + WIDTH].tobytes() for i, j in _merged(a, b)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source_id"), batch.column("here"), pa.array(parts, pa.binary())], names=["doc_id", "source_id", "here", "other"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source_id", "here", "keys")), pa.array(parts, pa.binary())], names=["doc_id", "source_id", "here", "keys", "other"])
+
+
+_RANGE = "doc_id bigint, source_id bigint, a bigint, b bigint"
+
+
+def _ranges(doc: int, source: np.ndarray) -> dict[str, pa.Array]:
+    """The found places of a document, in ranges of one source."""
+    none = np.iinfo(np.int64).max
+    edge = np.flatnonzero(np.diff(np.r_[none, source, none]))
+    a, b = edge[:-1], edge[1:]
+    found = source[a] < none
+    a, b = a[found], b[found]
+    return {"doc_id": pa.array(np.full(len(a), doc)), "source_id": pa.array(source[a]), "a": pa.array(a), "b": pa.array(b)}
 
 
 def _verified(group: pa.Table) -> pa.Table | None:
-    """Spans of one document, in words, each with its smallest source."""
+    """The places found in one document, each with its smallest source; and its
+    windows of minima that others share, with a mark of the shingles around
+    and, if a place of the window isn't found, which places aren't."""
     own = np.frombuffer(group.column("shingles")[0].as_py(), np.uint32)
     source = np.full(len(own), np.iinfo(np.int64).max)
+    ats, keys = [], []
     for k in range(group.num_rows):
-        a, b = _distances(np.asarray(group.column("here")[k].as_py(), np.int64))
+        here = np.asarray(group.column("here")[k].as_py(), np.int64)
+        a, b = _distances(here)
         hit = repeated_places(own, np.frombuffer(group.column("other")[k].as_py(), np.uint32), _merged(a - WIDTH, b + WIDTH))
         source[hit] = np.minimum(source[hit], group.column("source_id")[k].as_py())
+        key = group.column("keys")[k].values
+        shared = key.is_valid().to_numpy(zero_copy_only=False)
+        ats.append(here[shared])
+        keys.append(key.drop_null().to_numpy())
+    doc = group.column("doc_id")[0].as_py()
+    at, key = np.concatenate(ats), np.concatenate(keys)
+    left = source == np.iinfo(np.int64).max
+    a, b = _distances(at)
+    lo, hi = np.maximum(a - WIDTH, 0), np.minimum(b + WIDTH, len(own))
+    n_left = np.concatenate([[0], np.cumsum(left)])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own.astype(np.uint64)))])
+    mark = mix(sums[hi] - sums[lo]) ^ (hi - lo).astype(np.uint64)
+    opened = n_left[np.minimum(b, len(own))] > n_left[a]
+    bits = [np.packbits(left[i:j]).tobytes() if o else None for i, j, o in zip(lo, hi, opened)]
+    windows = {"doc_id": pa.array(np.full(len(at), doc)), "key": pa.array(key, pa.int64()), "at": pa.array(at), "mark": pa.array(mark.view(np.int64)), "left": pa.array(bits, pa.binary())}
+    return pa.concat_tables([pa.table(_ranges(doc, source)), pa.table(windows)], promote_options="default").select(["doc_id", "source_id", "a", "b", "key", "at", "mark", "left"])
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles around each window of a document."""
+    for batch in batches:
+        for doc, windows, raw in zip(batch.column("doc_id").to_pylist(), batch.column("windows"), batch.column("shingles").to_pylist()):
+            s, w = np.frombuffer(raw, np.uint32), windows.values
+            at = w.field("at").to_numpy()
+            a, b = _distances(at)
+            lo = np.maximum(a - WIDTH, 0)
+            cut = [s[i:j].tobytes() for i, j in zip(lo, b + WIDTH)]
+            yield pa.RecordBatch.from_arrays([w.field("key"), pa.array(np.full(len(w), doc)), pa.array(lo), w.field("left"), pa.array(cut, pa.binary())], names=["key", "doc_id", "lo", "left", "around"])
+
+
+def rejoined(docs: np.ndarray, los: list[int], lefts: list[bytes | None], around: list[np.ndarray], needed: int = NEEDED) -> list[tuple[int, int, int, int]]:
+    """``doc_id, source_id, a, b`` of the places of ``lefts`` (windows of one
+    minimum; those of None are sources) that are repeated in a source of a
+    smaller document."""
+    order = sorted((k for k in range(len(docs)) if lefts[k] is None), key=lambda k: docs[k])
+    goals = [k for k in range(len(docs)) if lefts[k] is not None]
+    if not order or not goals:
+        return []
+    sets = [np.unique(around[k]) for k in order]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    value = np.concatenate(sets)
+    by_value = np.argsort(value, kind="stable")
+    shingle, first, count = np.unique(value[by_value], return_index=True, return_counts=True)
+    owner = np.repeat(np.arange(len(order)), np.diff(starts))[by_value]
+    number = np.empty(len(value), np.int64)
+    number[by_value] = np.repeat(np.arange(len(shingle)), count)
+    column = np.zeros(len(shingle), np.int64)
+
+    # places not found whose shingles stand in a smaller document; no others can be a repeated place's end
+    smaller = np.searchsorted(docs[order], docs[goals], side="left")
+    sizes = np.array([len(around[y]) for y in goals])
+    flat = np.concatenate([around[y] for y in goals])
+    at = np.minimum(np.searchsorted(shingle, flat), len(shingle) - 1)
+    there = (shingle[at] == flat) & (owner[first[at]] < np.repeat(smaller, sizes))
+    lefts_there = there & np.concatenate([np.unpackbits(np.frombuffer(lefts[y], np.uint8), count=len(around[y])) for y in goals]).astype(bool)
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    n_left = np.concatenate([[0], np.cumsum(lefts_there)])
+
+    def reached(shared: np.ndarray) -> np.ndarray:
+        """Which places (columns) lie in a stretch of LEAST with ``needed`` shared."""
+        total = np.zeros((len(shared), shared.shape[1] + 1), np.int16)
+        np.cumsum(shared, axis=1, out=total[:, 1:])
+        good = np.zeros((len(shared), shared.shape[1] - LEAST + 2), np.int16)
+        np.cumsum(total[:, LEAST:] - total[:, :-LEAST] >= needed, axis=1, out=good[:, 1:])
+        p = np.arange(shared.shape[1])
+        return good[:, np.minimum(p, shared.shape[1] - LEAST) + 1] > good[:, np.maximum(p - LEAST + 1, 0)]
+
+    out = []
+    for k in np.flatnonzero((n_left[begins[1:]] > n_left[begins[:-1]]) & (sizes >= LEAST)):
+        y, i, j = goals[k], begins[k], begins[k + 1]
+        s, ids, known = around[y], at[i:j], there[i:j]
+        left = lefts_there[i:j] & reached(known[None])[0]
+        if not left.any():
+            continue
+        # a shingle that stands in s repeatedly counts at each of its places
+        own, place = np.unique(ids[known], return_inverse=True)
+        n = count[own]
+        # so many of its shingles, the rarest, can't all be missing
+        rare = own[np.argsort(n, kind="stable")[: max(1, int(known.sum()) - needed + 1)]]
+        through = min(rare, np.unique(ids[left]), key=lambda x: count[x].sum())
+        maybe = np.unique(np.concatenate([owner[a : a + c] for a, c in zip(first[through], count[through])]))
+        maybe = maybe[maybe < smaller[k]]
+        column[own] = np.arange(1, len(own) + 1)
+        for part in np.split(maybe, range(1024, len(maybe), 1024)):
+            if not len(part) or not left.any():
+                break
+            size = starts[part + 1] - starts[part]
+            end = np.cumsum(size)
+            cells = column[number[np.arange(end[-1]) + np.repeat(starts[part] - end + size, size)]]
+            has = np.zeros((len(part), len(own) + 1), bool)
+            has[np.repeat(np.arange(len(part)), size), cells] = True
+            shared = np.zeros((len(part), len(s)), bool)
+            shared[:, known] = has[:, place + 1]
+            for x in part[(shared & reached(shared))[:, left].any(axis=1)]:
+                if not np.isin(s[left], sets[x]).any():
+                    continue
+                hit = repeated_places(s, sets[x], [(0, len(s))], needed=needed)
+                if (hit & left).any():
+                    edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
+                    out += [(int(docs[y]), int(docs[order[x]]), los[y] + int(a), los[y] + int(b)) for a, b in zip(edge[::2], edge[1::2])]
+                    left &= ~hit
+        column[own] = 0
+    return out
+
+
+def _rejoined(group: pa.Table) -> pa.Table | None:
+    found = rejoined(group.column("doc_id").to_numpy(), group.column("lo").to_pylist(), group.column("left").to_pylist(), [np.frombuffer(x, np.uint32) for x in group.column("around").to_pylist()])
+    if not found:
+        return None
+    return pa.table({n: pa.array(list(c), pa.int64()) for n, c in zip(("doc_id", "source_id", "a", "b"), zip(*found))})
+
+
+def _spans(group: pa.Table) -> pa.Table | None:
+    """Spans of one document, in words, each with its smallest source."""
+    a, b, sources = (group.column(c).to_numpy() for c in ("a", "b", "source_id"))
+    source = np.full(b.max(), np.iinfo(np.int64).max)
+    for i, j, k in zip(a, b, sources):
+        source[i:j] = np.minimum(source[i:j], k)
     found = source < np.iinfo(np.int64).max
     edge = np.flatnonzero(np.diff(np.r_[0, found.astype(np.int8), 0]))
     a, b = edge[::2], edge[1::2]
@@ -168,15 +307,15 @@ def passages(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     windows = stored(_windows(docs), "windows")
-    first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first.doc_id < last")
     # stored, so that a hot key's side of the join below is a plain shuffle, which adaptive execution can split
-    first = stored(first.select("key", F.col("first.doc_id").alias("source_id"), F.col("first.at").alias("there")), "first")
+    first = stored(first.select("key", F.col("first.doc_id").alias("source_id"), F.col("first.at").alias("there"), (F.col("n") > 2).alias("more")), "first")
     pairs = (
         windows.join(first, "key")
         .where("doc_id <> source_id")
         .groupBy("doc_id", "source_id")
-        .agg(F.collect_list(F.struct("at", "there")).alias("x"))  # at most the windows of one document
-        .select("doc_id", "source_id", F.col("x.at").alias("here"), F.col("x.there").alias("there"))
+        .agg(F.collect_list(F.struct("at", "there", F.when(F.col("more"), F.col("key")).alias("key"))).alias("x"))  # at most the windows of one document
+        .select("doc_id", "source_id", F.col("x.at").alias("here"), F.col("x.there").alias("there"), F.col("x.key").alias("keys"))
     )
     pairs = stored(pairs, "pairs")
 
@@ -191,9 +330,23 @@ def passages(docs: DataFrame) -> DataFrame:
         return s.groupBy("doc_id").agg(F.max_by("shingles", F.struct(F.length("shingles"), "shingles")).alias("shingles"))
 
     sources = shingled(pairs.select(F.col("source_id").alias("doc_id"))).withColumnRenamed("doc_id", "source_id")
-    cut = pairs.join(sources, "source_id").mapInArrow(_cut, "doc_id bigint, source_id bigint, here array<bigint>, other binary")
+    cut = pairs.join(sources, "source_id").mapInArrow(_cut, "doc_id bigint, source_id bigint, here array<bigint>, keys array<bigint>, other binary")
     both = cut.join(shingled(pairs.select("doc_id")), "doc_id")
-    return by_groups(both, ["doc_id"], _verified, "doc_id bigint, source_id bigint, start_word bigint, end_word bigint")
+    seen = stored(by_groups(both, ["doc_id"], _verified, _RANGE + ", key bigint, at bigint, mark bigint, left binary"), "seen")
+
+    # windows with a place not found, and the first of each surroundings in smaller documents
+    rest = seen.where("at is not null").select("key", "doc_id", "at", "mark", "left")
+    goals = rest.where("left is not null")
+    last = goals.groupBy("key").agg(F.max("doc_id").alias("last"))
+    others = rest.join(last, "key").where("doc_id < last").groupBy("key", "mark").agg(F.min(F.struct("doc_id", "at")).alias("x"))
+    others = stored(others.select("key", "x.doc_id", "x.at", F.lit(None).cast("binary").alias("left")), "others")
+    low = others.groupBy("key").agg(F.min("doc_id").alias("low"))
+    need = others.unionByName(goals.join(low, "key").where("doc_id > low").select("key", "doc_id", "at", "left"))
+    need = stored(need.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "left")).alias("windows")), "need")  # at most twice the windows of one document
+    around = need.join(shingled(need.select("doc_id")), "doc_id").mapInArrow(_around, "key bigint, doc_id bigint, lo bigint, left binary, around binary")
+    more = by_groups(around, ["key"], _rejoined, _RANGE)
+    ranges = seen.where("at is null").select("doc_id", "source_id", "a", "b").unionByName(more)
+    return by_groups(ranges, ["doc_id"], _spans, "doc_id bigint, source_id bigint, start_word bigint, end_word bigint")
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

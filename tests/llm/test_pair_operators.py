@@ -173,6 +173,35 @@ def test_passages(spark):
     assert out[3].text.split()[:40] == rows[3][1].split()[:40] and len(out[3].text.split()) <= 124 and out[3].n_chars == len(out[3].text)
 
 
+def test_passages_behind_other_firsts(spark):
+    rng = random.Random(3)
+    passage, line, chain = words(rng, 60), words(rng, 12), words(rng, 60)
+    lined = [*words(rng, 24), *line, *words(rng, 24)]
+
+    def every(ws, step):
+        at = rng.randrange(step)
+        return [w if k % step != at else "X" + str(rng.randrange(10**6)) for k, w in enumerate(ws)]
+
+    def other(ws, at):
+        return [w if k != at else "Y" + str(rng.randrange(10**6)) for k, w in enumerate(ws)]
+
+    rows = []
+    for k in range(90):  # earlier variants of two passages, each unlike them and each other
+        rows.append((k, [*words(rng, 50), *every(passage, 10 + k % 9), *words(rng, 50)]))
+        rows.append((100 + k, [*words(rng, 50), *line, *words(rng, 50), *every(lined, 10 + k % 9), *words(rng, 9)]))
+    rows += [(200 + k, [*words(rng, 30 + k), *passage, *words(rng, 40)]) for k in range(3)]
+    rows += [(300 + k, [*line, *words(rng, 60 + k), *lined, *words(rng, 40), *line, *words(rng, 50)]) for k in range(3)]
+    # the third is like the second, but not like the first
+    near = other(chain, 30)
+    rows += [(400, [*words(rng, 50), *chain, *words(rng, 50)]), (401, [*words(rng, 50), *near, *words(rng, 50)]), (402, [*words(rng, 50), *other(near, 20), *words(rng, 50)])]
+    got = {r.doc_id: r for r in substrings.passages(docs(spark, [(i, " ".join(ws)) for i, ws in rows])).collect()}
+    assert set(got) == {201, 202, 301, 302, 401, 402}
+    for k in (1, 2):
+        assert got[200 + k].source_id == 200 and abs(got[200 + k].start_word - 30 - k) <= 4 and abs(got[200 + k].end_word - 90 - k) <= 4
+        assert got[300 + k].source_id == 300 and abs(got[300 + k].start_word - 72 - k) <= 4 and abs(got[300 + k].end_word - 132 - k) <= 4
+    assert got[401].source_id == 400 and got[402].end_word - got[402].start_word >= 50
+
+
 def test_passages_odd(spark):
     assert substrings.passages(docs(spark, [])).count() == 0
     text = " ".join(words(random.Random(1), 80))
