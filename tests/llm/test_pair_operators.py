@@ -75,6 +75,29 @@ def near_by_hand(rows):
     return sets, links, n
 
 
+def check_near(spark, rows):
+    frame = docs(spark, rows)
+    got = {r.doc_id: r for r in neardup.classes(frame).collect()}
+    sets, links, n = near_by_hand(rows)
+    ids = [i for i, _ in rows]
+    assert len(got) == len(rows)
+    assert {i: got[i].class_id for i in ids} == classes_by_hand([(ids[a], ids[b]) for a, b in links], ids)
+    # what is listed are links, and the numbers follow from the list
+    by_id = dict(zip(ids, sets))
+    listed = {tuple(r) for r in neardup.pairs(frame).collect()}
+    assert len(listed) == len({frozenset(x) for x in listed}) and listed <= {x for a, b in links for x in ((ids[a], ids[b]), (ids[b], ids[a]))}
+    copies = {}
+    for i in ids:
+        copies[frozenset(by_id[i]) or i] = copies.get(frozenset(by_id[i]) or i, 0) + 1
+    count = {frozenset(by_id[i]) or i: copies[frozenset(by_id[i]) or i] - 1 for i in ids}
+    for a, b in listed:
+        count[frozenset(by_id[a])] += copies[frozenset(by_id[b])]
+        count[frozenset(by_id[b])] += copies[frozenset(by_id[a])]
+    assert {i: got[i].n_links for i in ids} == {i: count[frozenset(by_id[i]) or i] for i in ids}
+    assert all(got[i].n_links <= k for i, k in zip(ids, n))
+    return got, n
+
+
 @pytest.mark.parametrize("small,tile", [(1000, 800), (4, 3)])
 def test_near_duplicates(spark, monkeypatch, small, tile):
     monkeypatch.setattr(neardup, "SMALL", small)
@@ -84,22 +107,71 @@ def test_near_duplicates(spark, monkeypatch, small, tile):
     base = words(rng, 150)
     rows += [(100 + k, " ".join(changed(rng, base, rng.randint(0, 5)))) for k in range(40)]
     rows += [(200 + k, " ".join(base)) for k in range(6)] + [(300, "one two"), (301, "ONE, two!"), (302, "one"), (303, "one two three"), (304, None), (305, ""), (306, "--"), (307, "z " * 60_000)]
-    got = {r.doc_id: r for r in neardup.classes(docs(spark, rows)).collect()}
-    _, links, n = near_by_hand(rows)
-    ids = [i for i, _ in rows]
-    want = classes_by_hand([(ids[a], ids[b]) for a, b in links], ids)
-    assert len(got) == len(rows)
-    assert {i: got[i].class_id for i in ids} == want
-    assert {i: got[i].n_links for i in ids} == dict(zip(ids, n))
+    chain = words(rng, 120)  # each like its neighbours only
+    for k in range(12):
+        rows.append((400 + k, " ".join(chain)))
+        chain = [*chain[5:], *words(rng, 5)]
+    got, n = check_near(spark, rows)
+    assert got[205].n_links >= 5 and got[300].n_links == 1 and got[411].class_id == 400
+
+
+def test_near_copies_cost_rows_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 150)
+    monkeypatch.setattr(neardup, "TILE_SETS", 150)
+    sizes = {}
+    for many in (1000, 2000, 4000):
+        rng = random.Random(many)
+        base = words(rng, 80)
+        rows = [(k, " ".join(changed(rng, base, 1))) for k in range(many)] + [(10_000 + k, " ".join(words(rng, 60))) for k in range(50)]
+        rows += [(20_000 + k, " ".join([*base[:40], *words(rng, 40)])) for k in range(50)]  # in the group's buckets, but apart
+        docs_ = neardup._narrowed(docs(spark, rows))
+        neardup.small_batches(spark)
+        sketched = neardup._sketched(docs_)
+        reps = neardup.stored(sketched.select(F.col("doc_id").alias("rep"), "doc_id", "key", "n", "sketch"), "reps")
+        leaves = neardup.stored(neardup.buckets(reps), "leaves")
+        links, roots = neardup.connected(leaves, reps, docs_)
+        sizes[many] = leaves.count(), links.count(), neardup.tiles(leaves, roots).count()
+    for a, b in ((1000, 2000), (2000, 4000)):
+        assert sizes[b][0] <= 2.6 * sizes[a][0] and sizes[b][2] <= 2.6 * sizes[a][2], sizes  # rows of buckets and of tiles
+        assert sizes[b][1] <= sizes[b][0]  # links listed
+
+
+def test_recall_of_the_whole_join(spark):
+    rng = random.Random(11)
+    rows, near = [], []
+    for k in range(400):  # pairs a little above the threshold
+        ws = words(rng, 300)
+        other = list(ws)
+        at = rng.randrange(0, 270)
+        other[at : at + 25] = words(rng, 25)
+        rows += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join(other))]
+    sets, links, _ = near_by_hand(rows)
+    near = [(rows[a][0], rows[b][0]) for a, b in links]
+    likeness = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in links]
+    assert len(near) >= 380 and max(likeness) < 0.84
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs(spark, rows)).collect()}
+    assert sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near)
 
 
 def test_near_duplicates_odd(spark):
-    assert neardup.classes(docs(spark, [])).count() == 0
-    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "q r s t u v")]
+    assert neardup.classes(docs(spark, [])).count() == 0 and neardup.pairs(docs(spark, [])).count() == 0
+    assert neardup.stage(spark, docs(spark, []), SF).count() == 0
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "q r s t u v"), (None, None), (3, None), (3, "")]
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in neardup.classes(docs(spark, rows)).collect()), key=str)
-    assert got == sorted([(1, 1, 1), (1, 1, 1), (None, None, 0), (2, 2, 0)], key=str)
+    assert got == sorted([(1, 1, 1), (1, 1, 1), (None, None, 0), (2, 2, 0), (None, None, 0), (3, 3, 0), (3, 3, 0)], key=str)
     out = neardup.stage(spark, docs(spark, rows), SF)
-    assert sorted((r.doc_id for r in out.collect()), key=str) == sorted([1, 2, None], key=str) and out.columns == docs(spark, []).columns
+    assert sorted((r.doc_id for r in out.collect()), key=str) == sorted([1, 2, None, None, 3, 3], key=str) and out.columns == docs(spark, []).columns
+
+
+def test_rows_of_one_id_stand_for_themselves(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b), (4, c), (4, c + " tail")]
+    frame = docs(spark, rows)
+    got = sorted((r.doc_id, r.class_id) for r in neardup.classes(frame).collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (2, 2), (3, 2), (4, 4), (4, 4)]
+    left = sorted((r.doc_id, r.text) for r in neardup.stage(spark, frame, SF).collect())
+    assert left[:2] == [(1, a), (2, b)] and len(left) == 3 and left[2][0] == 4
 
 
 def test_intersections():
