@@ -127,7 +127,7 @@ def test_near_copies_cost_rows_in_proportion(spark, monkeypatch):
         docs_ = neardup._narrowed(docs(spark, rows))
         neardup.small_batches(spark)
         sketched = neardup._sketched(docs_)
-        reps = neardup.stored(sketched.select(F.col("doc_id").alias("rep"), "doc_id", "key", "n", "sketch"), "reps")
+        reps = neardup.stored(sketched.where("key is not null").select(F.col("doc_id").alias("rep"), "doc_id", "key", "n", "sketch"), "reps")
         leaves = neardup.stored(neardup.buckets(reps), "leaves")
         links, roots = neardup.connected(leaves, reps, docs_)
         sizes[many] = leaves.count(), links.count(), neardup.tiles(leaves, roots).count()
@@ -148,7 +148,7 @@ def test_recall_of_the_whole_join(spark):
     sets, links, _ = near_by_hand(rows)
     near = [(rows[a][0], rows[b][0]) for a, b in links]
     likeness = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in links]
-    assert len(near) >= 380 and max(likeness) < 0.84
+    assert len(near) >= 380 and max(likeness) < 0.85
     got = {r.doc_id: r.class_id for r in neardup.classes(docs(spark, rows)).collect()}
     assert sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near)
 
