@@ -5,25 +5,37 @@ functions the Cartesian tree of the shingles' hashes (each one's nearest
 smaller neighbours) groups all subsequences that have the same minimum: one
 compact window (l, c, r) stands for every subsequence that begins in l..c and
 ends in c..r. Only windows with room for ``LEAST`` shingles (passages of
-``WORDS`` words) are kept, about 2 / ``LEAST`` per word. Windows of one minimum
-are joined with the first of them in the corpus (the smallest document, then
-place), so a passage that very many documents share costs a row each and not a
-pair each; the intervals that overlap across hash functions make a candidate.
-A window that this leaves with a place not found is then compared with all
-windows of its minimum in smaller documents, those of equal surroundings once:
-an index of the surroundings' shingles, rarest first, gives every one that can
-reach ``SIMILARITY``, so a line that recurs in many surroundings costs no pairs.
-
-Candidates are verified on the shingles themselves: a place of a document is
-repeated if it lies in a stretch of LEAST shingles of which so many stand in
-the other document's passage that their Jaccard similarity is ``SIMILARITY`` or
-more. Every occurrence but the corpus's first is reported.
+``WORDS`` words) are kept, about 2 / ``LEAST`` per word.
+
+Two stretches of ``LEAST`` shingles are near duplicates if ``NEEDED`` places of
+either stand in the other, which for distinct shingles is a Jaccard similarity
+of ``SIMILARITY``. A place of a document is repeated if it lies in a stretch
+(between its first and last shared place) that is a near duplicate of one
+stretch of an earlier document, contiguous there too.
+
+Windows of one minimum are joined with the first of them in the corpus (the
+smallest document, then place), so a passage that very many documents share
+costs a row each and not a pair each. Each joined pair of windows is verified
+on the two stretches around its own two minima: place by place first, then, if
+that doesn't reach the window's minimum, every stretch of one against every
+stretch of the other, so that words put in, taken out or moved are found too.
+The intervals of all windows and hash functions are joined per document. A
+window whose minimum isn't found so is compared with all windows of its minimum
+in smaller documents, those of equal surroundings once: an index of the
+surroundings' shingles, rarest first, gives every one that can be near, so a
+line that recurs in many surroundings costs no pairs. What is left out is a
+pair of stretches that shares no minimum under any hash function (less than one
+in a hundred at ``SIMILARITY``), and a place that is repeated only together
+with a found passage of which it holds the minimum under none.
+
+Every occurrence but the corpus's first is reported.
 
 Defined cases: null, empty and short texts have no passage; very long texts are
 read whole; of equal minima the leftmost counts; repetition inside one document
-is not reported; rows repeated under one id are one document, of whose texts
-the longest counts; rows of a null id are left alone; an empty table gives an
-empty result; extra columns are left alone.
+is not reported, nor between rows of one id; rows of one id with different
+texts are searched one by one, and spans belong to the text they are found in;
+rows of a null id are left alone; an empty table gives an empty result; extra
+columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,11 +48,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import NOT_WORD, by_groups, mix, shingles, slices, small_batches, stored, table, thinned, word_hashes
+from ._shared import BROADCAST_IDS, NOT_WORD, by_groups, mix, shingles, slices, small_batches, stored, table, thinned, word_hashes
 
 WORDS, WIDTH, SIMILARITY = 50, 5, 0.8
 LEAST = WORDS - WIDTH + 1
 HASHES = 3
+#: Places around a minimum that stretches with it can reach.
+SPAN = 2 * LEAST - 1
 #: Shingles of a stretch that must agree: m / (2 LEAST - m) >= SIMILARITY.
 NEEDED = int(np.ceil(2 * LEAST * SIMILARITY / (1 + SIMILARITY) - 1e-9))
 
@@ -81,20 +95,20 @@ def compact_windows(value: np.ndarray, starts: np.ndarray, seed: int, least: int
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """``key, doc_id, at``: at packs c with its distances from l and r, cut
-    off at LEAST, beyond which no stretch of LEAST around c reaches."""
+    """``key, doc_id, ver, at``: the minimum and its place."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             value, starts = _sequence(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy()
+            ids, vers = batch.column("doc_id").to_numpy(), batch.column("ver").to_numpy()
             for seed in range(HASHES):
-                h, left, c, right = compact_windows(value, starts, seed)
+                h, _, c, _ = compact_windows(value, starts, seed)
                 doc = np.searchsorted(starts, c, side="right") - 1
-                at = (c - starts[doc]) << 12 | np.minimum(c - left, LEAST) << 6 | np.minimum(right - c, LEAST)
-                yield pa.RecordBatch.from_arrays([pa.array(mix(h + np.uint64(seed)).view(np.int64)), pa.array(ids[doc]), pa.array(at)], names=["key", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mix(h + np.uint64(seed)).view(np.int64)), pa.array(ids[doc]), pa.array(vers[doc]), pa.array((c - starts[doc]).astype(np.int32))], names=["key", "doc_id", "ver", "at"]
+                )
 
-    return docs.mapInArrow(work, "key bigint, doc_id bigint, at bigint")
+    return docs.mapInArrow(work, "key bigint, doc_id bigint, ver int, at int")
 
 
 def _merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -105,101 +119,163 @@ def _merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(a[new].tolist(), b[np.r_[new[1:] - 1, len(b) - 1]].tolist()))
 
 
-def repeated_places(own: np.ndarray, other: np.ndarray, near: list[tuple[int, int]], least: int = LEAST, needed: int = NEEDED) -> np.ndarray:
-    """Which shingles of ``own``, within ``near``, lie in a stretch of ``least``
-    of which ``needed`` are among ``other``; stretches end at shared ones."""
-    out = np.zeros(len(own), bool)
-    for a, b in near:
-        a, b = max(0, a), min(len(own), b)
-        if b - a < least:
+def _around(flat: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, SPAN) places of ``flat`` around ``at``, and which are in lo..hi."""
+    place = at[:, None] + np.arange(1 - LEAST, LEAST)
+    ok = (place >= lo[:, None]) & (place < hi[:, None])
+    return flat[np.clip(place, 0, len(flat) - 1)], ok
+
+
+def _sums(x: np.ndarray, axis: int) -> np.ndarray:
+    """Sums of LEAST following entries along ``axis``."""
+    total = np.cumsum(x, axis=axis, dtype=np.int16)
+    total = np.concatenate([np.zeros_like(np.take(total, [0], axis)), total], axis=axis)
+    n = total.shape[axis]
+    return np.take(total, range(LEAST, n), axis) - np.take(total, range(n - LEAST), axis)
+
+
+def _reach(shared: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """(n, SPAN): the places between the first and last ``shared`` one of the
+    stretches that are ``good`` (n, LEAST), given by their first place."""
+    place = np.arange(SPAN)
+    after = np.minimum.accumulate(np.where(shared, place, SPAN)[:, ::-1], axis=1)[:, ::-1]
+    before = np.maximum.accumulate(np.where(shared, place, -1), axis=1)
+    row, i = np.nonzero(good)
+    edge = np.zeros((len(shared), SPAN + 1), np.int32)
+    np.add.at(edge, (row, after[row, i]), 1)
+    np.add.at(edge, (row, before[row, i + LEAST - 1] + 1), -1)
+    return np.cumsum(edge, axis=1)[:, :SPAN] > 0
+
+
+def aligned(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray, needed: int = NEEDED) -> np.ndarray:
+    """(n, SPAN): repeated places of ``a`` in ``b``, place against place."""
+    valid = in_a & in_b
+    same = (a == b) & valid
+    good = (_sums(same, 1) >= needed) & (_sums(valid, 1) == LEAST)
+    out = np.zeros(a.shape, bool)
+    some = good.any(1)
+    out[some] = _reach(same[some], good[some])
+    return out
+
+
+def unaligned(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray, needed: int = NEEDED) -> np.ndarray:
+    """(n, SPAN): repeated places of ``a`` in ``b``, any stretch of one against
+    any of the other."""
+    out = np.zeros(a.shape, bool)
+    for k in range(0, len(a), 64):
+        part = slice(k, k + 64)
+        match = (a[part][:, :, None] == b[part][:, None, :]) & in_a[part][:, :, None] & in_b[part][:, None, :]
+        some = np.flatnonzero((match.any(2).sum(1) >= needed) & (match.any(1).sum(1) >= needed))
+        if not len(some):
             continue
-        shared = np.isin(own[a:b], other)
-        total = np.concatenate([[0], np.cumsum(shared)])
-        good = np.flatnonzero(total[least:] - total[:-least] >= needed)
-        cover = np.zeros(b - a + 1, np.int64)
-        np.add.at(cover, good, 1)
-        np.add.at(cover, good + least, -1)
-        covered = np.cumsum(cover)[:-1] > 0
-        edge = np.flatnonzero(np.diff(np.r_[0, covered.astype(np.int8), 0]))
-        for i, j in zip(edge[::2], edge[1::2]):
-            hit = np.flatnonzero(shared[i:j])
-            out[a + i + hit[0] : a + i + hit[-1] + 1] = True
+        match = match[some]
+        there, here = _sums(match, 2) > 0, _sums(match, 1) > 0  # (place, stretch of b), (stretch of a, place)
+        good = (_sums(there, 1) >= needed) & (_sums(here, 2) >= needed)
+        good &= (_sums(in_a[part][some], 1) == LEAST)[:, :, None] & (_sums(in_b[part][some], 1) == LEAST)[:, None, :]
+        row, x = np.nonzero(good.any(1))
+        if len(row):
+            found = _reach(there[row, :, x], good[row, :, x])
+            np.logical_or.at(out, (k + some[row]), found)
     return out
 
 
-def _distances(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    c = at >> 12
-    return c - (at >> 6 & 63), c + (at & 63) + 1
+def _stretches(there: np.ndarray) -> list[tuple[int, int]]:
+    """The places of a source that windows with these minima can reach."""
+    return _merged(np.maximum(there - LEAST + 1, 0), there + LEAST)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stretches of a source's shingles that a pair needs."""
+    names = ["doc_id", "ver", "source_id", "here", "there", "keys"]
     for batch in batches:
         parts = []
-        for ats, raw in zip(batch.column("there").to_pylist(), batch.column("shingles").to_pylist()):
+        for there, raw in zip(batch.column("there"), batch.column("shingles").to_pylist()):
             s = np.frombuffer(raw, np.uint32)
-            a, b = _distances(np.array(ats, np.int64))
-            parts.append(b"".join(s[max(0, i - WIDTH) : j + WIDTH].tobytes() for i, j in _merged(a, b)))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source_id", "here", "keys")), pa.array(parts, pa.binary())], names=["doc_id", "source_id", "here", "keys", "other"])
+            parts.append(b"".join(s[i:j].tobytes() for i, j in _stretches(there.values.to_numpy().astype(np.int64))))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(parts, pa.binary())], names=[*names, "other"])
 
 
-_RANGE = "doc_id bigint, source_id bigint, a bigint, b bigint"
+_RANGE = "doc_id bigint, ver int, source_id bigint, a bigint, b bigint"
+_NONE = np.iinfo(np.int64).max
 
 
-def _ranges(doc: int, source: np.ndarray) -> dict[str, pa.Array]:
+def _ranges(doc: int, ver: int, source: np.ndarray) -> dict[str, pa.Array]:
     """The found places of a document, in ranges of one source."""
-    none = np.iinfo(np.int64).max
-    edge = np.flatnonzero(np.diff(np.r_[none, source, none]))
+    edge = np.flatnonzero(np.diff(np.r_[_NONE, source, _NONE]))
     a, b = edge[:-1], edge[1:]
-    found = source[a] < none
+    found = source[a] < _NONE
     a, b = a[found], b[found]
-    return {"doc_id": pa.array(np.full(len(a), doc)), "source_id": pa.array(source[a]), "a": pa.array(a), "b": pa.array(b)}
+    return {"doc_id": pa.array(np.full(len(a), doc)), "ver": pa.array(np.full(len(a), ver), pa.int32()), "source_id": pa.array(source[a]), "a": pa.array(a), "b": pa.array(b)}
 
 
 def _verified(group: pa.Table) -> pa.Table | None:
     """The places found in one document, each with its smallest source; and its
     windows of minima that others share, with a mark of the shingles around
-    and, if a place of the window isn't found, which places aren't."""
+    and, if the minimum's place isn't found, which places aren't."""
     own = np.frombuffer(group.column("shingles")[0].as_py(), np.uint32)
-    source = np.full(len(own), np.iinfo(np.int64).max)
-    ats, keys = [], []
+    source = np.full(len(own), _NONE)
+    here, key, flat, there, lo, hi, of = [], [], [], [], [], [], []
+    begin = 0
     for k in range(group.num_rows):
-        here = np.asarray(group.column("here")[k].as_py(), np.int64)
-        a, b = _distances(here)
-        hit = repeated_places(own, np.frombuffer(group.column("other")[k].as_py(), np.uint32), _merged(a - WIDTH, b + WIDTH))
-        source[hit] = np.minimum(source[hit], group.column("source_id")[k].as_py())
-        key = group.column("keys")[k].values
-        shared = key.is_valid().to_numpy(zero_copy_only=False)
-        ats.append(here[shared])
-        keys.append(key.drop_null().to_numpy())
-    doc = group.column("doc_id")[0].as_py()
-    at, key = np.concatenate(ats), np.concatenate(keys)
-    left = source == np.iinfo(np.int64).max
-    a, b = _distances(at)
-    lo, hi = np.maximum(a - WIDTH, 0), np.minimum(b + WIDTH, len(own))
-    n_left = np.concatenate([[0], np.cumsum(left)])
+        at = group.column("there")[k].values.to_numpy().astype(np.int64)
+        other = np.frombuffer(group.column("other")[k].as_py(), np.uint32)
+        parts = np.array(_stretches(at), np.int64)
+        where = np.cumsum(parts[:, 1] - parts[:, 0]) - (parts[:, 1] - parts[:, 0])
+        stretch = np.searchsorted(parts[:, 0], at, side="right") - 1
+        here.append(group.column("here")[k].values.to_numpy().astype(np.int64))
+        key.append(group.column("keys")[k].values)
+        there.append(begin + where[stretch] + at - parts[stretch, 0])
+        lo.append(begin + where[stretch])
+        hi.append(begin + np.minimum(where[stretch] + parts[stretch, 1] - parts[stretch, 0], len(other)))
+        of.append(np.full(len(at), group.column("source_id")[k].as_py()))
+        flat.append(other)
+        begin += len(other)
+    here, there, lo, hi, of, flat = (np.concatenate(x) for x in (here, there, lo, hi, of, flat))
+    zero, end = np.zeros(len(here), np.int64), np.full(len(here), len(own))
+    reach = np.arange(1 - LEAST, LEAST)
+    for compare in (aligned, unaligned):
+        todo = np.flatnonzero(source[here] == _NONE) if compare is unaligned else np.arange(len(here))
+        for k in range(0, len(todo), 4096):
+            some = todo[k : k + 4096]
+            found = compare(*_around(own, here[some], zero[some], end[some]), *_around(flat, there[some], lo[some], hi[some]))
+            row, place = np.nonzero(found)
+            np.minimum.at(source, here[some[row]] + reach[place], of[some[row]])
+    doc, ver = group.column("doc_id")[0].as_py(), group.column("ver")[0].as_py()
+    key = pa.concat_arrays(key)
+    shared = key.is_valid().to_numpy(zero_copy_only=False)
+    at, key = here[shared], key.drop_null().to_numpy()
+    left = source == _NONE
+    first, last = np.maximum(at - LEAST + 1, 0), np.minimum(at + LEAST, len(own))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own.astype(np.uint64)))])
-    mark = mix(sums[hi] - sums[lo]) ^ (hi - lo).astype(np.uint64)
-    opened = n_left[np.minimum(b, len(own))] > n_left[a]
-    bits = [np.packbits(left[i:j]).tobytes() if o else None for i, j, o in zip(lo, hi, opened)]
-    windows = {"doc_id": pa.array(np.full(len(at), doc)), "key": pa.array(key, pa.int64()), "at": pa.array(at), "mark": pa.array(mark.view(np.int64)), "left": pa.array(bits, pa.binary())}
-    return pa.concat_tables([pa.table(_ranges(doc, source)), pa.table(windows)], promote_options="default").select(["doc_id", "source_id", "a", "b", "key", "at", "mark", "left"])
+    mark = mix(sums[last] - sums[first]) ^ (last - first).astype(np.uint64)
+    bits = [np.packbits(left[i:j]).tobytes() if left[c] else None for c, i, j in zip(at, first, last)]
+    windows = {"doc_id": pa.array(np.full(len(at), doc)), "ver": pa.array(np.full(len(at), ver), pa.int32()), "key": pa.array(key, pa.int64()), "at": pa.array(at, pa.int32()), "mark": pa.array(mark.view(np.int64)), "left": pa.array(bits, pa.binary())}
+    return pa.concat_tables([pa.table(_ranges(doc, ver, source)), pa.table(windows)], promote_options="default").select(["doc_id", "ver", "source_id", "a", "b", "key", "at", "mark", "left"])
 
 
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles around each window of a document."""
     for batch in batches:
-        for doc, windows, raw in zip(batch.column("doc_id").to_pylist(), batch.column("windows"), batch.column("shingles").to_pylist()):
+        for doc, ver, windows, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ver").to_pylist(), batch.column("windows"), batch.column("shingles").to_pylist()):
             s, w = np.frombuffer(raw, np.uint32), windows.values
-            at = w.field("at").to_numpy()
-            a, b = _distances(at)
-            lo = np.maximum(a - WIDTH, 0)
-            cut = [s[i:j].tobytes() for i, j in zip(lo, b + WIDTH)]
-            yield pa.RecordBatch.from_arrays([w.field("key"), pa.array(np.full(len(w), doc)), pa.array(lo), w.field("left"), pa.array(cut, pa.binary())], names=["key", "doc_id", "lo", "left", "around"])
+            at = w.field("at").to_numpy().astype(np.int64)
+            lo = np.maximum(at - LEAST + 1, 0)
+            cut = [s[i:j].tobytes() for i, j in zip(lo, at + LEAST)]
+            yield pa.RecordBatch.from_arrays(
+                [w.field("key"), pa.array(np.full(len(w), doc)), pa.array(np.full(len(w), ver), pa.int32()), pa.array(lo), w.field("left"), pa.array(cut, pa.binary())], names=["key", "doc_id", "ver", "lo", "left", "around"]
+            )
+
+
+def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([len(x) for x in parts])
+    ok = np.arange(SPAN) < size[:, None]
+    out = np.zeros((len(parts), SPAN), np.uint32)
+    out[ok] = np.concatenate(parts)
+    return out, ok
 
 
 def rejoined(docs: np.ndarray, los: list[int], lefts: list[bytes | None], around: list[np.ndarray], needed: int = NEEDED) -> list[tuple[int, int, int, int]]:
-    """``doc_id, source_id, a, b`` of the places of ``lefts`` (windows of one
+    """``window, source_id, a, b`` of the places of ``lefts`` (windows of one
     minimum; those of None are sources) that are repeated in a source of a
     smaller document."""
     order = sorted((k for k in range(len(docs)) if lefts[k] is None), key=lambda k: docs[k])
@@ -261,32 +337,37 @@ def rejoined(docs: np.ndarray, los: list[int], lefts: list[bytes | None], around
             has[np.repeat(np.arange(len(part)), size), cells] = True
             shared = np.zeros((len(part), len(s)), bool)
             shared[:, known] = has[:, place + 1]
-            for x in part[(shared & reached(shared))[:, left].any(axis=1)]:
-                if not np.isin(s[left], sets[x]).any():
-                    continue
-                hit = repeated_places(s, sets[x], [(0, len(s))], needed=needed)
-                if (hit & left).any():
-                    edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
-                    out += [(int(docs[y]), int(docs[order[x]]), los[y] + int(a), los[y] + int(b)) for a, b in zip(edge[::2], edge[1::2])]
-                    left &= ~hit
+            likely = part[(shared & reached(shared))[:, left].any(axis=1)]
+            for few in np.split(likely, range(32, len(likely), 32)):
+                if not len(few) or not left.any():
+                    break
+                mine = [s] * len(few)
+                hits = unaligned(*_padded(mine), *_padded([around[order[x]] for x in few]), needed=needed)[:, : len(s)]
+                for x, hit in zip(few, hits):
+                    if (hit & left).any():
+                        edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
+                        out += [(int(y), int(docs[order[x]]), los[y] + int(a), los[y] + int(b)) for a, b in zip(edge[::2], edge[1::2])]
+                        left &= ~hit
         column[own] = 0
     return out
 
 
 def _rejoined(group: pa.Table) -> pa.Table | None:
-    found = rejoined(group.column("doc_id").to_numpy(), group.column("lo").to_pylist(), group.column("left").to_pylist(), [np.frombuffer(x, np.uint32) for x in group.column("around").to_pylist()])
+    docs = group.column("doc_id").to_numpy()
+    found = rejoined(docs, group.column("lo").to_pylist(), group.column("left").to_pylist(), [np.frombuffer(x, np.uint32) for x in group.column("around").to_pylist()])
     if not found:
         return None
-    return pa.table({n: pa.array(list(c), pa.int64()) for n, c in zip(("doc_id", "source_id", "a", "b"), zip(*found))})
+    window, source, a, b = (np.array(x, np.int64) for x in zip(*found))
+    return pa.table({"doc_id": docs[window], "ver": group.column("ver").to_numpy()[window], "source_id": source, "a": a, "b": b})
 
 
 def _spans(group: pa.Table) -> pa.Table | None:
-    """Spans of one document, in words, each with its smallest source."""
+    """Spans of one text, in words, each with its smallest source."""
     a, b, sources = (group.column(c).to_numpy() for c in ("a", "b", "source_id"))
-    source = np.full(b.max(), np.iinfo(np.int64).max)
+    source = np.full(b.max(), _NONE)
     for i, j, k in zip(a, b, sources):
         source[i:j] = np.minimum(source[i:j], k)
-    found = source < np.iinfo(np.int64).max
+    found = source < _NONE
     edge = np.flatnonzero(np.diff(np.r_[0, found.astype(np.int8), 0]))
     a, b = edge[::2], edge[1::2]
     spans = [(i, j) for i, j in zip(a, b) if j - i >= NEEDED]
@@ -296,26 +377,34 @@ def _spans(group: pa.Table) -> pa.Table | None:
     merged = _merged(np.array([i for i, _ in spans]), np.array([j + WIDTH - 1 for _, j in spans]))
     doc = group.column("doc_id")[0].as_py()
     return pa.table(
-        {"doc_id": pa.array([doc] * len(merged), pa.int64()), "source_id": pa.array([int(source[i : j - WIDTH + 1].min()) for i, j in merged], pa.int64()), "start_word": pa.array([i for i, _ in merged], pa.int64()), "end_word": pa.array([j for _, j in merged], pa.int64())}
+        {"doc_id": pa.array([doc] * len(merged), pa.int64()), "ver": pa.array([group.column("ver")[0].as_py()] * len(merged), pa.int32()), "source_id": pa.array([int(source[i : j - WIDTH + 1].min()) for i, j in merged], pa.int64()), "start_word": pa.array([i for i, _ in merged], pa.int64()), "end_word": pa.array([j for _, j in merged], pa.int64())}
     )
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """``doc_id, source_id, start_word, end_word`` of the repeated passages of
-    ``docs(doc_id, text)``; words are runs of letters, digits and characters
-    beyond ASCII, counted from 0."""
-    small_batches(docs.sparkSession)
-    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def _versions(docs: DataFrame, name: str = "ver") -> DataFrame:
+    """``docs`` with a column that tells the texts of a repeated id apart: 0 for
+    an id of one row, else a hash of the text."""
+    twice = stored(docs.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).count().where("count > 1 and doc_id is not null").select("doc_id"), "twice")
+    few = twice.count()
+    if not few:
+        return docs.withColumn(name, F.lit(0))
+    mark = twice.select(F.col("doc_id").alias(f"{name}id"))
+    joined = docs.join(F.broadcast(mark) if few <= BROADCAST_IDS else mark, F.col("doc_id") == F.col(f"{name}id"), "left")
+    return joined.withColumn(name, F.when(F.col(f"{name}id").isNull(), F.lit(0)).otherwise(F.hash(F.col("text").cast("string")))).drop(f"{name}id")
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """``doc_id, ver, source_id, start_word, end_word`` of ``docs(doc_id, ver, text)``."""
     windows = stored(_windows(docs), "windows")
-    first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first.doc_id < last")
+    first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "ver", "at")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first.doc_id < last")
     # stored, so that a hot key's side of the join below is a plain shuffle, which adaptive execution can split
-    first = stored(first.select("key", F.col("first.doc_id").alias("source_id"), F.col("first.at").alias("there"), (F.col("n") > 2).alias("more")), "first")
+    first = stored(first.select("key", F.col("first.doc_id").alias("source_id"), F.col("first.ver").alias("source_ver"), F.col("first.at").alias("there"), (F.col("n") > 2).alias("more")), "first")
     pairs = (
         windows.join(first, "key")
         .where("doc_id <> source_id")
-        .groupBy("doc_id", "source_id")
+        .groupBy("doc_id", "ver", "source_id", "source_ver")
         .agg(F.collect_list(F.struct("at", "there", F.when(F.col("more"), F.col("key")).alias("key"))).alias("x"))  # at most the windows of one document
-        .select("doc_id", "source_id", F.col("x.at").alias("here"), F.col("x.there").alias("there"), F.col("x.key").alias("keys"))
+        .select("doc_id", "ver", "source_id", "source_ver", F.col("x.at").alias("here"), F.col("x.there").alias("there"), F.col("x.key").alias("keys"))
     )
     pairs = stored(pairs, "pairs")
 
@@ -323,30 +412,39 @@ def passages(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             value, starts = _sequence(batch.column("text"))
             low = value.astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([low[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ver"), pa.array([low[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary())], names=["doc_id", "ver", "shingles"])
 
     def shingled(ids: DataFrame) -> DataFrame:
-        s = thinned(docs, stored(ids.distinct(), "ids"), "left_semi").mapInArrow(work, "doc_id bigint, shingles binary")
-        return s.groupBy("doc_id").agg(F.max_by("shingles", F.struct(F.length("shingles"), "shingles")).alias("shingles"))
+        s = thinned(docs, stored(ids.distinct(), "ids"), "left_semi").mapInArrow(work, "doc_id bigint, ver int, shingles binary")
+        return s.dropDuplicates(["doc_id", "ver"])  # repeated rows are equal
 
-    sources = shingled(pairs.select(F.col("source_id").alias("doc_id"))).withColumnRenamed("doc_id", "source_id")
-    cut = pairs.join(sources, "source_id").mapInArrow(_cut, "doc_id bigint, source_id bigint, here array<bigint>, keys array<bigint>, other binary")
-    both = cut.join(shingled(pairs.select("doc_id")), "doc_id")
-    seen = stored(by_groups(both, ["doc_id"], _verified, _RANGE + ", key bigint, at bigint, mark bigint, left binary"), "seen")
+    sources = shingled(pairs.select(F.col("source_id").alias("doc_id"))).withColumnsRenamed({"doc_id": "source_id", "ver": "source_ver"})
+    cut = pairs.join(sources, ["source_id", "source_ver"]).mapInArrow(_cut, "doc_id bigint, ver int, source_id bigint, here array<int>, there array<int>, keys array<bigint>, other binary")
+    both = cut.join(shingled(pairs.select("doc_id")), ["doc_id", "ver"])
+    seen = stored(by_groups(both, ["doc_id", "ver"], _verified, _RANGE + ", key bigint, at int, mark bigint, left binary"), "seen")
 
-    # windows with a place not found, and the first of each surroundings in smaller documents
-    rest = seen.where("at is not null").select("key", "doc_id", "at", "mark", "left")
+    # windows whose minimum isn't found, and the first of each surroundings in smaller documents
+    rest = seen.where("at is not null").select("key", "doc_id", "ver", "at", "mark", "left")
     goals = rest.where("left is not null")
     last = goals.groupBy("key").agg(F.max("doc_id").alias("last"))
-    others = rest.join(last, "key").where("doc_id < last").groupBy("key", "mark").agg(F.min(F.struct("doc_id", "at")).alias("x"))
-    others = stored(others.select("key", "x.doc_id", "x.at", F.lit(None).cast("binary").alias("left")), "others")
+    others = rest.join(last, "key").where("doc_id < last").groupBy("key", "mark").agg(F.min(F.struct("doc_id", "ver", "at")).alias("x"))
+    others = stored(others.select("key", "x.doc_id", "x.ver", "x.at", F.lit(None).cast("binary").alias("left")), "others")
     low = others.groupBy("key").agg(F.min("doc_id").alias("low"))
-    need = others.unionByName(goals.join(low, "key").where("doc_id > low").select("key", "doc_id", "at", "left"))
-    need = stored(need.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "left")).alias("windows")), "need")  # at most twice the windows of one document
-    around = need.join(shingled(need.select("doc_id")), "doc_id").mapInArrow(_around, "key bigint, doc_id bigint, lo bigint, left binary, around binary")
+    need = others.unionByName(goals.join(low, "key").where("doc_id > low").select("key", "doc_id", "ver", "at", "left"))
+    need = stored(need.groupBy("doc_id", "ver").agg(F.collect_list(F.struct("key", "at", "left")).alias("windows")), "need")  # at most twice the windows of one document
+    around = need.join(shingled(need.select("doc_id")), ["doc_id", "ver"]).mapInArrow(_surroundings, "key bigint, doc_id bigint, ver int, lo bigint, left binary, around binary")
     more = by_groups(around, ["key"], _rejoined, _RANGE)
-    ranges = seen.where("at is null").select("doc_id", "source_id", "a", "b").unionByName(more)
-    return by_groups(ranges, ["doc_id"], _spans, "doc_id bigint, source_id bigint, start_word bigint, end_word bigint")
+    ranges = seen.where("at is null").select("doc_id", "ver", "source_id", "a", "b").unionByName(more)
+    return by_groups(ranges, ["doc_id", "ver"], _spans, "doc_id bigint, ver int, source_id bigint, start_word bigint, end_word bigint")
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """``doc_id, source_id, start_word, end_word`` of the repeated passages of
+    ``docs(doc_id, text)``; words are runs of letters, digits and characters
+    beyond ASCII, counted from 0."""
+    small_batches(docs.sparkSession)
+    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _found(_versions(docs)).drop("ver")
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -368,28 +466,35 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every repeated passage out of all documents but the first that has
-    it. A document without a word left goes; ``n_chars``, if there, follows."""
-    spans = stored(passages(docs), "spans")
-    spans = stored(spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans_")), "spans")
-    ids = spans.select("doc_id")
+    it. A document of which no word is left goes; ``n_chars``, if there,
+    follows. Rows with a null id or text, empty and short texts stay as they
+    are, as do extra columns; of rows of one id each is cut where its own text
+    repeats another id's; very long texts are read whole; an empty table stays
+    empty."""
+    small_batches(spark)
     names = docs.columns
-    sized = "n_chars" in names
+    ver, cuts = (next(f"{x}{k}" for k in range(len(names) + 1) if f"{x}{k}" not in names and f"{x}{k}id" not in names) for x in ("ver", "cuts"))
+    marked = _versions(docs, ver)
+    narrow = marked.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(ver).alias("ver"), F.col("text").cast("string").alias("text"))
+    spans = stored(_found(narrow), "spans")
+    spans = stored(spans.groupBy("doc_id", F.col("ver").alias(ver)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(cuts)), "spans")
+    ids = stored(spans.select("doc_id").distinct(), "ids")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [cut_words(t, [(x["start_word"], x["end_word"]) for x in s]) if t is not None else None for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans_").to_pylist())]
-            keep = pa.array([t is None or any(c.isalnum() for c in t) for t in texts], pa.bool_())
+            found = [s is not None and t is not None for t, s in zip(batch.column("text"), batch.column(cuts).to_pylist())]
+            texts = [cut_words(t, [(x["start_word"], x["end_word"]) for x in s]) if f else t for f, t, s in zip(found, batch.column("text").to_pylist(), batch.column(cuts).to_pylist())]
+            keep = pa.array([not f or any(c.isalnum() for c in t) for f, t in zip(found, texts)], pa.bool_())
             out = []
-            for f in batch.schema:
-                if f.name == "_spans_":
-                    continue
-                if f.name == "text":
+            for name in names:
+                f = batch.schema.field(name)
+                if name == "text":
                     out.append(pa.array(texts, f.type))
-                elif f.name == "n_chars" and sized:
-                    out.append(pa.array([None if t is None else len(t) for t in texts], f.type))
+                elif name == "n_chars" and pa.types.is_integer(f.type):
+                    out.append(pa.array([len(t) if f_ else n for f_, t, n in zip(found, texts, batch.column(name).to_pylist())], f.type))
                 else:
-                    out.append(batch.column(f.name))
-            yield pa.RecordBatch.from_arrays(out, names=[f.name for f in batch.schema if f.name != "_spans_"]).filter(keep)
+                    out.append(batch.column(name))
+            yield pa.RecordBatch.from_arrays(out, names=names).filter(keep)
 
-    changed = thinned(docs, ids, "left_semi").join(spans, "doc_id").select(*[F.col(f"`{c}`") for c in names], "_spans_").mapInArrow(work, docs.schema)
+    changed = thinned(marked, ids, "left_semi").join(spans, ["doc_id", ver], "left").select(*[F.col(f"`{c}`") for c in names], cuts).mapInArrow(work, docs.schema)
     return thinned(docs, ids, "left_anti").unionByName(changed)

@@ -274,12 +274,93 @@ def test_passages_behind_other_firsts(spark):
     assert got[401].source_id == 400 and got[402].end_word - got[402].start_word >= 50
 
 
+def places_by_hand(rows):
+    """Of each row the words that near-duplicate stretches of rows of smaller ids cover."""
+    n, need = substrings.LEAST, substrings.NEEDED
+    value, starts = substrings._sequence(pa.array([t for _, t in rows], pa.string()))
+    value = [value[a:b].tolist() for a, b in zip(starts, starts[1:])]
+    out = {}
+    for k, (doc, _) in enumerate(rows):
+        hit = set()
+        for j, (source, _) in enumerate(rows):
+            if source >= doc or len(set(value[k]) & set(value[j])) < need // 2:
+                continue
+            mine = [value[k][i : i + n] for i in range(len(value[k]) - n + 1)]
+            theirs = [value[j][i : i + n] for i in range(len(value[j]) - n + 1)]
+            sets = [set(x) for x in theirs]
+            for i, x in enumerate(mine):
+                own = set(x)
+                for y, other in zip(theirs, sets):
+                    at = [p for p, v in enumerate(x) if v in other]
+                    if len(at) >= need and sum(v in own for v in y) >= need:
+                        hit |= set(range(i + at[0], i + at[-1] + 1))
+        out[k] = {w for p in hit for w in range(p, p + substrings.WIDTH)}
+    return out
+
+
+def test_passages_by_hand(spark):
+    rng = random.Random(21)
+    sources = [words(rng, 70) for _ in range(6)]
+    rows = []
+    for k in range(36):
+        body = words(rng, rng.randint(20, 60))
+        for _ in range(rng.randint(0, 2)):
+            p = list(rng.choice(sources))
+            kind = rng.randrange(6)
+            if kind == 1:
+                p = changed(rng, p, 1)
+            elif kind == 2:  # words put in and taken out
+                p[30:30] = words(rng, 2)
+            elif kind == 3:
+                del p[25:27]
+            elif kind == 4:  # halves exchanged
+                p = p[35:] + p[:35]
+            elif kind == 5:
+                p = p[10:]
+            body += [*p, *words(rng, rng.randint(5, 30))]
+        rows.append((k, " ".join(body)))
+    want = places_by_hand(rows)
+    got = {k: set() for k, _ in rows}
+    for r in substrings.passages(docs(spark, rows)).collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    assert all(got[k] <= want[k] for k in got)
+    assert sum(map(len, want.values())) > 1000 and sum(map(len, got.values())) >= 0.99 * sum(map(len, want.values()))
+
+
+def test_parts_of_a_passage_are_no_passage(spark):
+    """34 words of one end and 34 of another, 300 words away, don't make a stretch."""
+    rng = random.Random(2)
+    source = words(rng, 400)
+    rows = [(0, " ".join(source))]
+    for k in range(1, 60):
+        ws = words(rng, 30)
+        at = rng.randrange(0, 20)
+        rows.append((k, " ".join([*ws, *source[at : at + 34], *source[at + 334 : at + 368], *words(rng, 30)])))
+    want = places_by_hand([rows[0]] + rows[1:2])[1]
+    found = [r for r in substrings.passages(docs(spark, rows)).collect() if r.source_id == 0]
+    assert not want and not found
+
+
+def test_spans_belong_to_their_row(spark):
+    rng = random.Random(6)
+    one, long, clean = words(rng, 120), words(rng, 100), words(rng, 90)
+    rows = [(1, " ".join(one)), (2, " ".join([*long, *one[10:70]])), (2, " ".join(clean)), (3, " ".join([*clean[5:80], *words(rng, 10)]))]
+    frame = docs(spark, rows).select("*", F.lit(1).alias("_spans_"), F.lit("x").alias("ver0"), F.lit("y").alias("ver1id"), F.lit(2).alias("cuts0"))
+    out = substrings.stage(spark, frame, SF).collect()
+    left = {(r.doc_id, r.text[:6]): len(r.text.split()) for r in out}
+    assert left[2, rows[1][1][:6]] <= 104 and left[2, rows[2][1][:6]] == 90 and left[1, rows[0][1][:6]] == 120 and [len(r.text.split()) < 20 for r in out if r.doc_id == 3] == [True]
+    assert all((r._spans_, r.ver0, r.ver1id, r.cuts0) == (1, "x", "y", 2) for r in out) and out[0].__fields__ == frame.columns
+
+
 def test_passages_odd(spark):
     assert substrings.passages(docs(spark, [])).count() == 0
     text = " ".join(words(random.Random(1), 80))
     rows = [(1, text), (1, text), (2, text.upper()), (3, "x " + text)]
     got = {(r.doc_id, r.source_id) for r in substrings.passages(docs(spark, rows)).collect()}
     assert got == {(2, 1), (3, 1)}
+    assert substrings.stage(spark, docs(spark, []), SF).count() == 0
+    kept = substrings.stage(spark, docs(spark, [(None, text), (None, None), (4, None), (4, ""), (4, "-")]), SF)
+    assert kept.count() == 5
     left = substrings.stage(spark, docs(spark, rows), SF)
     assert sorted((r.doc_id, r.text[:2]) for r in left.collect()) == sorted([(1, text[:2]), (1, text[:2]), (3, "x ")])
     assert substrings.cut_words("Ab, cd. Ef!", [(1, 2)]) == "Ab, Ef!" and substrings.cut_words("a b", [(0, 2)]) == ""
