@@ -141,10 +141,9 @@ def _reach(shared: np.ndarray, good: np.ndarray) -> np.ndarray:
     after = np.minimum.accumulate(np.where(shared, place, SPAN)[:, ::-1], axis=1)[:, ::-1]
     before = np.maximum.accumulate(np.where(shared, place, -1), axis=1)
     row, i = np.nonzero(good)
-    edge = np.zeros((len(shared), SPAN + 1), np.int32)
-    np.add.at(edge, (row, after[row, i]), 1)
-    np.add.at(edge, (row, before[row, i + LEAST - 1] + 1), -1)
-    return np.cumsum(edge, axis=1)[:, :SPAN] > 0
+    cells = len(shared) * (SPAN + 1)
+    edge = np.bincount(row * (SPAN + 1) + after[row, i], minlength=cells) - np.bincount(row * (SPAN + 1) + before[row, i + LEAST - 1] + 1, minlength=cells)
+    return np.cumsum(edge.reshape(-1, SPAN + 1), axis=1)[:, :SPAN] > 0
 
 
 def aligned(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray, needed: int = NEEDED) -> np.ndarray:
@@ -172,10 +171,14 @@ def unaligned(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray,
         there, here = _sums(match, 2) > 0, _sums(match, 1) > 0  # (place, stretch of b), (stretch of a, place)
         good = (_sums(there, 1) >= needed) & (_sums(here, 2) >= needed)
         good &= (_sums(in_a[part][some], 1) == LEAST)[:, :, None] & (_sums(in_b[part][some], 1) == LEAST)[:, None, :]
-        row, x = np.nonzero(good.any(1))
+        # stretches of b that share the same places of a and are near the same stretches of it count once
+        new = good.any(1)
+        new[:, 1:] &= (there[:, :, 1:] != there[:, :, :-1]).any(1) | (good[:, :, 1:] != good[:, :, :-1]).any(1)
+        row, x = np.nonzero(new)
         if len(row):
             found = _reach(there[row, :, x], good[row, :, x])
-            np.logical_or.at(out, (k + some[row]), found)
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            out[k + some[row[first]]] = np.logical_or.reduceat(found, first, axis=0)
     return out
 
 
@@ -209,46 +212,56 @@ def _ranges(doc: int, ver: int, source: np.ndarray) -> dict[str, pa.Array]:
 
 
 def _verified(group: pa.Table) -> pa.Table | None:
-    """The places found in one document, each with its smallest source; and its
+    """The places found in one document, each with a source of it; and its
     windows of minima that others share, with a mark of the shingles around
     and, if the minimum's place isn't found, which places aren't."""
     own = np.frombuffer(group.column("shingles")[0].as_py(), np.uint32)
     source = np.full(len(own), _NONE)
-    here, key, flat, there, lo, hi, of = [], [], [], [], [], [], []
-    begin = 0
-    for k in range(group.num_rows):
-        at = group.column("there")[k].values.to_numpy().astype(np.int64)
-        other = np.frombuffer(group.column("other")[k].as_py(), np.uint32)
-        parts = np.array(_stretches(at), np.int64)
-        where = np.cumsum(parts[:, 1] - parts[:, 0]) - (parts[:, 1] - parts[:, 0])
-        stretch = np.searchsorted(parts[:, 0], at, side="right") - 1
-        here.append(group.column("here")[k].values.to_numpy().astype(np.int64))
-        key.append(group.column("keys")[k].values)
-        there.append(begin + where[stretch] + at - parts[stretch, 0])
-        lo.append(begin + where[stretch])
-        hi.append(begin + np.minimum(where[stretch] + parts[stretch, 1] - parts[stretch, 0], len(other)))
-        of.append(np.full(len(at), group.column("source_id")[k].as_py()))
+    lists = {c: group.column(c).combine_chunks() for c in ("here", "there", "keys")}
+    here, at, key = lists["here"].flatten().to_numpy().astype(np.int64), lists["there"].flatten().to_numpy().astype(np.int64), lists["keys"].flatten()
+    size = lists["here"].value_lengths().to_numpy()
+    of = np.repeat(group.column("source_id").to_numpy(), size)
+    # the stretches of all sources, one after the other, and the windows' places in them
+    there, lo, hi = np.empty(len(at), np.int64), np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    flat, begin, i = [], 0, 0
+    for n, raw in zip(size.tolist(), group.column("other").to_pylist()):
+        other, own_at = np.frombuffer(raw, np.uint32), at[i : i + n]
+        parts = np.array(_stretches(own_at), np.int64)
+        end = np.cumsum(parts[:, 1] - parts[:, 0])
+        where = end - (parts[:, 1] - parts[:, 0])
+        stretch = np.searchsorted(parts[:, 0], own_at, side="right") - 1
+        there[i : i + n] = begin + where[stretch] + own_at - parts[stretch, 0]
+        lo[i : i + n] = begin + where[stretch]
+        hi[i : i + n] = begin + np.minimum(end[stretch], len(other))
         flat.append(other)
-        begin += len(other)
-    here, there, lo, hi, of, flat = (np.concatenate(x) for x in (here, there, lo, hi, of, flat))
+        begin, i = begin + len(other), i + n
+    flat = np.concatenate(flat)
     zero, end = np.zeros(len(here), np.int64), np.full(len(here), len(own))
     reach = np.arange(1 - LEAST, LEAST)
-    for compare in (aligned, unaligned):
-        todo = np.flatnonzero(source[here] == _NONE) if compare is unaligned else np.arange(len(here))
-        for k in range(0, len(todo), 4096):
-            some = todo[k : k + 4096]
+    around, until = np.maximum(here - LEAST + 1, 0), np.minimum(here + LEAST, len(own))
+    # first a few windows, as one finds the places of its neighbours too
+    for compare, every in ((aligned, 8), (aligned, 1), (unaligned, 4), (unaligned, 1)):
+        left = source == _NONE
+        if compare is aligned:  # windows with a place left around them
+            n_left = np.concatenate([[0], np.cumsum(left)])
+            todo = np.flatnonzero(n_left[until] > n_left[around])[every // 2 :: every]
+        else:
+            todo = np.flatnonzero(left[here])[every // 2 :: every]
+        for k in range(0, len(todo), 2048):
+            some = todo[k : k + 2048]
             found = compare(*_around(own, here[some], zero[some], end[some]), *_around(flat, there[some], lo[some], hi[some]))
             row, place = np.nonzero(found)
             np.minimum.at(source, here[some[row]] + reach[place], of[some[row]])
     doc, ver = group.column("doc_id")[0].as_py(), group.column("ver")[0].as_py()
-    key = pa.concat_arrays(key)
     shared = key.is_valid().to_numpy(zero_copy_only=False)
     at, key = here[shared], key.drop_null().to_numpy()
     left = source == _NONE
     first, last = np.maximum(at - LEAST + 1, 0), np.minimum(at + LEAST, len(own))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own.astype(np.uint64)))])
     mark = mix(sums[last] - sums[first]) ^ (last - first).astype(np.uint64)
-    bits = [np.packbits(left[i:j]).tobytes() if left[c] else None for c, i, j in zip(at, first, last)]
+    bits = np.full(len(at), None, object)
+    for k in np.flatnonzero(left[at]):
+        bits[k] = np.packbits(left[first[k] : last[k]]).tobytes()
     windows = {"doc_id": pa.array(np.full(len(at), doc)), "ver": pa.array(np.full(len(at), ver), pa.int32()), "key": pa.array(key, pa.int64()), "at": pa.array(at, pa.int32()), "mark": pa.array(mark.view(np.int64)), "left": pa.array(bits, pa.binary())}
     return pa.concat_tables([pa.table(_ranges(doc, ver, source)), pa.table(windows)], promote_options="default").select(["doc_id", "ver", "source_id", "a", "b", "key", "at", "mark", "left"])
 
@@ -337,10 +350,15 @@ def rejoined(docs: np.ndarray, los: list[int], lefts: list[bytes | None], around
             has[np.repeat(np.arange(len(part)), size), cells] = True
             shared = np.zeros((len(part), len(s)), bool)
             shared[:, known] = has[:, place + 1]
-            likely = part[(shared & reached(shared))[:, left].any(axis=1)]
-            for few in np.split(likely, range(32, len(likely), 32)):
-                if not len(few) or not left.any():
+            reach = shared & reached(shared)
+            todo, batch = np.ones(len(part), bool), 1
+            while left.any():
+                todo &= reach[:, left].any(axis=1)
+                turn = np.flatnonzero(todo)[:batch]
+                if not len(turn):
                     break
+                todo[turn], batch = False, min(32, 4 * batch)
+                few = part[turn]
                 mine = [s] * len(few)
                 hits = unaligned(*_padded(mine), *_padded([around[order[x]] for x in few]), needed=needed)[:, : len(s)]
                 for x, hit in zip(few, hits):
@@ -414,13 +432,12 @@ def _found(docs: DataFrame) -> DataFrame:
             low = value.astype(np.uint32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ver"), pa.array([low[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary())], names=["doc_id", "ver", "shingles"])
 
-    def shingled(ids: DataFrame) -> DataFrame:
-        s = thinned(docs, stored(ids.distinct(), "ids"), "left_semi").mapInArrow(work, "doc_id bigint, ver int, shingles binary")
-        return s.dropDuplicates(["doc_id", "ver"])  # repeated rows are equal
-
-    sources = shingled(pairs.select(F.col("source_id").alias("doc_id"))).withColumnsRenamed({"doc_id": "source_id", "ver": "source_ver"})
-    cut = pairs.join(sources, ["source_id", "source_ver"]).mapInArrow(_cut, "doc_id bigint, ver int, source_id bigint, here array<int>, there array<int>, keys array<bigint>, other binary")
-    both = cut.join(shingled(pairs.select("doc_id")), ["doc_id", "ver"])
+    ids = stored(pairs.select("doc_id").unionByName(pairs.select(F.col("source_id").alias("doc_id"))).distinct(), "ids")
+    shingled = thinned(docs, ids, "left_semi").mapInArrow(work, "doc_id bigint, ver int, shingles binary")
+    shingled = stored(shingled.dropDuplicates(["doc_id", "ver"]), "shingled")  # repeated rows are equal
+    cut = pairs.join(shingled.withColumnsRenamed({"doc_id": "source_id", "ver": "source_ver"}), ["source_id", "source_ver"])
+    cut = cut.mapInArrow(_cut, "doc_id bigint, ver int, source_id bigint, here array<int>, there array<int>, keys array<bigint>, other binary")
+    both = cut.join(shingled, ["doc_id", "ver"])
     seen = stored(by_groups(both, ["doc_id", "ver"], _verified, _RANGE + ", key bigint, at int, mark bigint, left binary"), "seen")
 
     # windows whose minimum isn't found, and the first of each surroundings in smaller documents
@@ -432,7 +449,7 @@ def _found(docs: DataFrame) -> DataFrame:
     low = others.groupBy("key").agg(F.min("doc_id").alias("low"))
     need = others.unionByName(goals.join(low, "key").where("doc_id > low").select("key", "doc_id", "ver", "at", "left"))
     need = stored(need.groupBy("doc_id", "ver").agg(F.collect_list(F.struct("key", "at", "left")).alias("windows")), "need")  # at most twice the windows of one document
-    around = need.join(shingled(need.select("doc_id")), ["doc_id", "ver"]).mapInArrow(_surroundings, "key bigint, doc_id bigint, ver int, lo bigint, left binary, around binary")
+    around = need.join(shingled, ["doc_id", "ver"]).mapInArrow(_surroundings, "key bigint, doc_id bigint, ver int, lo bigint, left binary, around binary")
     more = by_groups(around, ["key"], _rejoined, _RANGE)
     ranges = seen.where("at is null").select("doc_id", "ver", "source_id", "a", "b").unionByName(more)
     return by_groups(ranges, ["doc_id", "ver"], _spans, "doc_id bigint, ver int, source_id bigint, start_word bigint, end_word bigint")
