@@ -163,10 +163,12 @@ def thinned(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def by_groups(df: DataFrame, keys: list[str], work, schema: str, partitions: int | None = None) -> DataFrame:
+def by_groups(df: DataFrame, keys: list[str], work, schema: str, partitions: int | None = None, together: tuple[int, int] = (1, 1)) -> DataFrame:
     """Deal ``df`` out by ``keys`` and give ``work`` one pyarrow table for each
     group, whole; it returns a table of ``schema`` or None. Groups follow each
-    other in a sorted stream, so only one group is held at a time."""
+    other in a sorted stream, so only one group is held at a time, or, for work
+    that takes several at once, whole groups until these are ``together`` rows
+    or bytes."""
     names = list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +186,7 @@ def by_groups(df: DataFrame, keys: list[str], work, schema: str, partitions: int
                 if out is not None and out.num_rows:
                     yield from out.to_batches()
 
-        last = None
+        last, rows, size = None, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -193,13 +195,15 @@ def by_groups(df: DataFrame, keys: list[str], work, schema: str, partitions: int
                 col = batch.column(k).to_numpy(zero_copy_only=False)
                 change[1:] |= col[1:] != col[:-1]
             first = tuple(batch.column(k)[0].as_py() for k in names)
-            if last is not None and first != last:
-                yield from done()
             cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if i:
+            ended = last is not None and first != last
+            for a, b in zip(cuts, cuts[1:]):
+                if ended and (rows >= together[0] or size >= together[1]):
                     yield from done()
-                held.append(batch.slice(a, b - a))
+                    rows = size = 0
+                part = batch.slice(a, b - a)
+                held.append(part)
+                rows, size, ended = rows + b - a, size + part.nbytes, True
             last = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in names)
         yield from done()
 

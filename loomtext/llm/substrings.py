@@ -53,6 +53,8 @@ from ._shared import BROADCAST_IDS, NOT_WORD, by_groups, mix, shingles, slices,
 WORDS, WIDTH, SIMILARITY = 50, 5, 0.8
 LEAST = WORDS - WIDTH + 1
 HASHES = 3
+#: Documents are verified together until they hold so many rows or bytes.
+TOGETHER = 64, 4 << 20
 #: Places around a minimum that stretches with it can reach.
 SPAN = 2 * LEAST - 1
 #: Shingles of a stretch that must agree: m / (2 LEAST - m) >= SIMILARITY.
@@ -82,16 +84,44 @@ def nearest_smaller(h: np.ndarray, bound: np.ndarray, ties: bool) -> np.ndarray:
     return np.maximum(at, bound - 1)
 
 
+def _least_places(h: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
+    """The places that are the (leftmost) minimum of some ``least`` following
+    values of one text, by minima from the borders of blocks of that length."""
+    n = len(h)
+    if n < least:
+        return np.empty(0, np.int64)
+    low = np.uint64((1 << 20) - 1)
+    packed = np.full(-(-n // least) * least, np.iinfo(np.uint64).max, np.uint64)
+    packed[:n] = (h & ~low) | (np.arange(n, dtype=np.uint64) & low)
+    blocks = packed.reshape(-1, least)
+    until = np.minimum.accumulate(blocks, axis=1).ravel()
+    since = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    begin = np.arange(n - least + 1)
+    least_of = np.minimum(since[begin], until[begin + least - 1])
+    place = begin + ((least_of & low).astype(np.int64) - begin) % (1 << 20)
+    last = np.repeat(starts[1:], np.diff(starts))[begin]
+    place = place[begin + least <= last]
+    return place[np.flatnonzero(np.diff(place, prepend=-1))] if len(place) else place
+
+
 def compact_windows(value: np.ndarray, starts: np.ndarray, seed: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, l, c, r (places in ``value``) of the windows of ``least`` or more."""
+    """Hash, l, c, r (places in ``value``) of the windows of ``least`` or more.
+
+    Their minima are found first. All places above one of these in the
+    Cartesian tree have wider windows and so are among them: the tree of these
+    alone gives their l and r."""
     h = mix(value ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) % (1 << 64)))
-    size = np.diff(starts)
-    first, last = np.repeat(starts[:-1], size), np.repeat(starts[1:], size)
-    left = nearest_smaller(h, first, True) + 1
-    n = len(h)
-    right = n - 2 - nearest_smaller(h[::-1], n - last[::-1], False)[::-1]
-    c = np.flatnonzero(right - left + 1 >= least)
-    return h[c], left[c], c, right[c]
+    c = _least_places(h, starts, least)
+    text = np.searchsorted(starts, c, side="right") - 1
+    edge = np.searchsorted(c, starts)
+    first, last = edge[:-1][text], edge[1:][text]
+    low, n = h[c], len(c)
+    left = nearest_smaller(low, first, True)
+    right = n - 1 - nearest_smaller(low[::-1], n - last[::-1], False)[::-1]
+    around = np.r_[c, 0]
+    begin = np.where(left >= first, around[left] + 1, starts[:-1][text])
+    end = np.where(right < last, around[np.minimum(right, n)] - 1, starts[1:][text] - 1)
+    return low, begin, c, end
 
 
 def _windows(docs: DataFrame) -> DataFrame:
@@ -202,25 +232,21 @@ _RANGE = "doc_id bigint, ver int, source_id bigint, a bigint, b bigint"
 _NONE = np.iinfo(np.int64).max
 
 
-def _ranges(doc: int, ver: int, source: np.ndarray) -> dict[str, pa.Array]:
-    """The found places of a document, in ranges of one source."""
-    edge = np.flatnonzero(np.diff(np.r_[_NONE, source, _NONE]))
-    a, b = edge[:-1], edge[1:]
-    found = source[a] < _NONE
-    a, b = a[found], b[found]
-    return {"doc_id": pa.array(np.full(len(a), doc)), "ver": pa.array(np.full(len(a), ver), pa.int32()), "source_id": pa.array(source[a]), "a": pa.array(a), "b": pa.array(b)}
-
-
 def _verified(group: pa.Table) -> pa.Table | None:
-    """The places found in one document, each with a source of it; and its
-    windows of minima that others share, with a mark of the shingles around
-    and, if the minimum's place isn't found, which places aren't."""
-    own = np.frombuffer(group.column("shingles")[0].as_py(), np.uint32)
+    """For each document of ``group`` the places found, each with a source of
+    it; and its windows of minima that others share, with a mark of the
+    shingles around and, if the minimum's place isn't found, which places
+    aren't."""
+    doc, ver = group.column("doc_id").to_numpy(), group.column("ver").to_numpy()
+    head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (ver[1:] != ver[:-1])])
+    texts = [np.frombuffer(x, np.uint32) for x in group.column("shingles").take(pa.array(head)).to_pylist()]
+    own, base = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    text_of = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(doc)]))  # of each row
     source = np.full(len(own), _NONE)
     lists = {c: group.column(c).combine_chunks() for c in ("here", "there", "keys")}
-    here, at, key = lists["here"].flatten().to_numpy().astype(np.int64), lists["there"].flatten().to_numpy().astype(np.int64), lists["keys"].flatten()
     size = lists["here"].value_lengths().to_numpy()
-    of = np.repeat(group.column("source_id").to_numpy(), size)
+    text_of, of = np.repeat(text_of, size), np.repeat(group.column("source_id").to_numpy(), size)
+    here, at, key = lists["here"].flatten().to_numpy() + base[text_of], lists["there"].flatten().to_numpy().astype(np.int64), lists["keys"].flatten()
     # the stretches of all sources, one after the other, and the windows' places in them
     there, lo, hi = np.empty(len(at), np.int64), np.empty(len(at), np.int64), np.empty(len(at), np.int64)
     flat, begin, i = [], 0, 0
@@ -236,34 +262,39 @@ def _verified(group: pa.Table) -> pa.Table | None:
         flat.append(other)
         begin, i = begin + len(other), i + n
     flat = np.concatenate(flat)
-    zero, end = np.zeros(len(here), np.int64), np.full(len(here), len(own))
     reach = np.arange(1 - LEAST, LEAST)
-    around, until = np.maximum(here - LEAST + 1, 0), np.minimum(here + LEAST, len(own))
+    first, last = np.maximum(here - LEAST + 1, base[text_of]), np.minimum(here + LEAST, base[text_of + 1])
     # first a few windows, as one finds the places of its neighbours too
     for compare, every in ((aligned, 8), (aligned, 1), (unaligned, 4), (unaligned, 1)):
         left = source == _NONE
         if compare is aligned:  # windows with a place left around them
             n_left = np.concatenate([[0], np.cumsum(left)])
-            todo = np.flatnonzero(n_left[until] > n_left[around])[every // 2 :: every]
+            todo = np.flatnonzero(n_left[last] > n_left[first])[every // 2 :: every]
         else:
             todo = np.flatnonzero(left[here])[every // 2 :: every]
         for k in range(0, len(todo), 2048):
             some = todo[k : k + 2048]
-            found = compare(*_around(own, here[some], zero[some], end[some]), *_around(flat, there[some], lo[some], hi[some]))
+            found = compare(*_around(own, here[some], first[some], last[some]), *_around(flat, there[some], lo[some], hi[some]))
             row, place = np.nonzero(found)
             np.minimum.at(source, here[some[row]] + reach[place], of[some[row]])
-    doc, ver = group.column("doc_id")[0].as_py(), group.column("ver")[0].as_py()
     shared = key.is_valid().to_numpy(zero_copy_only=False)
-    at, key = here[shared], key.drop_null().to_numpy()
+    at, text_of, first, last, key = here[shared], text_of[shared], first[shared], last[shared], key.drop_null().to_numpy()
     left = source == _NONE
-    first, last = np.maximum(at - LEAST + 1, 0), np.minimum(at + LEAST, len(own))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own.astype(np.uint64)))])
     mark = mix(sums[last] - sums[first]) ^ (last - first).astype(np.uint64)
     bits = np.full(len(at), None, object)
     for k in np.flatnonzero(left[at]):
         bits[k] = np.packbits(left[first[k] : last[k]]).tobytes()
-    windows = {"doc_id": pa.array(np.full(len(at), doc)), "ver": pa.array(np.full(len(at), ver), pa.int32()), "key": pa.array(key, pa.int64()), "at": pa.array(at, pa.int32()), "mark": pa.array(mark.view(np.int64)), "left": pa.array(bits, pa.binary())}
-    return pa.concat_tables([pa.table(_ranges(doc, ver, source)), pa.table(windows)], promote_options="default").select(["doc_id", "ver", "source_id", "a", "b", "key", "at", "mark", "left"])
+    doc, ver = doc[head], ver[head]
+    windows = {"doc_id": doc[text_of], "ver": ver[text_of], "key": key, "at": (at - base[text_of]).astype(np.int32), "mark": mark.view(np.int64), "left": pa.array(bits, pa.binary())}
+    # the found places in ranges of one text and source
+    text = np.repeat(np.arange(len(texts)), np.diff(base))
+    cut = np.flatnonzero(np.r_[True, (source[1:] != source[:-1]) | (text[1:] != text[:-1])])
+    until = np.r_[cut[1:], len(own)]
+    found = source[cut] < _NONE
+    cut, until = cut[found], until[found]
+    ranges = {"doc_id": doc[text[cut]], "ver": ver[text[cut]], "source_id": source[cut], "a": cut - base[text[cut]], "b": until - base[text[cut]]}
+    return pa.concat_tables([pa.table(ranges), pa.table(windows)], promote_options="default").select(["doc_id", "ver", "source_id", "a", "b", "key", "at", "mark", "left"])
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,9 +326,11 @@ def rejoined(docs: np.ndarray, los: list[int], lefts: list[bytes | None], around
     goals = [k for k in range(len(docs)) if lefts[k] is not None]
     if not order or not goals:
         return []
-    sets = [np.unique(around[k]) for k in order]
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-    value = np.concatenate(sets)
+    lengths = np.array([len(around[k]) for k in order])
+    both = np.repeat(np.arange(len(order), dtype=np.uint64) << np.uint64(32), lengths) | np.concatenate([around[k] for k in order])
+    both = np.unique(both)  # the distinct shingles of each source
+    starts = np.searchsorted(both, np.arange(len(order) + 1, dtype=np.uint64) << np.uint64(32))
+    value = both.astype(np.uint32)
     by_value = np.argsort(value, kind="stable")
     shingle, first, count = np.unique(value[by_value], return_index=True, return_counts=True)
     owner = np.repeat(np.arange(len(order)), np.diff(starts))[by_value]
@@ -438,7 +471,7 @@ def _found(docs: DataFrame) -> DataFrame:
     cut = pairs.join(shingled.withColumnsRenamed({"doc_id": "source_id", "ver": "source_ver"}), ["source_id", "source_ver"])
     cut = cut.mapInArrow(_cut, "doc_id bigint, ver int, source_id bigint, here array<int>, there array<int>, keys array<bigint>, other binary")
     both = cut.join(shingled, ["doc_id", "ver"])
-    seen = stored(by_groups(both, ["doc_id", "ver"], _verified, _RANGE + ", key bigint, at int, mark bigint, left binary"), "seen")
+    seen = stored(by_groups(both, ["doc_id", "ver"], _verified, _RANGE + ", key bigint, at int, mark bigint, left binary", together=TOGETHER), "seen")
 
     # windows whose minimum isn't found, and the first of each surroundings in smaller documents
     rest = seen.where("at is not null").select("key", "doc_id", "ver", "at", "mark", "left")
