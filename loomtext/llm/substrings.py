@@ -346,7 +346,6 @@ def rejoined(docs: np.ndarray, los: list[int], lefts: list[bytes | None], around
     there = (shingle[at] == flat) & (owner[first[at]] < np.repeat(smaller, sizes))
     lefts_there = there & np.concatenate([np.unpackbits(np.frombuffer(lefts[y], np.uint8), count=len(around[y])) for y in goals]).astype(bool)
     begins = np.concatenate([[0], np.cumsum(sizes)])
-    n_left = np.concatenate([[0], np.cumsum(lefts_there)])
 
     def reached(shared: np.ndarray) -> np.ndarray:
         """Which places (columns) lie in a stretch of LEAST with ``needed`` shared."""
@@ -357,8 +356,17 @@ def rejoined(docs: np.ndarray, los: list[int], lefts: list[bytes | None], around
         p = np.arange(shared.shape[1])
         return good[:, np.minimum(p, shared.shape[1] - LEAST) + 1] > good[:, np.maximum(p - LEAST + 1, 0)]
 
+    # most goals end here: too little around them stands in smaller documents at all
+    live = []
+    for a in range(0, len(goals), 4096):
+        size = sizes[a : a + 4096]
+        inside = np.arange(max(SPAN, size.max())) < size[:, None]
+        whole, wanted = np.zeros(inside.shape, bool), np.zeros(inside.shape, bool)
+        whole[inside], wanted[inside] = (x[begins[a] : begins[a] + size.sum()] for x in (there, lefts_there))
+        live.append(a + np.flatnonzero((wanted & reached(whole)).any(1) & (size >= LEAST)))
+
     out = []
-    for k in np.flatnonzero((n_left[begins[1:]] > n_left[begins[:-1]]) & (sizes >= LEAST)):
+    for k in np.concatenate(live):
         y, i, j = goals[k], begins[k], begins[k + 1]
         s, ids, known = around[y], at[i:j], there[i:j]
         left = lefts_there[i:j] & reached(known[None])[0]
