@@ -1,20 +1,29 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into text blocks, each with its root-to-leaf path of block
-elements. Text length and punctuation are added up per path and divided by the
-path's blocks; the two series are smoothed over the page, fused into one and
-thresholded by their spread, which selects the content paths. The article is
-what stands around the selected blocks: the ``article`` or ``main`` elements
-that hold them, or else the page between the first and the last of them.
-Parts that their element, role, class or id marks as menu, header, footer,
-sidebar, notice, advert, form or comments are left out before.
-
-A page is worked on alone, in one narrow pass without a shuffle.
+elements. Text length (without links) and punctuation are added up per path and
+divided by the path's blocks. The two series are smoothed over the page, where
+blocks of the same path weigh fully and others little, and fused into one, with
+the spread of the path's text lengths, as running text varies and notices
+don't; a path's value is the mean over its blocks, and paths are thresholded by the
+spread of the values and by the largest one. The blocks of the paths that reach
+the threshold are the article, with the headings that belong to them and the
+lists and quotations that stand beside them; all other blocks go.
+
+Before that, elements that can't be article by HTML's own meaning are left out:
+menus, footers, asides, forms, scripts and the like, and what is hidden.
+Class names and ids (advert, sidebar, comments and so on) and, on pages that
+have an ``article`` or ``main``, standing outside of it only lower a path's
+value, so a telling name on the article itself takes nothing away.
+
+A page is worked on alone, in one narrow pass without a shuffle and in time in
+proportion to its length, however deep elements nest.
 
 Defined cases: null and empty pages, and pages without text, give ''; broken
 or unclosed markup is read as browsers read it, as far as blocks go; very long
-pages are read whole; ties in the fused series are all selected; repeated rows
-give repeated results; extra columns are left alone.
+pages are read whole; ties in the values are all selected; repeated rows give
+repeated results; an empty table gives an empty result; extra columns are left
+alone.
 """
 
 from __future__ import annotations
@@ -35,6 +44,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title noscript iframe xmp noframes".split())
 BLOCK = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr details summary center nav header footer aside form fieldset menu dialog".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
+LIST = set("ul ol dl blockquote pre".split())
+LISTED = LIST | {"li", "dt", "dd", "p"}
 #: Elements that the start of the key's element closes, up to a wall.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALL = set("html body ul ol dl table article section div main blockquote".split())
@@ -54,166 +65,254 @@ MARKS = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 SPACES = re.compile(r"\s+")
 
 
+#: Value of a path whose names say that it isn't the article, and of one that
+#: stands outside of the page's article or main.
+NAMED, OUTSIDE = 0.1, 0.1
+#: Weight in the smoothing of a neighbour of another path.
+STRANGE = 0.03
+#: Threshold: shares of the values' standard deviation and of the largest value.
+SPREAD, LARGEST = 0.5, 0.15
+
+
+class Element:
+    """An open element. It knows its parent, so nothing is copied per block."""
+
+    __slots__ = ("name", "parent", "apart", "article", "linked", "path", "leaf")
+
+    def __init__(self, name: str, parent: Element | None, apart: bool, path: int, leaf: str):
+        self.name, self.parent, self.path, self.leaf = name, parent, path, leaf
+        self.apart = apart or (parent is not None and parent.apart)
+        self.article = name in ("article", "main") or (parent is not None and parent.article)
+        self.linked = name == "a" or (parent is not None and parent.linked)
+
+
 class Block:
-    __slots__ = ("path", "parents", "parts", "linked", "tag")
+    """A text block: ``path`` numbers its tag path, ``element`` is the block
+    element around it, ``linked`` the length of its links."""
 
-    def __init__(self, stack: list[tuple]):
-        self.path = "/".join(s[0] for s in stack if s[0] in BLOCK)
-        self.parents = tuple(s[1] for s in stack)
-        self.tag = next((s[0] for s in reversed(stack) if s[0] in BLOCK), "")
-        self.parts: list[str] = []
-        self.linked = 0
+    __slots__ = ("path", "element", "parts", "linked", "tag", "text")
 
-    @property
-    def text(self) -> str:
-        return SPACES.sub(" ", html.unescape("".join(self.parts))).strip()
+    def __init__(self, top: Element | None):
+        self.path, self.tag = (top.path, top.leaf) if top else (0, "")
+        self.element, self.linked, self.text = top, 0, ""
+        self.parts: list[str] = []
 
 
-def _apart(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element isn't part of an article. inside: of article or main."""
-    if name in APART:
-        return True
-    if name == "header":
-        return not inside
+def _kind(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element can't be part of an article, and whether its class or
+    id tells against it. inside: of article or main."""
+    if name in APART or (name == "header" and not inside):
+        return True, False
     if not attributes.strip() or name in ("html", "body"):
-        return False
+        return False, False
     found = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
-        return True
-    if name == "main":
-        return False
+        return True, False
+    if name in ("main", "article"):
+        return False, False
     if found.get("role", "").lower() in ROLES:
-        return True
+        return True, False
     named = f"{found.get('class', '')} {found.get('id', '')}"
-    return bool(named.strip() and NAMES.search(named))
-
-
-def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
-    """The text blocks outside of what is apart, in order, and the names of
-    the elements they stand in."""
-    stack: list[tuple] = []  # (name, number, is apart)
-    names: dict[int, str] = {}
-    out: list[Block] = []
-    now: Block | None = None
-    number, at, end = 0, 0, len(page)
-
-    def text(s: str) -> None:
-        nonlocal now
-        if not s or (stack and stack[-1][2]):
+    return False, bool(named.strip() and NAMES.search(named))
+
+
+class Page:
+    """The text blocks of a page, in order, and its tag paths: ``named`` and
+    ``article`` tell of each path whether a name on it tells against it, and
+    whether it is in an article."""
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.named, self.article = [False], [False]
+        self._numbers: dict[tuple, int] = {}
+        self._stack: list[Element] = []
+        self._open: defaultdict[str, int] = defaultdict(int)
+        self._now: Block | None = None
+        self._read(page)
+        for b in self.blocks:
+            b.text = SPACES.sub(" ", html.unescape("".join(b.parts))).strip()
+            b.parts = []
+        self.blocks = [b for b in self.blocks if b.text]
+
+    def _text(self, s: str) -> None:
+        top = self._stack[-1] if self._stack else None
+        if not s or (top is not None and top.apart):
             return
-        if now is None:
+        if self._now is None:
             if s.isspace():
                 return
-            now = Block(stack)
-            out.append(now)
-        now.parts.append(s)
-        if any(x[0] == "a" for x in stack):
-            now.linked += len(s)
-
-    def close(k: int) -> None:
-        nonlocal now
-        if any(s[0] in BLOCK for s in stack[k:]):
-            now = None
-        del stack[k:]
-
-    while at < end:
-        m = TAG.search(page, at)
-        if m is None:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            if page.startswith("<![CDATA[", m.start()):
-                text(html.escape(m[0][9:].removesuffix("]]>")))
-            continue
-        if m[1] or m[4]:  # end tag
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if stack[k][0] in WALL and name not in BLOCK:
-                    break
-            else:
-                if name == "p":
-                    now = None
-            continue
-        attributes = m[3] if m[2] else m[6] or ""
-        if name in VOID:
-            if name == "hr":
-                now = None
-            elif name in ("br", "wbr") and now is not None:
-                now.parts.append(" " if name == "br" else "")
-            continue
-        if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else end
-            continue
+            self._now = Block(top)
+            self.blocks.append(self._now)
+        self._now.parts.append(s)
+        if top is not None and top.linked:
+            self._now.linked += len(s)
+
+    def _start(self, name: str, attributes: str) -> None:
+        parent = self._stack[-1] if self._stack else None
+        apart, named = _kind(name, attributes, parent is not None and parent.article)
+        above = parent.path if parent else 0
+        path, leaf = above, parent.leaf if parent else ""
         if name in BLOCK:
-            if any(s[0] == "p" for s in stack):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in WALL:
-                        break
-            now = None
-        for k in range(len(stack) - 1, -1, -1) if name in CLOSES else ():
-            if stack[k][0] in CLOSES[name]:
-                close(k)
-                break
-            if stack[k][0] in WALL:
+            leaf = name
+            path = self._numbers.setdefault((above, name, named), len(self.named))
+            if path == len(self.named):
+                self.named.append(self.named[above] or named)
+                self.article.append(self.article[above] or name in ("article", "main"))
+        elif named:  # an inline element with a telling name
+            path = self._numbers.setdefault((above, "", named), len(self.named))
+            if path == len(self.named):
+                self.named.append(True)
+                self.article.append(self.article[above])
+        self._stack.append(Element(name, parent, apart, path, leaf))
+        self._open[name] += 1
+
+    def _close(self, k: int) -> None:
+        for x in self._stack[k:]:
+            self._open[x.name] -= 1
+            if x.name in BLOCK:
+                self._now = None
+        del self._stack[k:]
+
+    def _close_first(self, names: set[str]) -> None:
+        """Close the innermost of ``names``, up to a wall."""
+        if not any(self._open[n] for n in names):
+            return
+        for k in range(len(self._stack) - 1, -1, -1):
+            if self._stack[k].name in names:
+                return self._close(k)
+            if self._stack[k].name in WALL:
+                return None
+
+    def _end(self, name: str) -> None:
+        if not self._open[name]:
+            if name == "p":
+                self._now = None
+            return
+        for k in range(len(self._stack) - 1, -1, -1):
+            if self._stack[k].name == name:
+                return self._close(k)
+            if self._stack[k].name in WALL and name not in BLOCK:
+                return None
+
+    def _read(self, page: str) -> None:
+        at, end = 0, len(page)
+        while at < end:
+            m = TAG.search(page, at)
+            if m is None:
+                self._text(page[at:])
                 break
-        if attributes.rstrip().endswith("/") and name in ("svg", "path"):
-            continue
-        number += 1
-        inside = any(s[0] in ("article", "main") for s in stack)
-        names[number] = name
-        stack.append((name, number, bool(stack and stack[-1][2]) or _apart(name, attributes, inside)))
-    return [b for b in out if b.text], names
-
-
-def smooth(x: np.ndarray) -> np.ndarray:
-    """A Gaussian over two neighbours on either side."""
-    kernel = np.exp(-(np.arange(-2, 3) ** 2) / 2.0)
-    return np.convolve(x, kernel, "full")[2 : 2 + len(x)] / np.convolve(np.ones(len(x)), kernel, "full")[2 : 2 + len(x)]
-
-
-def selected(blocks: list[Block]) -> np.ndarray:
+            self._text(page[at : m.start()])
+            at = m.end()
+            name = (m[2] or m[5] or "").lower()
+            if not name:
+                if page.startswith("<![CDATA[", m.start()):
+                    self._text(html.escape(m[0][9:].removesuffix("]]>")))
+                continue
+            if m[1] or m[4]:
+                self._end(name)
+                continue
+            attributes = m[3] if m[2] else m[6] or ""
+            if name in VOID:
+                if name == "hr":
+                    self._now = None
+                elif name == "br" and self._now is not None:
+                    self._now.parts.append(" ")
+                continue
+            if name in RAW:
+                stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+                at = stop.end() if stop else end
+                continue
+            if name in BLOCK:
+                self._close_first({"p"})
+                self._now = None
+            if name in CLOSES:
+                self._close_first(CLOSES[name])
+            if not (attributes.rstrip().endswith("/") and name in ("svg", "path")):
+                self._start(name, attributes)
+
+
+def ratios(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text length and punctuation of each block's path, per block of it, and
+    the standard deviation of the lengths."""
+    path = np.array([b.path for b in page.blocks])
+    size = np.array([max(0, len(b.text) - b.linked) for b in page.blocks], float)
+    marks = np.array([len(MARKS.findall(b.text)) if len(b.text) > b.linked else 0 for b in page.blocks], float)
+    count = np.maximum(np.bincount(path), 1)
+    mean = np.bincount(path, size) / count
+    spread = np.sqrt(np.bincount(path, (size - mean[path]) ** 2) / count)
+    return mean[path], (np.bincount(path, marks) / count)[path], spread[path]
+
+
+def smooth(x: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """A Gaussian over two neighbours on either side, in which blocks of
+    another path weigh ``STRANGE``."""
+    total, weight = x.copy(), np.ones(len(x))
+    for gap in (1, 2):
+        w = np.exp(-(gap**2) / 2.0) * np.where(path[gap:] == path[:-gap], 1.0, STRANGE)
+        total[gap:] += w * x[:-gap]
+        total[:-gap] += w * x[gap:]
+        weight[gap:] += w
+        weight[:-gap] += w
+    return total / weight
+
+
+def selected(page: Page) -> np.ndarray:
     """Which blocks stand on content paths."""
-    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for b in blocks:
-        t = b.text
-        length[b.path] += max(0, len(t) - b.linked)
-        marks[b.path] += len(MARKS.findall(t))
-        count[b.path] += 1
-    size = smooth(np.array([length[b.path] / count[b.path] for b in blocks], float))
-    punctuation = smooth(np.array([marks[b.path] / count[b.path] for b in blocks], float))
-    fused = size * np.log1p(punctuation + 0.5)
-    return fused >= min(fused.std(), fused.max())
+    path = np.array([b.path for b in page.blocks])
+    size, marks, spread = ratios(page)
+    fused = smooth(size, path) * np.log1p(smooth(marks, path) + 0.5) * (1 + np.log1p(spread))
+    article = np.array(page.article)
+    lowered = np.where(page.named, NAMED, 1.0) * np.where(article | ~article[path].any(), 1.0, OUTSIDE)
+    count = np.bincount(path, minlength=len(lowered))
+    value = np.bincount(path, fused, minlength=len(lowered)) / np.maximum(count, 1) * lowered
+    value = value[path]
+    return value >= max(min(SPREAD * value.std(), value.max()), LARGEST * value.max())
+
+
+def _block(e: Element | None) -> Element | None:
+    while e is not None and e.name not in BLOCK:
+        e = e.parent
+    return e
+
+
+def completed(page: Page, chosen: np.ndarray) -> np.ndarray:
+    """``chosen`` and what belongs to it: headings right before a chosen block,
+    or of an element, smaller than the body, that holds one; and lists and
+    quotations, if no links, in the same element as a chosen block."""
+    holds: set[int] = set()
+    beside: set[int] = set()
+    for b, c in zip(page.blocks, chosen):
+        e = _block(b.element) if c and b.tag not in HEADING else None
+        if e is not None and e.parent is not None:
+            beside.add(id(_block(e.parent)))
+        while e is not None and id(e) not in holds and e.name not in ("body", "html"):
+            holds.add(id(e))
+            e = e.parent
+    out, following = chosen.copy(), False
+    for k in range(len(page.blocks) - 1, -1, -1):
+        b = page.blocks[k]
+        if b.tag in HEADING:
+            e = b.element
+            while e.name not in HEADING:
+                e = e.parent
+            around = _block(e.parent)
+            out[k] = following or (around is not None and id(around) in holds)
+            continue
+        following = bool(chosen[k])
+        if not chosen[k] and 2 * b.linked < len(b.text) and not page.named[b.path] and b.tag in LISTED:
+            e = b.element
+            while e is not None and e.name not in LIST and (e.name in LISTED or e.name not in BLOCK):
+                e = e.parent
+            out[k] = e is not None and e.name in LIST and id(_block(e.parent)) in beside
+    return out
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by an empty line."""
-    blocks, names = blocks_of(page or "")
-    if not blocks:
+    read = Page(page or "")
+    if not read.blocks:
         return ""
-    chosen = selected(blocks)
-    roots: dict[int, int] = defaultdict(int)
-    for b, c in zip(blocks, chosen):
-        root = next((p for p in b.parents if names[p] in ("article", "main")), None)
-        if c and root is not None:
-            roots[root] += len(b.text)
-    total = sum(len(b.text) for b, c in zip(blocks, chosen) if c)
-    if roots and 2 * sum(roots.values()) >= total:
-        kept = [b for b in blocks if any(p in roots for p in b.parents)]
-    else:
-        first, last = np.flatnonzero(chosen)[[0, -1]]
-        while first > 0 and blocks[first - 1].tag in HEADING:
-            first -= 1
-        kept = [b for k, b in enumerate(blocks) if first <= k <= last and (chosen[k] or 2 * b.linked <= len(b.text))]
-    return "\n\n".join(b.text for b in kept)
+    return "\n\n".join(b.text for b, keep in zip(read.blocks, completed(read, selected(read))) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:

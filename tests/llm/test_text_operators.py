@@ -189,6 +189,66 @@ def test_main_text():
     assert mainhtml.main_text("<" * 50_000) is not None
 
 
+PROSE = [
+    "The river rose over night, and by the morning the lower fields stood under water; nobody had seen it so high before.",
+    "She asked him twice. He didn't answer, but went on writing, page after page, until the lamp went out.",
+    "No.",
+    "In the end it was the miller who spoke: the dam, he said, had been weak for years, and everybody knew it. Who was to blame?",
+]
+
+
+def test_paths_choose_what_is_kept(monkeypatch):
+    p = "".join(f"<p>{x}</p>" for x in PROSE)
+    want = "\n\n".join(PROSE)
+    menu = "<table><tr><td>Home</td><td>News</td><td><a href='/'>Sport</a></td></tr></table>"
+    pages = [
+        f"<body><div>Buy two, get one. Only today!</div><div>{p}</div>{menu}</body>",
+        f"<body><div>{''.join(f'<p>{x}</p>' for x in PROSE[:2])}<div>Buy two, get one. Only today!</div><table><tr><td class=navx>Home</td></tr></table>{''.join(f'<p>{x}</p>' for x in PROSE[2:])}</div></body>",
+        f"<body><article class='post search'>{p}</article><div>Buy two, get one. Only today!</div></body>",
+        f"<body><div class='post share-buttons-on'>{p}</div></body>",
+        f"<body><article>{p}</article><section class=comments><p>{PROSE[0]}</p><p>{PROSE[1]}</p></section></body>",
+        f"<body><main><h2>The flood</h2>{p}</main><div><h3>More</h3><a href='/x'>{PROSE[0]}</a></div></body>",
+    ]
+    wants = [want] * 5 + ["The flood\n\n" + want]
+    assert [mainhtml.main_text(x) for x in pages] == wants
+    rng = np.random.default_rng(0)
+    for other in (lambda page: np.ones(len(page.blocks), bool), lambda page: rng.random(len(page.blocks)) < 0.5):
+        monkeypatch.setattr(mainhtml, "selected", other)
+        assert sum(mainhtml.main_text(x) != w for x, w in zip(pages, wants)) >= 4
+
+
+def test_ratios_by_hand():
+    page = mainhtml.Page("<body><div><p>One, two.</p><p>Three <a href=x>four</a>!</p><ul><li>Five</li></ul><p class=ad>Six; seven.</p></div></body>")
+    assert [b.text for b in page.blocks] == ["One, two.", "Three four!", "Five", "Six; seven."]
+    size, marks, spread = mainhtml.ratios(page)
+    lengths = {"p": [9, 7], "li": [4], "ad": [11]}  # without links
+    mean = [8, 8, 4, 11]
+    assert size.tolist() == mean and marks.tolist() == [1.5, 1.5, 0, 2] and spread.tolist() == [1, 1, 0, 0] and np.std(lengths["p"]) == 1
+    path = np.array([b.path for b in page.blocks])
+    w = lambda i, j: math.exp(-((i - j) ** 2) / 2) * (1 if path[i] == path[j] else mainhtml.STRANGE)
+    by_hand = [sum(w(i, j) * mean[j] for j in range(4) if abs(i - j) < 3) / sum(w(i, j) for j in range(4) if abs(i - j) < 3) for i in range(4)]
+    smoothed = mainhtml.smooth(size, path)
+    assert np.allclose(smoothed, by_hand)
+    punctuation = mainhtml.smooth(marks, path)
+    fused = [smoothed[i] * math.log1p(punctuation[i] + 0.5) * (1 + math.log1p(spread[i])) for i in range(4)]
+    value = [(fused[0] + fused[1]) / 2] * 2 + [fused[2], fused[3] * mainhtml.NAMED]
+    limit = max(min(0.5 * np.std(value), max(value)), 0.15 * max(value))
+    assert mainhtml.selected(page).tolist() == [v >= limit for v in value] == [True, True, False, False]
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        assert mainhtml.main_text("<div>" * n + "Some text, here." + "</b>" * n) == "Some text, here."
+        assert mainhtml.main_text("".join(f"<div>text {k}, is here. " for k in range(n))).count("is here") == n
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 24 * took(2_000)
+
+
 def test_main_text_query(spark):
     schema = "page_id long, url string, html string, text int, n_chars string"
     rows = [(1, "u", "<p>a, b.</p>", 1, "x"), (1, "u", "<p>a, b.</p>", 1, "x"), (None, None, None, None, None)]
