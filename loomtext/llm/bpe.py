@@ -1,36 +1,41 @@
 """BPE encoding and decoding by a distinct-word table.
 
-The text is split into pre-tokens ("words"); each distinct word of a slice is
-encoded once, and ids go back to the text by position. A word that has been
-seen before in the task is taken from the task's table, which is emptied when
-it holds ``TABLE_WORDS`` words, so memory is bounded. Decoding joins ids with
-the id-to-piece table of the vocabulary (50,257 rows: bounded, broadcast with
-the code).
-
-Each task holds its own distinct-word table. One table for the whole corpus
-would need every word position to be shuffled twice to join the ids back,
-which is several times the input; the words of a task give the same ids.
+Documents are put into groups of about ``GROUP_BYTES`` of text and stored with
+their group's number, bucketed by it, so that no text is shuffled afterwards.
+The texts are split into pre-tokens ("words"); a group gives each of its
+distinct words once. These rows are dealt out by word, where every distinct
+word of the corpus is met as one run and encoded once, and go back to their
+groups with the word's ids. A group and its words meet in one task, which puts
+the ids back by position. Decoding takes each id of the document to its piece
+through the id-to-piece table of the vocabulary (50,257 rows: bounded,
+broadcast).
 
 Defined cases: null and empty text give no ids; a special token's string
 inside a text becomes its id, as in the library; very long texts are encoded
-whole; repeated rows give repeated results; extra columns are left alone.
+whole (one makes a large group); ties don't arise; repeated rows give repeated
+results; a null id keeps its row; an empty table gives an empty result; extra
+columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
-from ._shared import slices, small_batches, table
+from ..sources.scratch import bucketed
+from ._shared import slices, small_batches, table, trim
 
-#: Words in a task's table, and ids in a decoded one.
-TABLE_WORDS = 100_000
+#: Text of a group of documents.
+GROUP_BYTES = 48 << 20
 #: The tokenizer's file in the package of vocabularies.
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -47,7 +52,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Codec:
-    """Encoder and decoder of one task. ``source``: the tokenizer's JSON."""
+    """Splitter, word encoder and pieces of a vocabulary. ``source``: the
+    tokenizer's JSON."""
 
     def __init__(self, source: str):
         from tokenizers import Tokenizer
@@ -64,8 +70,6 @@ class Codec:
         self.model = self.tokenizer.model
         self.piece = {i: bytes([code[c] for c in p]) for p, i in spec["model"]["vocab"].items()}
         self.piece |= {i: s.encode() for s, i in self.special.items()}
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.former: dict[str, tuple[int, str, bytes]] = {}
 
     def pieces(self, text: str) -> list[str]:
         # The two regex engines know different versions of Unicode. Up to
@@ -88,28 +92,6 @@ class Codec:
             return [self.special[word]]
         return [x.id for x in self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.shown))]
 
-    def learn(self, words: set[str]) -> None:
-        """Add the missing words to the table: number of ids, ids, bytes. A
-        full table becomes the former one, from which words move back when
-        they are met again; so frequent words are not encoded twice."""
-        if len(self.known) + len(words) > TABLE_WORDS:
-            self.former, self.known = self.known, {}
-        known, former, piece = self.known, self.former, self.piece
-        for w in words:
-            if w not in known:
-                if w not in former:
-                    ids = self.ids(w)
-                    known[w] = len(ids), ",".join(map(str, ids)), b"".join([piece[i] for i in ids])
-                else:
-                    known[w] = former[w]
-
-    def run(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, ids joined by commas, decoded text."""
-        words = self.split(text or "")
-        self.learn(set(words))
-        rows = [self.known[w] for w in words]
-        return sum([r[0] for r in rows]), ",".join([r[1] for r in rows]), b"".join([r[2] for r in rows]).decode("utf-8", "replace")
-
 
 def _byte_codes() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level BPE: visible Latin-1
@@ -119,45 +101,113 @@ def _byte_codes() -> dict[int, str]:
     return {b: chr(b if b in visible else next(rest)) for b in range(256)}
 
 
-def _mapped(docs: DataFrame, schema: str, path: str | None, row) -> DataFrame:
-    spark = docs.sparkSession
+def _source(spark, path: str | None):
     small_batches(spark)
     with open(path or vocabulary_path(), encoding="utf-8") as f:
-        source = spark.sparkContext.broadcast(f.read())
-    arrow = pa.schema([(f.name, {"bigint": pa.int64(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}[f.dataType.simpleString()]) for f in T._parse_datatype_string(schema).fields])
+        return spark.sparkContext.broadcast(f.read())
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, part`` stored, bucketed by the group's number."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, math.ceil(size / GROUP_BYTES))
+    whole = docs.rdd.getNumPartitions()
+    docs = docs.coalesce(groups) if whole > groups else docs
+    each = math.ceil(groups / max(1, min(whole, groups)))  # groups of a partition
+    number = F.spark_partition_id() * each + F.pmod(F.monotonically_increasing_id(), F.lit(each)).cast("int")
+    return bucketed(docs.withColumn("part", number), "grouped", 2 * groups, "part")
+
+
+def _words(grouped: DataFrame, source) -> DataFrame:
+    """``part, word``: the distinct words of each group (of its part in a task)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(source.value)
+        codec, seen = Codec(source.value), {}
+
+        def given(part: int) -> pa.RecordBatch:
+            words = sorted(seen.pop(part))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), part, np.int32)), pa.array(words, pa.string())], names=["part", "word"])
+
         for batch in slices(batches, "text"):
-            out = [row(codec, i, t) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+            parts = batch.column("part").to_numpy()
+            for part, text in zip(parts.tolist(), batch.column("text").to_pylist()):
+                if text:
+                    seen.setdefault(part, set()).update(codec.split(text))
+            for part in [p for p in seen if p != parts[-1]]:
+                yield from _cut(given(part))
+        for part in list(seen):
+            yield from _cut(given(part))
+
+    return grouped.mapInArrow(work, "part int, word string")
+
+
+def _cut(batch: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+
+def word_table(words: DataFrame, source) -> DataFrame:
+    """``part, word, ids`` of ``words(part, word)``: equal words follow each
+    other, and each distinct one is encoded once."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, last, ids = Codec(source.value), None, b""
+        for batch in batches:
+            out = []
+            for word in batch.column("word").to_pylist():
+                if word != last:
+                    last, ids = word, np.array(codec.ids(word), np.uint32).tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("word"), pa.array(out, pa.binary())], names=["part", "word", "ids"])
+
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(work, "part int, word string, ids binary")
+
+
+def _joined(docs: DataFrame, path: str | None, schema: str, columns: list[pa.DataType], row) -> DataFrame:
+    """Of every document what ``row`` makes of its ids and the pieces."""
+    spark = docs.sparkSession
+    source = _source(spark, path)
+    grouped = _grouped(docs)
+    words = word_table(_words(grouped, source), source)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        codec = Codec(source.value)
+        ids = {w: np.frombuffer(x, np.uint32).tolist() for w, x in zip(right.column("word").to_pylist(), right.column("ids").to_pylist())}
+        out = []
+        for batch in slices(iter(left.to_batches()), "text"):
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                found = list(chain.from_iterable(map(ids.__getitem__, codec.split(text or ""))))
+                out.append((i, *row(codec, found)))
+        del ids
+        trim()
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), columns)] if out else [pa.array([], t) for t in columns], names=names)
+
+    return grouped.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(work, schema)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, ids array<bigint>`` of ``docs(doc_id, text)``."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return _joined(docs, path, "doc_id bigint, ids array<bigint>", [pa.int64(), pa.list_(pa.int64())], lambda codec, ids: (ids,))
 
-    def row(codec, i, text):
-        ids = codec.run(text)[1]
-        return i, [int(x) for x in ids.split(",")] if ids else []
 
-    return _mapped(docs, "doc_id bigint, ids array<bigint>", path, row)
+def _decoded(piece: dict[int, bytes], ids: list[int]) -> str:
+    return b"".join([piece.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, text`` of ``encoded(doc_id, ids)``; null ids give ''. Ids
     without a piece give nothing; bytes that aren't UTF-8 give U+FFFD."""
-    spark = encoded.sparkSession
-    small_batches(spark)
-    with open(path or vocabulary_path(), encoding="utf-8") as f:
-        source = spark.sparkContext.broadcast(f.read())
+    source = _source(encoded.sparkSession, path)
     arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def work(batches):
         piece = Codec(source.value).piece
         for b in batches:
-            texts = [b"".join([piece.get(i, b"") for i in ids or ()]).decode("utf-8", "replace") for ids in b.column("ids").to_pylist()]
+            texts = [_decoded(piece, ids or ()) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], schema=arrow)
 
     return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id bigint, text string")
@@ -166,11 +216,12 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: the round trip."""
 
-    def row(codec, i, text):
-        n, ids, back = codec.run(text)
-        return i, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest()
+    def row(codec, ids):
+        back = _decoded(codec.piece, ids)
+        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest()
 
-    return _mapped(docs, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", path, row)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return _joined(docs, path, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.int64(), pa.string(), pa.string()], row)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

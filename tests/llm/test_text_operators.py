@@ -59,13 +59,22 @@ def test_bpe_equals_library(spark):
     assert back == {i: t for i, t in rows[8:]}
 
 
-def test_bpe_table_is_emptied(monkeypatch):
-    monkeypatch.setattr(bpe, "TABLE_WORDS", 3)
-    with open(bpe.vocabulary_path(), encoding="utf-8") as f:
-        codec = bpe.Codec(f.read())
-    for text in ("one two", "three four five six", "one two", ""):
-        n, ids, back = codec.run(text)
-        assert back == text and n == len(ids.split(",")) * bool(ids) and len(codec.known) <= 6
+def test_bpe_words_are_encoded_once_and_join_their_groups(spark, monkeypatch):
+    rng = random.Random(3)
+    vocabulary = [word(rng) for _ in range(60)]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40)))) for k in range(300)]
+    whole = sorted(bpe.digests(docs(spark, rows)).collect())
+    monkeypatch.setattr(bpe, "GROUP_BYTES", 2000)
+    assert sorted(bpe.digests(docs(spark, rows)).collect()) == whole
+    source = bpe._source(spark, None)
+    grouped = bpe._grouped(docs(spark, rows))
+    assert grouped.select("part").distinct().count() >= 10 and grouped.count() == 300
+    words = bpe._words(grouped, source)
+    assert words.count() == words.distinct().count()
+    found = bpe.word_table(words, source).collect()
+    assert len(found) == words.count() and len({(r.word, bytes(r.ids)) for r in found}) == len({r.word for r in found})
+    plan = bpe.digests(docs(spark, rows))._jdf.queryExecution().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(word") >= 1 and "Exchange hashpartitioning(doc_id" not in plan
 
 
 def test_bpe_empty(spark):
