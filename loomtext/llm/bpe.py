@@ -70,6 +70,8 @@ class Codec:
         self.model = self.tokenizer.model
         self.piece = {i: bytes([code[c] for c in p]) for p, i in spec["model"]["vocab"].items()}
         self.piece |= {i: s.encode() for s, i in self.special.items()}
+        self.pieces_of = [self.piece.get(i, b"") for i in range(max(self.piece) + 1)]
+        self.names = [str(i) for i in range(len(self.pieces_of))]
 
     def pieces(self, text: str) -> list[str]:
         # The two regex engines know different versions of Unicode. Up to
@@ -174,9 +176,11 @@ def _joined(docs: DataFrame, path: str | None, schema: str, columns: list[pa.Dat
     names = [x.split()[0] for x in schema.split(", ")]
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        codec = Codec(source.value)
-        ids = {w: np.frombuffer(x, np.uint32).tolist() for w, x in zip(right.column("word").to_pylist(), right.column("ids").to_pylist())}
-        out = []
+        codec, ids, out = Codec(source.value), {}, []
+        number = list(range(len(codec.pieces_of)))  # one object for each id
+        for batch in right.to_batches(max_chunksize=10_000):
+            for w, x in zip(batch.column("word").to_pylist(), batch.column("ids").to_pylist()):
+                ids[w] = tuple([number[i] for i in np.frombuffer(x, np.uint32).tolist()])
         for batch in slices(iter(left.to_batches()), "text"):
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 found = list(chain.from_iterable(map(ids.__getitem__, codec.split(text or ""))))
@@ -194,10 +198,6 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return _joined(docs, path, "doc_id bigint, ids array<bigint>", [pa.int64(), pa.list_(pa.int64())], lambda codec, ids: (ids,))
 
 
-def _decoded(piece: dict[int, bytes], ids: list[int]) -> str:
-    return b"".join([piece.get(i, b"") for i in ids]).decode("utf-8", "replace")
-
-
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, text`` of ``encoded(doc_id, ids)``; null ids give ''. Ids
     without a piece give nothing; bytes that aren't UTF-8 give U+FFFD."""
@@ -207,7 +207,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def work(batches):
         piece = Codec(source.value).piece
         for b in batches:
-            texts = [_decoded(piece, ids or ()) for ids in b.column("ids").to_pylist()]
+            texts = [b"".join([piece.get(i, b"") for i in ids or ()]).decode("utf-8", "replace") for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], schema=arrow)
 
     return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id bigint, text string")
@@ -217,8 +217,8 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: the round trip."""
 
     def row(codec, ids):
-        back = _decoded(codec.piece, ids)
-        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest()
+        back = b"".join(map(codec.pieces_of.__getitem__, ids)).decode("utf-8", "replace")
+        return len(ids), hashlib.sha256(",".join(map(codec.names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest()
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return _joined(docs, path, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.int64(), pa.string(), pa.string()], row)
