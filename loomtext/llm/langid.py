@@ -4,15 +4,17 @@ The network reads the UTF-8 bytes of a lower-cased text in segments of
 ``SEGMENT`` bytes, in both directions, gives every position a distribution
 over the languages, and a document the mean of its positions' distributions.
 It is written and trained in numpy by backpropagation through time. Training
-uses a bounded sample (``PER_LANGUAGE`` documents of each language, of each at
-most ``WINDOW`` characters from a place its id decides); prediction runs over
+uses a bounded sample of labelled rows, whole texts (about ``PER_LANGUAGE``
+documents of each language, fewer if these would pass ``LANGUAGE_CHARS``
+characters, and none of more than ``ROW_CHARS``); prediction runs over
 every byte of every text, inside one narrow pass without a shuffle, and sends
 only the trained weights (a few KB) to the executors.
 
 Defined cases: null, empty or letterless text is ``und`` with score 0; very
 long texts are cut into segments and read whole; repeated rows give repeated
-results; an input without any labelled row gives ``und`` for all; extra
-columns are left alone. On ties the first language in order wins.
+results; an input without any labelled row gives ``und`` for all; an empty
+table gives an empty result; a null id keeps its row; extra columns are left
+alone. On ties the first language in order wins.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ from ._shared import id_bucket, slices, small_batches, table
 
 HIDDEN = 8
 SEGMENT = 64
-#: Bound of the training sample: documents of a language, characters of each.
-PER_LANGUAGE, WINDOW = 400, 4096
+#: Bounds of the training sample: documents and characters of a language, both
+#: on average, and characters of a row.
+PER_LANGUAGE, LANGUAGE_CHARS, ROW_CHARS = 400, 1_600_000, 400_000
 STEPS, BATCH = 260, 384
 #: Segments that are run side by side; sized for the processor's cache.
 SIDE_BY_SIDE = 2048
@@ -173,15 +176,15 @@ def segmented(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def sample(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The bounded training sample: languages, segments, labels."""
-    usable = labelled.where("lang is not null and text is not null and length(text) > 0")
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    size = F.length("text")
+    usable = labelled.where(F.col("lang").isNotNull() & (size > 0) & (size <= ROW_CHARS))
+    counts = {r[0]: max(r[1], PER_LANGUAGE * r[2] / LANGUAGE_CHARS) for r in usable.groupBy("lang").agg(F.count("*"), F.sum(size)).collect()}
     if not counts:
         return [], np.empty((0, SEGMENT), np.uint8), np.empty(0, np.int64)
     # about PER_LANGUAGE of each language, by a hash of the id
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     share = F.element_at(F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, min(1.0, PER_LANGUAGE / c))]), F.col("lang"))
-    start = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1)
-    rows = usable.where(draw < share).select("doc_id", "lang", F.substring("text", (start + 1).cast("int"), F.lit(WINDOW)).alias("text")).orderBy("doc_id").toArrow()
+    rows = usable.where(draw < share).select("doc_id", "lang", "text").orderBy("doc_id").toArrow()
     languages = sorted(set(rows.column("lang").to_pylist()))
     if not languages:
         return [], np.empty((0, SEGMENT), np.uint8), np.empty(0, np.int64)
@@ -225,8 +228,9 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id bigint, lang_pred string, score double")
 
 
-#: A document's pooled probability below which the pipeline rejects it.
-REJECT_BELOW = 0.3
+#: The pipeline rejects a document whose pooled probability is below so many
+#: times an even guess among the languages.
+REJECT_BELOW = 1.2
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -237,7 +241,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is found: not ``und``, and of a pooled
-    probability of ``REJECT_BELOW`` or more. Columns stay as they are."""
+    probability of ``REJECT_BELOW`` times an even guess or more. Null, empty and
+    letterless texts go; rows with a null id and repeated rows stay if their
+    text does; very long texts are read whole; without any labelled row every
+    lettered text stays; an empty table stays empty. Columns stay as they are,
+    whatever their names."""
     net = fit(docs.where(id_bucket("doc_id", 4) != 2))
     small_batches(spark)
     sent = spark.sparkContext.broadcast(net)
@@ -248,7 +256,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             texts = batch.column("text")
             keep = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False))
             if net is not None:
-                keep = keep & (net.documents(texts).max(1) >= REJECT_BELOW)
+                keep = keep & (net.documents(texts).max(1) >= REJECT_BELOW / len(net.languages))
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(work, docs.schema)
