@@ -16,7 +16,7 @@ At most ``MAX_PIVOTS`` pivots are broadcast; labels beyond that are one cell.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and vectors without a label, link with nothing; so do vectors whose
-lengths differ; ties keep the smallest id; repeated rows count as copies; an
+lengths differ; labels may be of any type; norms may be beyond a double's range; ties keep the smallest id; repeated rows count as copies; an
 empty table gives an empty result; extra columns are left alone.
 """
 
@@ -37,15 +37,40 @@ CELL, TILE = 2000, 1500
 MAX_PIVOTS = 8192
 
 
+#: Cosines so near to the threshold are taken again, pair by pair.
+NEAR = 1e-9
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest component, which
+    rounds nothing and keeps squares from overflowing or vanishing."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Unit vectors in double precision, of arrays of one length."""
+    """Vectors in double precision, of arrays of one length."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    return x / np.sqrt((x * x).sum(1))[:, None]
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """(len(x), len(y)): whether cosines reach the threshold. Near to it a
+    cosine doesn't depend on which vectors stand in the matrices."""
+    found = unit(x) @ unit(y).T
+    links = found >= similarity
+    i, j = np.nonzero(np.abs(found - similarity) <= NEAR)
+    a, b = scaled(x)[i], scaled(y)[j]
+    links[i, j] = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))) >= similarity
+    return links
 
 
-def _pivots(reps: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+def _pivots(reps: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     """Pivots of the labels with more than CELL vectors, at most MAX_PIVOTS."""
     large = reps.groupBy("label", "dim").count().where(F.col("count") > CELL).orderBy(F.desc("count"), "label", "dim").limit(MAX_PIVOTS // 2).collect()
     if not large:
@@ -53,16 +78,15 @@ def _pivots(reps: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     total = sum(math.ceil(r["count"] / CELL) for r in large)
     scale = min(1.0, MAX_PIVOTS / total)
     wanted = {(r["label"], r["dim"]): (max(2, int(scale * math.ceil(r["count"] / CELL))), r["count"]) for r in large}
-    shares = reps.sparkSession.createDataFrame([(k[0], k[1], min(1.0, 4 * n / c + 20 / c)) for k, (n, c) in wanted.items()], "label int, dim int, share double")
+    shares = reps.sparkSession.createDataFrame([(k[0], k[1], min(1.0, 4 * n / c + 20 / c)) for k, (n, c) in wanted.items()], "label string, dim int, share double")
     draw = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     drawn = reps.join(F.broadcast(shares), ["label", "dim"]).where(draw < F.col("share")).select("label", "dim", "rep", "vec").orderBy("label", "dim", F.xxhash64("rep", F.lit(5))).collect()
-    found: dict[tuple[int, int], list] = {}
+    found: dict[tuple[str, int], list] = {}
     for r in drawn:
         some = found.setdefault((r.label, r.dim), [])
         if len(some) < wanted[r.label, r.dim][0]:
             some.append(r.vec)
-    out = {k: np.array(v, np.float64) for k, v in found.items()}
-    return {k: v / np.sqrt((v * v).sum(1))[:, None] for k, v in out.items()}
+    return {k: unit(np.array(v, np.float64)) for k, v in found.items()}
 
 
 def _cells(x: np.ndarray, pivots: np.ndarray | None, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +111,7 @@ def _join(group: pa.Table, similarity: float) -> pa.Table | None:
     x = matrix(group.column("vec"))
     rep, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
     probe, home = np.flatnonzero(~at_home), np.flatnonzero(at_home)
-    links = (x[probe] @ x[home].T >= similarity) & (rep[probe][:, None] != rep[home][None, :])
+    links = similar(x[probe], x[home], similarity) & (rep[probe][:, None] != rep[home][None, :])
     hit = links.any(1)
     if not hit.any():
         return None
@@ -113,7 +137,7 @@ def range_join(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ``vectors(vec_id, embedding, label)``."""
     small_batches(vectors.sparkSession, 4096)
     r = math.sqrt(2 - 2 * similarity)
-    v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("int").alias("label"))
+    v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("string").alias("label"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0)
     usable = F.coalesce(usable, F.lit(False))
@@ -126,14 +150,14 @@ def range_join(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, dim = batch.column("label").to_numpy(), batch.column("dim").to_numpy()
+            label, dim = batch.column("label").to_numpy(zero_copy_only=False), batch.column("dim").to_numpy()
             for k in sorted(set(zip(label.tolist(), dim.tolist()))):
                 part = batch.take(pa.array(np.flatnonzero((label == k[0]) & (dim == k[1]))))
-                row, cell, at_home = _cells(matrix(part.column("vec")), pivots.value.get(k), r)
+                row, cell, at_home = _cells(unit(matrix(part.column("vec"))), pivots.value.get(k), r)
                 taken = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell), pa.array(at_home)], names=[*part.schema.names, "cell", "home"])
 
-    dealt = stored(reps.mapInArrow(deal, "rep bigint, copies bigint, label int, dim int, vec array<double>, cell bigint, home boolean"), "cells")
+    dealt = stored(reps.mapInArrow(deal, "rep bigint, copies bigint, label string, dim int, vec array<double>, cell bigint, home boolean"), "cells")
     keys = ["label", "dim", "cell"]
     size = dealt.groupBy(*keys).agg(F.ceil(F.sum(F.col("home").cast("int")) / TILE).cast("int").alias("homes"), F.ceil(F.count("*") / TILE).cast("int").alias("probes"))
     dealt = dealt.join(size.where("homes > 0"), keys)

@@ -390,6 +390,31 @@ def test_range_join(spark, monkeypatch, cell, tile):
     assert metricjoin.range_join(df.limit(0)).count() == 0
 
 
+def test_range_join_extreme_norms_and_labels(spark):
+    big = 1 << 40
+    rows = [(1, [1e200, 1e200], big), (2, [2e200, 2e200], big), (3, [1e-200, 1e-200], big), (4, [5e-324, 0.0], big), (5, [1.0, 0.0], big), (6, [1e308, -1e308], big), (7, [1.0, 1.0], big + 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in metricjoin.range_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7)}
+    named = spark.createDataFrame([(1, [1.0, 2.0], "a"), (2, [2.0, 4.0], "a"), (3, [1.0, 2.0], "b")], "vec_id long, embedding array<double>, label string")
+    assert {r.vec_id: r.component_id for r in metricjoin.range_join(named).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_range_join_at_the_threshold():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    angle = np.arccos(0.93)
+    y = []
+    for v in x:
+        u = v / np.sqrt((v * v).sum())
+        w = np.cross(u, rng.normal(size=3))
+        w /= np.sqrt((w * w).sum())
+        y.append((np.cos(angle) * u + np.sin(angle) * w) * rng.uniform(0.1, 9))
+    y = np.array(y)
+    alone = np.array([metricjoin.similar(a[None], b[None], 0.93)[0, 0] for a, b in zip(x, y)])
+    assert (np.diag(metricjoin.similar(x, y, 0.93)) == alone).all() and 20 < alone.sum() < 280
+    assert (np.diag(metricjoin.similar(y[:, ::1], x, 0.93)) == alone).all()
+
+
 def test_cells_lose_no_pair():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 6))
