@@ -27,9 +27,9 @@ A document's sum of log(c(v) + 1) over contexts is that of log(c(w) + 1) over
 tokens, start and end being as frequent, so that needs no join.
 
 Defined cases: null and empty texts are an end mark; with no training text
-every word is unknown and P is 1 for it; rows of one doc_id are one document,
-scores adding up; null ids are one document of a null id; very long texts are
-scored whole; an empty table gives an empty result; extra columns are left alone.
+every word is unknown and P is 1 for it; every row is scored alone, also if ids
+repeat or are null; very long texts are scored whole; ties don't arise; an empty
+table gives an empty result; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import by_groups, id_bucket, mix, slices, small_batches, stored, table, trim, word_hashes
+from ._shared import by_groups, id_bucket, mix, slices, small_batches, stored, table, thinned, trim, word_hashes
 
 K = 5
 #: Bytes of text for each bucket of words and the least number of buckets; a
@@ -55,7 +55,6 @@ BUCKET_BYTES, BUCKETS, SHELVES, SLICE = 40_000_000, 24, 8, 4 << 20
 TOGETHER = 100_000
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _LOW6 = np.uint64((1 << 48) - 1)
-_NULL = -(1 << 63)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -306,12 +305,27 @@ def context_terms(stats: list[np.ndarray], d2: np.ndarray, d1: np.ndarray, total
     return np.stack([np.log10((1 - kept / (c + 1)) / np.maximum(1 - lower, 1e-300)), np.log10(c + 1)])
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a ``doc_id`` of their own for rows whose id is null or
+    repeated, and these ids' ``doc_id, own``; None if there are none."""
+    twice = stored(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return docs, None
+    again = twice.where("doc_id is not null")
+    several = thinned(docs, again, "left_semi").unionByName(docs.where("doc_id is null"))
+    # stored, so that the numbers stay
+    several = stored(several.withColumn("own", F.col("doc_id")).withColumn("doc_id", F.xxhash64(F.monotonically_increasing_id(), F.lit(41)).bitwiseOR(F.lit(1 << 62))), "several")
+    single = thinned(docs.where("doc_id is not null"), again, "left_anti")
+    return single.unionByName(several.drop("own")), several.select("doc_id", "own")
+
+
 def score(docs: DataFrame, learn: Column) -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of
-    ``docs(doc_id, text)``, learning from the rows where ``learn`` is true."""
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every
+    row of ``docs(doc_id, text)``, learning from those where ``learn`` is true."""
     spark = docs.sparkSession
     small_batches(spark, 512)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    docs, names = _keyed(docs)
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n = max(BUCKETS, math.ceil(size / BUCKET_BYTES))
     hot = spark.sparkContext.broadcast(_frequent(docs, rows, n))
@@ -386,7 +400,9 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     parts = tables.where("kind in ('documents', 'frequent')").unionByName(joined.where("kind = 'added'"))
     sums = by_groups(parts, ["part"], documents, "doc_id bigint, n_tokens bigint, n_known bigint, logs double, value double")
     base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(total + vocabulary + 1))
-    return sums.select(F.when(F.col("doc_id") != _NULL, F.col("doc_id")).alias("doc_id"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"), F.col("value").alias("score"))
+    if names is not None:
+        sums = sums.join(names.withColumn("renamed", F.lit(True)), "doc_id", "left").withColumn("doc_id", F.when(F.col("renamed"), F.col("own")).otherwise(F.col("doc_id")))
+    return sums.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"), F.col("value").alias("score"))
 
 
 def _frequent(docs: DataFrame, rows: int, n: int) -> tuple[np.ndarray, np.ndarray]:
