@@ -16,8 +16,8 @@ from .operators import runs, samples
 from .plans import parse
 
 W1, P1, W2, P2 = 4, 11, 2, 5
-#: Rotations are compared by so many symbols in SQL, more than any two of the
-#: column's have in common.
+#: Rotations are compared by so many symbols in SQL; it raises an error if any
+#: two of the text's have as many in common, so that the order is always whole.
 PREFIX = 256
 
 _built: dict[tuple, TextIndex] = {}
@@ -55,7 +55,7 @@ def _skipped(x: TextIndex) -> DataFrame:
 
 
 def _access(x: TextIndex) -> DataFrame:
-    positions = x.rlbwt.sparkSession.range(0, x.n, 7).select(F.col("id").alias("pos"))
+    positions = x.rlbwt.sparkSession.range(x.n).select(F.col("id").alias("pos"))
     return runs.access(x.rlbwt, positions)
 
 
@@ -162,7 +162,8 @@ _BWT = f""",
 t AS (SELECT string_agg(o, '' ORDER BY k) AS t FROM corpus),
 tt AS (SELECT t || substr(t, 1, {PREFIX}) AS x, length(t) AS n, string_split(t, '') AS l FROM t),
 rot AS (SELECT unnest(range(n)) AS sa, unnest(list_transform(range(n), lambda i: x[i + 1 : i + {PREFIX}])) AS r, unnest(list_concat([l[n]], l[1 : n - 1])) AS ch FROM tt),
-bwt AS (SELECT row_number() OVER (ORDER BY r) - 1 AS pos, sa, ch FROM rot),
+told AS (SELECT CASE WHEN count(DISTINCT r) = count(*) THEN 0 ELSE error('rotations with equal beginnings') END AS apart FROM rot),
+bwt AS (SELECT row_number() OVER (ORDER BY r) - 1 + apart AS pos, sa, ch FROM rot, told),
 heads AS (SELECT pos, sa, ch FROM (SELECT *, lag(ch) OVER (ORDER BY pos) AS before FROM bwt) WHERE before IS NULL OR before <> ch),
 rl AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS run_id, ch, pos AS start, lead(pos, 1, (SELECT count(*) FROM bwt)) OVER (ORDER BY pos) - pos AS len, sa FROM heads)"""
 _PART = _text("part", "p_partkey", "p_name")
@@ -216,7 +217,7 @@ c AS (SELECT CAST(0 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS row_start, CAST(0
   UNION ALL
   SELECT c.chunk + 1, c.row_end + 1, c.l_right + 1, coalesce(min(g.row1), last), coalesce(min(g.l_right), n - 1)
   FROM c, size LEFT JOIN groups g ON g.l_right > c.l_right + 1 + size.size WHERE c.row_end < last GROUP BY c.chunk, c.row_end, c.l_right, last, n)"""),
-    "rlbwt_access": _sql("SELECT pos, ch, run_id FROM (SELECT unnest(range(0, (SELECT count(*) FROM bwt), 7)) AS pos) JOIN rl ON pos BETWEEN start AND start + len - 1", _BWT).replace("SELECT pos, ch, run_id", "SELECT pos, rl.ch, run_id"),
+    "rlbwt_access": _sql("SELECT pos, ch, run_id FROM (SELECT unnest(range((SELECT count(*) FROM bwt))) AS pos) JOIN rl ON pos BETWEEN start AND start + len - 1", _BWT).replace("SELECT pos, ch, run_id", "SELECT pos, rl.ch, run_id"),
     "bwt_by_document": """
 WITH d AS (SELECT item_id, text || chr(2) AS t FROM benchmark),
 r AS (SELECT item_id, t, unnest(range(length(t))) AS i FROM d),

@@ -40,11 +40,18 @@ def from_strings(spark: SparkSession, texts: list[str], w: int) -> DataFrame:
 
 
 def from_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, name, text`` of a FASTA file's records, in file order. Files
-    are split at record marks, so a long file is read in parallel."""
-    lines = spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    lines = lines.where(F.length(F.trim("value")) > 0).withColumn("at", F.monotonically_increasing_id())
-    named = lines.select("at", F.regexp_extract("value", r"^[^\s]*", 0).alias("name"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", "").alias("text"))
+    """``doc_id, name, text`` of a FASTA file's records, in file order. A record
+    begins with a ``>`` at the start of a line; files are split there, so a long
+    file is read in parallel. Blank lines and records without a name or text are
+    read as they are; what stands before the first record is left out."""
+    # the first record of a file still has its mark, all others lost it with the line end
+    first = F.col("_metadata.file_block_start") == 0
+    lines = spark.read.option("lineSep", "\n>").text(path).select("value", first.alias("early"), F.col("_metadata.file_path").alias("file")).withColumn("at", F.monotonically_increasing_id())
+    head = lines.where("early").groupBy("file").agg(F.min("at").alias("at"), F.lit(True).alias("head"))
+    marked = lines.join(F.broadcast(head.select("at", "head")), "at", "left")
+    record = F.when(F.col("head"), F.regexp_extract("value", r"^\s*>([\s\S]*)", 1)).otherwise(F.col("value"))
+    records = marked.where("head is null or value rlike '^\\\\s*>'").select("at", record.alias("value"))
+    named = records.select("at", F.regexp_extract("value", r"^[^\s]*", 0).alias("name"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", "").alias("text"))
     return running(named, ["at"], "doc_id").select("doc_id", "name", "text")
 
 

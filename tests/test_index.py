@@ -113,6 +113,8 @@ def test_sinks_and_sources(spark, tmp_path):
     assert sorted(read_ssa(spark, str(tmp_path / "x.ssa")).collect(), key=key) == sorted(x.ssa.collect(), key=key)
     (tmp_path / "f.fa").write_text(">one first\nACGT\nAC\n>two\nGG\n")
     assert [(r.name, r.text) for r in from_fasta(spark, str(tmp_path / "f.fa")).orderBy("doc_id").collect()] == [("one", "ACGTAC"), ("two", "GG")]
+    (tmp_path / "g.fa").write_text("; note > here\n>one a>b > c\nAC>GT\nAC\n\n>two\n>three\r\nGG\r\n")
+    assert [(r.name, r.text) for r in from_fasta(spark, str(tmp_path / "g.fa")).orderBy("doc_id").collect()] == [("one", "AC>GTAC"), ("two", ""), ("three", "GG")]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         load(spark, str(tmp_path / "none"), "rlbwt")
 
