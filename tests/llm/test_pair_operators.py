@@ -116,8 +116,8 @@ def test_near_duplicates(spark, monkeypatch, small, tile):
 
 
 def test_near_copies_cost_rows_in_proportion(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL", 150)
-    monkeypatch.setattr(neardup, "TILE_SETS", 150)
+    monkeypatch.setattr(neardup, "SMALL", 100)
+    monkeypatch.setattr(neardup, "TILE_SETS", 30)
     sizes = {}
     for many in (1000, 2000, 4000):
         rng = random.Random(many)
@@ -132,8 +132,9 @@ def test_near_copies_cost_rows_in_proportion(spark, monkeypatch):
         links, roots = neardup.connected(leaves, reps, docs_)
         sizes[many] = leaves.count(), links.count(), neardup.tiles(leaves, roots).count()
     for a, b in ((1000, 2000), (2000, 4000)):
-        assert sizes[b][0] <= 2.6 * sizes[a][0] and sizes[b][2] <= 2.6 * sizes[a][2], sizes  # rows of buckets and of tiles
-        assert sizes[b][1] <= sizes[b][0]  # links listed
+        assert sizes[b][0] <= 2.6 * sizes[a][0], sizes  # rows of buckets
+    for leaves, links, tiles in sizes.values():  # what is listed and the tiles' rows follow these
+        assert links <= leaves and tiles <= (2 + neardup.CROWDED) * leaves, sizes
 
 
 def test_recall_of_the_whole_join(spark):
