@@ -45,6 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -372,11 +373,14 @@ def rejoined(docs: np.ndarray, los: list[int], lefts: list[bytes | None], around
         left = lefts_there[i:j] & reached(known[None])[0]
         if not left.any():
             continue
-        # a shingle that stands in s repeatedly counts at each of its places
+        # of a stretch's known places so many, the rarest, can't all be missing; a
+        # shingle that stands in it repeatedly counts at each of its places
+        cost = np.where(known, count[ids], len(value) + 1)
+        enough = sliding_window_view(known, LEAST).sum(1)
+        some = np.flatnonzero((enough >= needed) & sliding_window_view(left, LEAST).any(1))
+        order_in = np.argsort(sliding_window_view(cost, LEAST)[some], axis=1, kind="stable")[:, : LEAST - needed + 1]
+        rare = np.unique(ids[(some[:, None] + order_in)[np.arange(LEAST - needed + 1) < (enough[some] - needed + 1)[:, None]]])
         own, place = np.unique(ids[known], return_inverse=True)
-        n = count[own]
-        # so many of its shingles, the rarest, can't all be missing
-        rare = own[np.argsort(n, kind="stable")[: max(1, int(known.sum()) - needed + 1)]]
         through = min(rare, np.unique(ids[left]), key=lambda x: count[x].sum())
         maybe = np.unique(np.concatenate([owner[a : a + c] for a, c in zip(first[through], count[through])]))
         maybe = maybe[maybe < smaller[k]]
