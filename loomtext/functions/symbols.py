@@ -66,11 +66,6 @@ def suffix_starts(length: Column, w: int) -> Column:
     return F.when(length > w, F.sequence(F.lit(2), (length - w + 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def preceding(phrase: Column, length: Column, suffix: Column) -> Column:
-    """The symbol before the suffix of ``suffix`` symbols."""
-    return phrase.substr((length - suffix).cast("int"), F.lit(1))
-
-
 def wrapped(position: Column, n: Column | int) -> Column:
     """A position of the circular text."""
     return F.pmod(position, n if isinstance(n, Column) else F.lit(n))

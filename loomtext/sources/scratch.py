@@ -39,13 +39,12 @@ def _remove(spark_ref, path: str) -> None:
         shutil.rmtree(local, ignore_errors=True)
 
 
-def stored(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and
     the files outlive executors. They are removed when the process ends."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, weakref.ref(spark), path)
     return spark.read.schema(df.schema).parquet(path)
 
