@@ -16,22 +16,26 @@ from ..sources.scratch import stored
 FEW = 500_000
 
 
-def running(df: DataFrame, by: list[str], name: str, weight: Column | None = None, few: int = FEW) -> DataFrame:
+def running(df: DataFrame, by: list[str], name: str, weight: Column | None = None, few: int = FEW, rank: str | None = None) -> DataFrame:
     """``df`` with ``name``: the sum of ``weight`` (1) of all rows before, in
-    the order of the columns ``by``, which tell rows apart."""
+    the order of the columns ``by``, which tell rows apart; and with ``rank``,
+    if named, the number of those rows."""
     spark = df.sparkSession
     weight = F.lit(1) if weight is None else weight
     df = stored(df.withColumn("_w_", weight.cast("bigint")), "rows")
+    sums = {name: F.sum("_w_")} | ({rank: F.count("*")} if rank else {})
     if df.count() <= few:
         over = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(name, F.coalesce(F.sum("_w_").over(over), F.lit(0)).cast("bigint")).drop("_w_")
+        return df.withColumns({k: F.coalesce(v.over(over), F.lit(0)).cast("bigint") for k, v in sums.items()}).drop("_w_")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = stored(df.repartitionByRange(n, *by).withColumn("_p_", F.spark_partition_id()), "ranged")
-    offsets = df.groupBy("_p_").agg(F.sum("_w_").alias("_n_"))  # one row a partition
-    offsets = offsets.select("_p_", F.coalesce(F.sum("_n_").over(Window.orderBy("_p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o_"))
+    totals = df.groupBy("_p_").agg(*(v.alias(f"_o_{k}") for k, v in sums.items()))  # one row a partition
+    before = Window.orderBy("_p_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_p_", *(F.coalesce(F.sum(f"_o_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums))
     over = Window.partitionBy("_p_").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     out = df.join(F.broadcast(offsets), "_p_")
-    return out.withColumn(name, (F.col("_o_") + F.coalesce(F.sum("_w_").over(over), F.lit(0))).cast("bigint")).drop("_w_", "_p_", "_o_")
+    out = out.withColumns({k: (F.col(f"_o_{k}") + F.coalesce(v.over(over), F.lit(0))).cast("bigint") for k, v in sums.items()})
+    return out.drop("_w_", "_p_", *(f"_o_{k}" for k in sums))
 
 
 def suffix_ranks(seq: DataFrame, few: int = FEW, most: int = 64) -> DataFrame:

@@ -26,7 +26,7 @@ def groups(suffix1: DataFrame) -> DataFrame:
     g = suffix1.groupBy("alpha").agg(
         F.max("len_alpha").alias("len_alpha"), F.sum("freq").alias("cnt"), F.count_distinct("prev").alias("n_chars"), F.count("*").alias("n_pids")
     )
-    g = running(running(g, ["alpha"], "l_left", F.col("cnt")), ["alpha"], "row1")
+    g = running(g, ["alpha"], "l_left", F.col("cnt"), rank="row1")
     kind = F.when(F.col("n_chars") == 1, "easy").otherwise("hard")
     return stored(g.select("row1", "alpha", "len_alpha", "cnt", "n_chars", "n_pids", "l_left", (F.col("l_left") + F.col("cnt") - 1).alias("l_right"), kind.alias("kind")), "groups")
 

@@ -92,7 +92,9 @@ def test_same_result_for_other_parameters(spark):
 
 def test_distributed_ranks(spark):
     df = spark.range(500).select((F.col("id") * 37 % 500).alias("v"), (F.col("id") % 3).alias("w"))
-    got = {r.v: r.s for r in running(df, ["v"], "s", F.col("w"), few=0).collect()}
+    found = running(df, ["v"], "s", F.col("w"), few=0, rank="n").collect()
+    assert all(r.n == r.v for r in found)
+    got = {r.v: r.s for r in found}
     want, total = {}, 0
     for r in sorted(df.collect()):
         want[r.v] = total
