@@ -24,14 +24,12 @@ def corpus(docs: DataFrame, key: str, text: str, w: int) -> DataFrame:
     before it, how many are its own, and where those begin. Null is empty;
     reserved symbols inside a text are taken out."""
     clean = F.translate(F.coalesce(F.col(text), F.lit("")), TERMINATOR + SEPARATOR + SEPARATOR_END, "")
-    rows = running(docs.select(F.col(key).alias("key"), clean.alias("t")), ["key", "t"], "k")
-    spark = docs.sparkSession
-    total = rows.count()
-    own = rows.select("k", F.concat("t", F.lit(separator(w))).alias("o"))
-    end = spark.createDataFrame([(total, TERMINATOR * w)], "k bigint, o string")
+    rows = docs.select(F.col(key).alias("key"), F.concat(clean, F.lit(separator(w))).alias("o")).withColumn("own", F.length("o").cast("bigint"))
+    rows = running(rows, ["key", "o"], "off", F.col("own"), rank="k")
+    total, length = rows.agg(F.count("*"), F.coalesce(F.sum("own"), F.lit(0))).first()
+    end = docs.sparkSession.createDataFrame([(total, TERMINATOR * w, w, length)], "k bigint, o string, own bigint, off bigint")
     before = F.when(F.col("k") == 0, F.lit(TERMINATOR * w)).otherwise(F.lit(separator(w)))
-    out = own.unionByName(end).select("k", F.concat(before, "o").alias("s"), F.length("o").cast("bigint").alias("own"))
-    return running(out, ["k"], "off", F.col("own")).select(*CORPUS.names)
+    return rows.select("k", "o", "own", "off").unionByName(end).select("k", F.concat(before, "o").alias("s"), "own", "off").select(*CORPUS.names)
 
 
 def from_strings(spark: SparkSession, texts: list[str], w: int) -> DataFrame:
