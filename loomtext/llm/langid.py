@@ -229,10 +229,16 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 #: The pipeline rejects a document whose pooled probability is below so many
-#: times an even guess among the languages.
+#: times an even guess among the languages, where there are several.
 REJECT_BELOW = 1.2
 
 
+def threshold(languages: int) -> float:
+    """The least pooled probability of a document that stays. One language has
+    all probability of any text, so nothing can be told by it."""
+    return REJECT_BELOW / languages if languages > 1 else 0.0
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = fit(docs.where(id_bucket("doc_id", 4) != 2))
@@ -241,8 +247,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is found: not ``und``, and of a pooled
-    probability of ``REJECT_BELOW`` times an even guess or more. Null, empty and
-    letterless texts go; rows with a null id and repeated rows stay if their
+    probability of ``threshold`` or more. With one learned language every lettered
+    text stays. Null, empty and letterless texts go; rows with a null id and repeated rows stay if their
     text does; very long texts are read whole; without any labelled row every
     lettered text stays; an empty table stays empty. Columns stay as they are,
     whatever their names."""
@@ -256,7 +262,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             texts = batch.column("text")
             keep = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False))
             if net is not None:
-                keep = keep & (net.documents(texts).max(1) >= REJECT_BELOW / len(net.languages))
+                keep = keep & (net.documents(texts).max(1) >= threshold(len(net.languages)))
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(work, docs.schema)

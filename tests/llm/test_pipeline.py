@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from corpus_pipeline import ORACLE_SQL, STAGES, run
 from loomtext.llm import bpe
 from loomtext.sources.scratch import stored
@@ -45,3 +48,13 @@ def test_planted_cases(spark, tmp_path):
     assert cut[10_004] == b + " " + passage and passage not in cut[10_005] and cut[10_001] == a
     assert 10_006 not in seen["benchmark_decontamination"] and {10_001, 10_004, 10_005} <= set(seen["benchmark_decontamination"])
     assert bpe.digests(docs).count() == len(seen["benchmark_decontamination"])
+
+
+@pytest.mark.parametrize("languages", [1, 2, 4])
+def test_language_stage_keeps_lettered_text(spark, languages):
+    """Clean documents stay however many languages the labels have."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("lang").isin(["en", "de", "fr", "es"][:languages]))
+    junk = spark.createDataFrame([(-1, "12 34 --"), (-2, ""), (-3, None)], "doc_id long, text string")
+    both = docs.unionByName(junk, allowMissingColumns=True)
+    kept = {r.doc_id for r in STAGES[0][1](spark, both, SF).collect()}
+    assert kept == {r.doc_id for r in docs.where("text rlike '[A-Za-z]'").collect()}
