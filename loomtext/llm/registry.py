@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, divergence, filteraudit, katz, langid, mainhtml, metricjoin, neardup, substrings, toxicity, warc
+from . import bpe, decontaminate, divergence, filteraudit, katz, langid, mainhtml, metricjoin, neardup, substrings, suffixlevels, toxicity, warc
 
 QUERIES = {
     "op1_katz_backoff": katz.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op3_toxicity_ftrl": toxicity.query,
     "op8_language_id": langid.query,
     "op10_bpe_codec": bpe.query,
+    "op11_suffix_levels": suffixlevels.query,
     "op12_filter_audit": filteraudit.query,
     "op13_source_divergence": divergence.query,
 }
@@ -22,6 +23,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op2_warc_revisits": warc.SQL,
     "op4_embedding_range_join": metricjoin.SQL,
+    "op11_suffix_levels": suffixlevels.SQL,
     "op12_filter_audit": filteraudit.SQL,
     "op13_source_divergence": divergence.SQL,
 }
