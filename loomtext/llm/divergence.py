@@ -40,8 +40,10 @@ _BREAK = "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 def terms(text: Column) -> Column:
     """All terms of a text, with repeats, each with whether it is the first of
     its kind there; A-Z in lower case."""
-    ascii_lower = lambda t: F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    found = F.sort_array(F.transform(F.split(text, _BREAK), ascii_lower))
+    is_ascii = lambda t: F.octet_length(t) == F.length(t)
+    # lower() is for all letters, so what has others than ASCII takes a longer way
+    low = lambda t: F.when(is_ascii(t), F.lower(t)).otherwise(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    found = F.sort_array(F.when(is_ascii(text), F.split(F.lower(text), _BREAK)).otherwise(F.transform(F.split(text, _BREAK), low)))
     return let(found, lambda a: F.transform(a, lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get(a, i - 1) == t), 0).otherwise(1).alias("first"))))
 
 
