@@ -29,13 +29,14 @@ def main(arguments: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
     from .index import TextIndex
-    from .sources.corpus import from_fasta
 
     a = options().parse_args(arguments)
     log = logging.getLogger("loomtext")
     spark = SparkSession.builder.appName("loomtext").getOrCreate()
-    docs = from_fasta(spark, a.table) if a.fasta else spark.read.parquet(a.table)
-    x = TextIndex.of_table(docs.select(a.key, a.text), a.key, a.text, a.w1, a.p1, a.w2, a.p2)
+    if a.fasta:
+        x = TextIndex.of_fasta(spark, a.table, a.w1, a.p1, a.w2, a.p2)
+    else:
+        x = TextIndex.of_table(spark.read.parquet(a.table).select(a.key, a.text), a.key, a.text, a.w1, a.p1, a.w2, a.p2)
     x.save(a.out, a.bwt_only)
     if a.chunks:
         x.chunk_plan(a.chunks).write.mode("overwrite").parquet(f"{a.out}/chunks")

@@ -1,10 +1,11 @@
-"""Column functions on phrases, token lists and their suffixes. Positions in
-strings and arrays count from 1, as in SQL."""
+"""Functions on phrases, token lists and their suffixes. Positions in strings
+and arrays count from 1, as in SQL; those in numpy arrays from 0."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,46 +25,14 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def window_hash(symbols: Column, at: Column, w: int) -> Column:
-    """Hash of the ``w`` numbers of an array that follow position ``at`` (from 0)."""
-    terms = [F.element_at(symbols, (at + (j + 1)).cast("int")) * F.lit(pow(BASE, w - 1 - j)) for j in range(w)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return total % PRIME
-
-
-def triggers(symbols: Column, w: int, p: int) -> Column:
-    """Positions (from 0) where a phrase ends and the next begins: those whose
-    window of ``w`` symbols hashes to 0 modulo ``p``, and both ends."""
-    return let(
-        symbols,
-        lambda c: F.filter(F.sequence(F.lit(0), F.size(c) - w), lambda i: (i == 0) | (i == F.size(c) - w) | (window_hash(c, i, w) % p == 0)),
-    )
-
-
-def code_points(text: Column) -> Column:
-    return F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
-
-
-def cut(symbols: Column, positions: Column, w: int) -> Column:
-    """Phrases of an array by trigger positions; neighbours share ``w`` symbols."""
-    return let(
-        F.struct(symbols.alias("c"), positions.alias("t")),
-        lambda x: F.transform(
-            F.sequence(F.lit(1), F.size(x["t"]) - 1),
-            lambda j: F.struct(
-                (j - 1).cast("bigint").alias("j"),
-                F.element_at(x["t"], j).cast("bigint").alias("a"),
-                F.slice(x["c"], F.element_at(x["t"], j) + 1, F.element_at(x["t"], j + 1) - F.element_at(x["t"], j) + w).alias("phrase"),
-            ),
-        ),
-    )
-
-
-def suffix_starts(length: Column, w: int) -> Column:
-    """Starts of the proper suffixes of ``w`` symbols or more; none if empty."""
-    return F.when(length > w, F.sequence(F.lit(2), (length - w + 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+def trigger_windows(symbols: np.ndarray, w: int, p: int) -> np.ndarray:
+    """Which windows of ``w`` numbers hash to 0 modulo ``p``. The hash is of the
+    window's content alone, its terms reduced so that wide windows fit."""
+    n = len(symbols) - w + 1
+    total = np.zeros(n, np.int64)
+    for j in range(w):
+        total += symbols[j : j + n] % PRIME * pow(BASE, w - 1 - j, PRIME) % PRIME
+    return total % PRIME % p == 0
 
 
 def wrapped(position: Column, n: Column | int) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .operators import bwt, chunks, runs, samples
 from .plans import parse, suffixes
-from .sources.corpus import corpus, from_strings, load_table, save_tables
+from .sources import corpus
+from .sources.corpus import TILE, Text, load_table, save_tables
 from .sources.scratch import stored
 
 
@@ -17,55 +18,101 @@ class TextIndex:
     """Run-length BWT of a text collection with suffix-array samples.
 
     ``w1, p1``: symbols of a trigger window and its modulus; ``w2, p2``: the
-    same for the parse of the parse. Results do not depend on them."""
+    same for the parse of the parse. Results do not depend on them. An index
+    that was given its dictionaries (``of_tables``) has no text: what needs it,
+    ``text``, ``phrases``, ``parse1`` and ``occurrences``, raises ``ValueError``."""
 
-    def __init__(self, corpus_rows: DataFrame, w1: int = 4, p1: int = 11, w2: int = 2, p2: int = 5):
+    def __init__(self, text: Text | None, w1: int = 4, p1: int = 11, w2: int = 2, p2: int = 5):
         if min(w1, w2, p1, p2) < 1:
             raise ValueError("windows and moduli must be positive")
-        self.corpus, self.w1, self.p1, self.w2, self.p2 = corpus_rows, w1, p1, w2, p2
+        self._text, self.w1, self.p1, self.w2, self.p2 = text, w1, p1, w2, p2
 
     @classmethod
-    def of_table(cls, docs: DataFrame, key: str, text: str, w1: int = 4, p1: int = 11, w2: int = 2, p2: int = 5) -> TextIndex:
-        return cls(stored(corpus(docs, key, text, w1), "corpus"), w1, p1, w2, p2)
+    def of_table(cls, docs: DataFrame, key: str, text: str, w1: int = 4, p1: int = 11, w2: int = 2, p2: int = 5, tile: int = TILE) -> TextIndex:
+        return cls(corpus.of_table(docs, key, text, w1, tile), w1, p1, w2, p2)
 
     @classmethod
-    def of_strings(cls, spark: SparkSession, texts: list[str], w1: int = 4, p1: int = 11, w2: int = 2, p2: int = 5) -> TextIndex:
-        return cls(stored(from_strings(spark, texts, w1), "corpus"), w1, p1, w2, p2)
+    def of_strings(cls, spark: SparkSession, texts: list[str], w1: int = 4, p1: int = 11, w2: int = 2, p2: int = 5, tile: int = TILE) -> TextIndex:
+        return cls(corpus.of_strings(spark, texts, w1, tile), w1, p1, w2, p2)
+
+    @classmethod
+    def of_fasta(cls, spark: SparkSession, path: str, w1: int = 4, p1: int = 11, w2: int = 2, p2: int = 5, tile: int = TILE) -> TextIndex:
+        """A sequence for each record; records of any length."""
+        return cls(corpus.of_fasta(spark, path, w1, tile), w1, p1, w2, p2)
 
     @classmethod
     def of_tables(cls, dict1: DataFrame, dict2: DataFrame, parse2: DataFrame, w1: int, w2: int) -> TextIndex:
         """From dictionaries and second parse that were built elsewhere:
-        ``dict1(pid, phrase)``, ``dict2(pid2, toks)``, ``parse2(i, pid2)``."""
+        ``dict1(pid, phrase)``, ``dict2(pid2, toks)``, ``parse2(i, pid2)``; ids are
+        the ranks of their phrases, tokens 0 stand for the terminators. The
+        frequencies of first-level phrases follow from the second level."""
         self = cls(None, w1, 1, w2, 1)
         self.dict2 = stored(dict2.join(parse2.groupBy("pid2").agg(F.count("*").alias("freq")), "pid2").select("pid2", "toks", F.size("toks").cast("bigint").alias("len"), "freq"), "dict2")
         used = self.dict2.select("freq", F.explode(F.slice("toks", F.lit(1), F.size("toks") - w2)).alias("pid")).groupBy("pid").agg(F.sum("freq").alias("freq"))
         self.dict1 = stored(dict1.join(used, "pid").select("pid", "phrase", F.length("phrase").cast("bigint").alias("len"), "freq"), "dict1")
-        self.parse2 = parse.parse2(parse2.select(F.lit(0).alias("k"), F.col("i").alias("j"), "pid2").join(self.dict2.select("pid2", "toks"), "pid2").select("k", "j", "toks"), self.dict2, self.dict1, w1, w2)
+        self.parse2 = parse.parse2(parse2.select("i", "pid2"), self.dict2, self.dict1, w1, w2)
         return self
 
+    @property
+    def text(self) -> Text:
+        if self._text is None:
+            raise ValueError("this index was built from given dictionaries and has no text")
+        return self._text
+
+    @property
+    def corpus(self) -> DataFrame:
+        """``k, own, off``."""
+        return self.text.sequences
+
+    @cached_property
+    def cuts(self) -> parse.Cuts:
+        return parse.phrases1(self.text.tiles, self.w1, self.p1)
+
     @cached_property
+    def phrases(self) -> DataFrame:
+        """``tile, j, x, sep_so_far, phrase``."""
+        return stored(self.cuts.phrases, "phrases")
+
+    @property
     def occurrences(self) -> DataFrame:
-        return stored(parse.phrase_occurrences(self.corpus, self.w1, self.p1), "occurrences")
+        """``k, j, start, phrase``."""
+        return parse.occurrences(self.cuts, self.phrases, self.corpus, self.w1, self.text.tile, "phrase").select("k", "j", "start", "phrase")
+
+    @property
+    def trigger_positions(self) -> DataFrame:
+        return parse.trigger_positions(parse.occurrences(self.cuts, self.phrases, self.corpus, self.w1, self.text.tile), self.corpus, self.w1)
 
     @cached_property
     def dict1(self) -> DataFrame:
-        return parse.dictionary1(self.occurrences)
+        return parse.dictionary1(self.phrases)
 
     @cached_property
+    def ids(self) -> DataFrame:
+        """``i, pid, tile, j, x, sep_so_far``: the first parse."""
+        return parse.parse1(self.cuts, self.phrases, self.dict1)
+
+    @property
     def parse1(self) -> DataFrame:
-        return parse.parse1(self.occurrences, self.dict1)
+        """``i, pid, k, j, start, len``."""
+        placed = parse.occurrences(self.cuts, self.ids.drop("i"), self.corpus, self.w1, self.text.tile, "pid")
+        return placed.join(self.dict1.select("pid", "len"), "pid").select("i", "pid", "k", "j", "start", "len")
 
     @cached_property
-    def occurrences2(self) -> DataFrame:
-        return stored(parse.phrase_occurrences2(parse.tokens2(self.parse1, self.w2), self.w2, self.p2), "occurrences2")
+    def cuts2(self) -> parse.Cuts:
+        cuts = parse.phrases2(parse.tiles2(self.ids, self.dict1, self.cuts.count, self.w2, self.tile2), self.w2, self.p2)
+        cuts.phrases = stored(cuts.phrases, "phrases2")
+        return cuts
+
+    #: Tokens of a tile of the second level.
+    tile2 = parse.TILE2
 
     @cached_property
     def dict2(self) -> DataFrame:
-        return parse.dictionary2(self.occurrences2)
+        return parse.dictionary2(self.cuts2.phrases)
 
     @cached_property
     def parse2(self) -> DataFrame:
-        return parse.parse2(self.occurrences2, self.dict2, self.dict1, self.w1, self.w2)
+        return parse.parse2(parse.numbered2(self.cuts2, self.dict2), self.dict2, self.dict1, self.w1, self.w2)
 
     @cached_property
     def n(self) -> int:
@@ -73,7 +120,7 @@ class TextIndex:
 
     @cached_property
     def suffix1(self) -> DataFrame:
-        return suffixes.suffix1(self.dict1, self.w1)
+        return stored(suffixes.suffix1(self.dict1, self.w1), "suffix1")
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -93,7 +140,7 @@ class TextIndex:
 
     @cached_property
     def expansion(self) -> DataFrame:
-        return suffixes.row2_expansion(self.m_table, self.dict1, self.w1, self.w2)
+        return suffixes.row2_expansion(self.m_table, self.dict2, self.dict1, self.w1, self.w2)
 
     @cached_property
     def hard_rows(self) -> DataFrame:
@@ -102,7 +149,7 @@ class TextIndex:
     def pieces(self, tier: str) -> DataFrame:
         """Pieces of the BWT, ``start, ch, len, row1, tier``, of a tier."""
         if tier == "easy":
-            return bwt.easy_runs(self.groups, self.suffix1)
+            return bwt.easy_runs(self.groups)
         if tier == "hard_easy":
             return bwt.hard_easy_runs(self.hard_rows)
         if tier == "hard_hard":

@@ -3,25 +3,28 @@ it needs: whole suffix groups, second-level rows, occurrences."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.order import running, within
 from ..sources.scratch import stored
 
 
-def easy_runs(groups: DataFrame, suffix1: DataFrame) -> DataFrame:
+def easy_runs(groups: DataFrame) -> DataFrame:
     """Groups with one preceding symbol: a run each, not expanded at all."""
-    ch = suffix1.groupBy("alpha").agg(F.min("prev").alias("ch"))
-    return groups.where("kind = 'easy'").join(ch, "alpha").select(F.col("l_left").alias("start"), "ch", F.col("cnt").alias("len"), "row1", F.lit("easy").alias("tier"))
+    return groups.where("kind = 'easy'").select(F.col("l_left").alias("start"), "ch", F.col("cnt").alias("len"), "row1", F.lit("easy").alias("tier"))
 
 
 def hard_rows(groups: DataFrame, suffix1: DataFrame, v_table: DataFrame) -> DataFrame:
     """``row1, row2, start, cnt, n_pids, ch``: the hard groups' second-level
-    rows, in order within their group."""
-    pids = groups.where("kind = 'hard'").select("row1", "alpha", "l_left").join(suffix1.select("alpha", "pid", "prev"), "alpha")
-    rows = pids.join(v_table, "pid").groupBy("row1", "l_left", "row2").agg(F.sum("cnt").alias("cnt"), F.count("*").alias("n_pids"), F.min("prev").alias("ch"))
-    before = Window.partitionBy("row1").orderBy("row2").rowsBetween(Window.unboundedPreceding, -1)
-    return stored(rows.select("row1", "row2", (F.col("l_left") + F.coalesce(F.sum("cnt").over(before), F.lit(0))).alias("start"), "cnt", "n_pids", "ch"), "hard_rows")
+    rows, in order within their group; a group's rows are placed by a running
+    sum over all rows, less that of the groups before."""
+    hard = groups.where("kind = 'hard'")
+    pids = hard.select("row1", "grp").join(suffix1.select("grp", "pid", "prev"), "grp")
+    rows = pids.join(v_table, "pid").groupBy("row1", "row2").agg(F.sum("cnt").alias("cnt"), F.count("*").alias("n_pids"), F.min("prev").alias("ch"))
+    first = running(hard.select("row1", "l_left", "cnt"), ["row1"], "first", F.col("cnt")).select("row1", "l_left", "first")
+    placed = running(rows, ["row1", "row2"], "before", F.col("cnt")).join(first, "row1")
+    return stored(placed.select("row1", "row2", (F.col("l_left") + F.col("before") - F.col("first")).alias("start"), "cnt", "n_pids", "ch"), "hard_rows")
 
 
 def hard_easy_runs(rows: DataFrame) -> DataFrame:
@@ -32,15 +35,16 @@ def hard_easy_runs(rows: DataFrame) -> DataFrame:
 def hard_hard_chars(rows: DataFrame, groups: DataFrame, suffix1: DataFrame, m_table: DataFrame, ilist: DataFrame) -> DataFrame:
     """Rows of several phrases: a symbol for each occurrence, in the order of
     the second parse's BWT."""
-    rows = rows.where("n_pids > 1").select("row1", "row2", "start")
-    chars = groups.select("row1", "alpha").join(suffix1.select("alpha", F.col("pid").alias("prev_pid"), "prev"), "alpha").select("row1", "prev_pid", "prev")
+    rows = rows.where("n_pids > 1").select("row1", "row2", "start", "cnt")
+    chars = groups.select("row1", "grp").join(suffix1.select("grp", F.col("pid").alias("prev_pid"), "prev"), "grp").select("row1", "prev_pid", "prev")
     found = rows.join(m_table.select("row2", "pid2", "prev_pid"), "row2").join(chars, ["row1", "prev_pid"]).join(ilist.select("pid2", "pos2"), "pid2")
-    rank = F.row_number().over(Window.partitionBy("row1", "row2").orderBy("pos2")) - 1
-    return found.select((F.col("start") + rank).alias("start"), F.col("prev").alias("ch"), F.lit(1).cast("bigint").alias("len"), "row1", F.lit("hard_hard").alias("tier"))
+    found = within(found.select("row1", "row2", "start", "prev", "pos2"), ["row1", "row2"], ["pos2"], "rank", rows.select("row1", "row2", F.col("cnt").alias("size")))
+    return found.select((F.col("start") + F.col("rank")).alias("start"), F.col("prev").alias("ch"), F.lit(1).cast("bigint").alias("len"), "row1", F.lit("hard_hard").alias("tier"))
 
 
-def from_suffix_array(corpus: DataFrame, sa: DataFrame, n: int) -> DataFrame:
-    """``pos, ch``: the symbol before each suffix of ``sa(pos, sa)``."""
-    text = corpus.select("off", F.posexplode(F.split(F.expr("right(s, cast(own as int))"), "")).alias("j", "ch"))
-    text = text.select((F.col("off") + F.col("j")).alias("at"), "ch")
+def from_suffix_array(tiles: DataFrame, sa: DataFrame, n: int, tile: int) -> DataFrame:
+    """``pos, ch``: the symbol before each suffix of ``sa(pos, sa)``, from the
+    text's ``tiles(tile, text)`` of ``tile`` symbols."""
+    text = tiles.select("tile", F.posexplode(F.split("text", "")).alias("j", "ch"))
+    text = text.select((F.col("tile") * tile + F.col("j")).alias("at"), "ch")
     return sa.select("pos", F.pmod(F.col("sa") - 1, F.lit(n)).alias("at")).join(text, "at").select("pos", "ch")

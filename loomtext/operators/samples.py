@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.symbols import wrapped
-from ..plans.order import running
+from ..plans.order import running, within
 from ..sources.scratch import stored
 
 
@@ -14,24 +14,27 @@ def suffix_array(groups: DataFrame, suffix1: DataFrame, m_table: DataFrame, ilis
     """``pos, row1, sa`` of the given groups. A suffix begins where the text of
     its occurrence ends, less what follows the phrase and the suffix itself.
 
-    A group's second-level rows are placed by a running sum over all rows, so
-    that no group is one task's work. Where one entry makes up a row, the place
-    in its list is the rank; only rows of several entries are ranked."""
-    first = running(groups.select("row1", "alpha", "l_left", "len_alpha", "cnt"), ["row1"], "first", F.col("cnt"))
+    A group's second-level rows are placed by a running sum over all rows, and
+    the occurrences of a row of several entries by their place among all such
+    rows' occurrences, so that neither a group nor a row is one task's work.
+    Where one entry makes up a row, the place in its list is the rank."""
+    first = running(groups.select("row1", "grp", "l_left", "len_alpha", "cnt"), ["row1"], "first", F.col("cnt"))
     entries = (
-        first.join(suffix1.select("alpha", F.col("pid").alias("prev_pid")), "alpha").drop("alpha", "cnt")
+        first.join(suffix1.select("grp", F.col("pid").alias("prev_pid")), "grp").drop("grp", "cnt")
         .join(m_table.select("prev_pid", "row2", "pid2", "freq"), "prev_pid")
     )
     rows = entries.groupBy("row1", "row2", "l_left", "len_alpha", "first").agg(
         F.sum("freq").alias("cnt"), F.count("*").alias("entries"), F.min("pid2").alias("pid2")
     )
     rows = stored(running(rows, ["row1", "row2"], "before", F.col("cnt")), "sa_rows").join(expansion, "row2").select(
-        "row1", "row2", "entries", "pid2", (F.col("l_left") + F.col("before") - F.col("first")).alias("start"), (F.col("expands") + F.col("len_alpha")).alias("back")
+        "row1", "row2", "entries", "pid2", "cnt", (F.col("l_left") + F.col("before") - F.col("first")).alias("start"), (F.col("expands") + F.col("len_alpha")).alias("back")
     )
     single = rows.where("entries = 1").join(ilist, "pid2").select((F.col("start") + F.col("k")).alias("pos"), "row1", "end_pos", "back")
-    several = rows.where("entries > 1").drop("pid2").join(entries.select("row1", "row2", "pid2"), ["row1", "row2"]).join(ilist, "pid2")
-    rank = F.row_number().over(Window.partitionBy("row1", "row2").orderBy("pos2")) - 1
-    several = several.select((F.col("start") + rank).alias("pos"), "row1", "end_pos", "back")
+    several = rows.where("entries > 1").drop("pid2")
+    sizes = several.select("row1", "row2", F.col("cnt").alias("size"))
+    found = several.join(entries.select("row1", "row2", "pid2"), ["row1", "row2"]).join(ilist, "pid2").select("row1", "row2", "start", "back", "pos2", "end_pos")
+    found = within(found, ["row1", "row2"], ["pos2"], "rank", sizes)
+    several = found.select((F.col("start") + F.col("rank")).alias("pos"), "row1", "end_pos", "back")
     return single.unionByName(several).select("pos", "row1", wrapped(F.col("end_pos") - F.col("back"), n).alias("sa"))
 
 

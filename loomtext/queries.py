@@ -13,7 +13,7 @@ from .functions.symbols import BASE, PRIME
 from .index import TextIndex
 from .operators import bwt as bwt_ops
 from .operators import runs, samples
-from .plans import parse
+from .plans import suffixes
 
 W1, P1, W2, P2 = 4, 11, 2, 5
 #: Rotations are compared by so many symbols in SQL; it raises an error if any
@@ -59,19 +59,32 @@ def _access(x: TextIndex) -> DataFrame:
     return runs.access(x.rlbwt, positions)
 
 
+def _alphas(x: TextIndex) -> DataFrame:
+    return suffixes.spelled(x.groups, x.dict1)
+
+
+def _phrase_suffixes(x: TextIndex) -> DataFrame:
+    return suffixes.spelled(x.suffix1, x.dict1).select("pid", "alpha", "len_alpha", "prev", "freq")
+
+
+def _m_table(x: TextIndex) -> DataFrame:
+    spelled = x.m_table.join(x.dict2.select("pid2", "toks", "len"), "pid2").withColumn("alpha2", F.slice("toks", F.col("s").cast("int"), F.col("len").cast("int")))
+    return spelled.select("row2", F.array_join("alpha2", ",").alias("alpha2"), "pid2", "prev_pid", "freq")
+
+
 _OF = {
     "corpus_layout": lambda x: x.corpus.select("k", "own", "off"),
-    "trigger_positions": lambda x: parse.trigger_positions(x.corpus, x.w1, x.p1),
+    "trigger_positions": lambda x: x.trigger_positions,
     "phrase_occurrences": lambda x: x.occurrences,
     "phrase_dictionary": lambda x: x.dict1,
     "parse_l1": lambda x: x.parse1,
-    "phrase_suffixes": lambda x: x.suffix1,
-    "suffix_groups": lambda x: x.groups.select("alpha", "len_alpha", "cnt", "n_chars", "n_pids"),
-    "group_ranges": lambda x: x.groups.select("row1", "alpha", "l_left", "l_right"),
+    "phrase_suffixes": _phrase_suffixes,
+    "suffix_groups": lambda x: _alphas(x).select("alpha", "len_alpha", "cnt", "n_chars", "n_pids"),
+    "group_ranges": lambda x: _alphas(x).select("row1", "alpha", "l_left", "l_right"),
     "group_classes": lambda x: x.groups.groupBy("kind").agg(F.count("*").alias("n_groups"), F.sum("cnt").cast("bigint").alias("n_symbols")),
     "dictionary_l2": lambda x: x.dict2.withColumn("toks", F.array_join("toks", ",")),
     "parse_l2": lambda x: x.parse2,
-    "m_table": lambda x: x.m_table.withColumn("alpha2", F.array_join("alpha2", ",")),
+    "m_table": _m_table,
     "v_table": lambda x: x.v_table,
     "inverted_lists": lambda x: x.ilist.select("pid2", "k", "pos2"),
     "end_positions": lambda x: x.ilist.select("pid2", "pos2", "end_pos"),
@@ -81,13 +94,13 @@ _OF = {
     "bwt_hard_hard_chars": lambda x: x.pieces("hard_hard").select("start", "ch", "len"),
     "bwt_class_counts": _class_counts,
     "bwt_collection": lambda x: x.bwt(),
-    "bwt_from_suffix_array": lambda x: bwt_ops.from_suffix_array(x.corpus, x.suffix_array, x.n),
+    "bwt_from_suffix_array": lambda x: bwt_ops.from_suffix_array(x.text.tiles, x.suffix_array, x.n, x.text.tile),
     "rlbwt": lambda x: x.rlbwt.select("run_id", "ch", "start", "len"),
     "run_heads": lambda x: x.rlbwt.select("run_id", "start"),
     "run_stats": lambda x: runs.stats(x.rlbwt),
     "suffix_array": lambda x: x.suffix_array.select("pos", "sa"),
     "sa_at_run_heads": lambda x: x.ssa,
-    "groups_with_heads": lambda x: samples.groups_with_heads(x.groups, x.rlbwt).select("row1", "alpha"),
+    "groups_with_heads": lambda x: suffixes.spelled(samples.groups_with_heads(x.groups, x.rlbwt), x.dict1).select("row1", "alpha"),
     "skipped_portion": _skipped,
     "chunk_plan": lambda x: x.chunk_plan(50),
     "rlbwt_access": _access,

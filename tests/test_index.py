@@ -7,6 +7,7 @@ from loomtext.functions.symbols import separator
 from loomtext.index import TextIndex, load
 from loomtext.operators import bwt, runs, samples
 from loomtext.plans.order import running, suffix_ranks
+from loomtext.plans.suffixes import spelled
 from loomtext.sources.corpus import from_fasta, read_ssa, write_ssa
 
 
@@ -40,7 +41,7 @@ def test_small_fixture(small):
 
 
 def test_small_groups(small):
-    got = [(r.alpha, r.cnt, r.l_left, r.l_right, r.kind) for r in small.groups.orderBy("row1").collect()]
+    got = [(r.alpha, r.cnt, r.l_left, r.l_right, r.kind) for r in spelled(small.groups, small.dict1).orderBy("row1").collect()]
     assert got == [
         ("$$", 1, 0, 0, "easy"), ("$GAT", 1, 1, 1, "easy"), ("A$$", 1, 2, 2, "easy"), ("ACA", 3, 3, 5, "easy"), ("AGAT", 3, 6, 8, "hard"), ("AT", 4, 9, 12, "easy"),
         ("CA", 3, 13, 15, "easy"), ("GAT", 4, 16, 19, "hard"), ("TACA", 3, 20, 22, "hard"), ("TAGAT", 1, 23, 23, "easy"), ("TTACA", 2, 24, 25, "easy"), ("TTAGAT", 1, 26, 26, "easy"),
@@ -62,14 +63,14 @@ def test_against_rotations(spark, w1, p1, w2, p2, times):
     at = heads(b)
     assert [(r.start, r.ch) for r in x.rlbwt.orderBy("run_id").collect()] == [(i, b[i]) for i in at]
     assert [r.sa for r in x.ssa.orderBy("run_id").collect()] == [sa[i] for i in at]
-    again = bwt.from_suffix_array(x.corpus, x.suffix_array, x.n)
+    again = bwt.from_suffix_array(x.text.tiles, x.suffix_array, x.n, x.text.tile)
     assert "".join(r.ch for r in again.orderBy("pos").collect()) == b
     # invariants of the tables
     assert x.groups.agg(F.sum("cnt")).first()[0] == len(t) == x.all_pieces.agg(F.sum("len")).first()[0]
     freq = {r.pid: r.freq for r in x.dict1.collect()}
     assert {r.pid: r.n for r in x.v_table.groupBy("pid").agg(F.sum("cnt").alias("n")).collect()} == freq
     assert sum(freq.values()) == x.parse1.count()
-    alphas = sorted(r.alpha for r in x.groups.collect())
+    alphas = sorted(r.alpha for r in spelled(x.groups, x.dict1).collect())
     assert not any(q.startswith(p) for p, q in zip(alphas, alphas[1:]))
     # the parse puts the text together again
     phrases = {r.pid: r.phrase for r in x.dict1.collect()}
@@ -122,13 +123,13 @@ def test_sinks_and_sources(spark, tmp_path):
 
 
 def test_null_empty_and_reserved(spark):
-    from loomtext.sources.corpus import corpus
+    from loomtext.sources.corpus import of_table
 
     docs = spark.createDataFrame([(1, None, "x"), (2, "a\x02b\x04", "y"), (3, "", "z")], "key long, text string, k string")
     t, _, b = naive(["", "ab", ""], 4)
     x = TextIndex.of_table(docs, "key", "text")
     assert "".join(r.ch for r in x.bwt().orderBy("pos").collect()) == b
-    assert corpus(docs.limit(0), "key", "text", 4).count() == 1
+    assert of_table(docs.limit(0), "key", "text", 4).sequences.count() == 1
     assert TextIndex.of_table(docs.limit(0), "key", "text").n == 4
 
 
