@@ -20,7 +20,7 @@ whole text aren't either. An anchor of more than ``HOT`` rows isn't one task's w
 suffixes are dealt out one by one, by their bytes, and their smallest ids found map-side.
 
 Defined cases: a null text is empty; a text of fewer than ``LENGTH`` bytes, like an
-empty one, loses nothing; a very long text is hashed in pieces of ``PIECE`` bytes; rows
+empty one, loses nothing; a very long text is hashed in pieces of ``PIECE`` bytes, whatever it is; rows
 of one id are one document in several pieces: they lose nothing to each other, each
 is judged by itself, and repeated rows give repeated results; a null id is neither earlier
 nor later than any, so its row stays whole and removes nothing; of equal texts
@@ -39,20 +39,20 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import _remove, work_dir
-from ._shared import _INVERSES, _POWERS, _TABLE, BROADCAST_IDS, _power, by_groups, mix, slices, small_batches, stored, table
+from ._shared import _INVERSES, _ODD, _POWERS, _TABLE, BROADCAST_IDS, _power, mix, slices, small_batches, stored, table, trim
 
 LENGTH, GRAM = 50, 24
 #: Batches of the query; documents of an even share of the ids each.
 BATCHES = 4
 #: Rows of one anchor beyond which its suffixes are dealt out one by one.
 HOT = 100_000
-PIECE = 4 << 20
-#: Rows and bytes that a task compares at once.
-TOGETHER = (20_000, 2 << 20)
+PIECE = 1 << 18
+#: Rows that a task compares at once, and more up to the end of an anchor.
+TOGETHER = 3_000
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -79,19 +79,24 @@ def kept(df: DataFrame, tag: str) -> DataFrame:
 # Hashes, anchors and suffixes of texts.
 
 
+_UP, _DOWN = (np.multiply.accumulate(np.full(PIECE + LENGTH, x, np.uint64)) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+
+
 def gram_hashes(raw: np.ndarray, width: int) -> np.ndarray:
     """A hash of each ``width`` following bytes."""
     n = len(raw) - width + 1
     if n < 1:
         return np.empty(0, np.uint64)
     codes = _TABLE[raw]
-    codes *= _power(_POWERS, np.arange(len(raw), dtype=np.int64))
+    codes *= _UP[: len(raw)] if len(raw) <= len(_UP) else _power(_POWERS, np.arange(len(raw), dtype=np.int64))
     np.cumsum(codes, out=codes)
     total = codes[width - 1 :].copy()
     total[1:] -= codes[: n - 1]
-    del codes
-    total *= _power(_INVERSES, np.arange(n, dtype=np.int64))
-    return mix(total)
+    total *= _DOWN[:n] if n <= len(_DOWN) else _power(_INVERSES, np.arange(n, dtype=np.int64))
+    total ^= total >> np.uint64(29)
+    total *= np.uint64(0xBF58476D1CE4E5B9)
+    total ^= total >> np.uint64(32)
+    return total
 
 
 def _bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -142,29 +147,45 @@ def anchors_of(raw: np.ndarray, offsets: np.ndarray, piece: int = PIECE) -> tupl
 
 
 def anchors(docs: DataFrame, piece: int = PIECE) -> DataFrame:
-    """``key, doc_id, place`` of all suffix rows of ``docs(doc_id, text)``: the
-    place is the first suffix's beginning times 32 and how many follow it."""
+    """``key, doc_id, place, more`` of all suffix rows of ``docs(doc_id, text)``:
+    the place is the first suffix's beginning times 32 and how many follow it.
+    An anchor that a text repeats is one row; ``more`` has its later places."""
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             raw, offsets = _bytes_of(batch.column("text"))
             key, text, first, last = anchors_of(raw, offsets, piece)
+            place = (first - offsets[text]) * 32 + (last - first)
             ids = np.asarray(batch.column("doc_id").cast(pa.int64()))
+            order = np.argsort(mix(key.view(np.uint64) + text.astype(np.uint64) * np.uint64(_ODD)), kind="stable")
+            key, text, place = key[order], text[order], place[order]
+            head = np.ones(len(key), bool)
+            head[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
             for a in range(0, len(key), 1 << 17):
-                k, t, f, e = (x[a : a + (1 << 17)] for x in (key, text, first, last))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(ids[t]), pa.array((f - offsets[t]) * 32 + (e - f))], names=["key", "doc_id", "place"])
+                k, t, p, h = (x[a : a + (1 << 17)] for x in (key, text, place, head))
+                h[:1] = True
+                at = np.flatnonzero(h)
+                ends = np.concatenate([[0], np.cumsum(np.diff(np.append(at, len(h))) - 1)]).astype(np.int32)
+                none = np.concatenate([np.diff(ends) == 0, [False]])
+                more = pa.ListArray.from_arrays(pa.array(ends, mask=none), pa.array(p[~h]))
+                yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(ids[t[at]]), pa.array(p[at]), more], names=["key", "doc_id", "place", "more"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "key bigint, doc_id bigint, place bigint")
+    return docs.select("doc_id", "text").mapInArrow(work, "key bigint, doc_id bigint, place bigint, more array<bigint>")
 
 
-def shared(found: DataFrame) -> DataFrame:
-    """Those ``anchors`` that several documents have."""
-    from pyspark.sql import Window
+def each_place(found: DataFrame) -> DataFrame:
+    """``key, doc_id, place``: a row for each place of ``anchors``."""
+    every = F.when(F.col("more").isNull(), F.array("place")).otherwise(F.concat(F.array("place"), "more"))
+    return found.select("key", "doc_id", F.explode(every).alias("place"))
+
 
+def shared(found: DataFrame) -> DataFrame:
+    """The places of those ``anchors`` that several documents have. An anchor
+    has at most a row for each document, a small share of all documents' anchors."""
     of = Window.partitionBy("key")
     both = found.withColumns({"low": F.min("doc_id").over(of), "high": F.max("doc_id").over(of)})
-    return both.where("low <> high").select("key", "doc_id", "place")
+    return each_place(both.where("low <> high"))
 
 
 def suffixes(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -203,47 +224,80 @@ _FOUND = "doc_id bigint, ver bigint, start bigint, stop bigint"
 _OLD = np.iinfo(np.int64).min
 
 
-def _compare(group: pa.Table) -> pa.Table:
-    """Which bytes of the new rows some row with a smaller id has; all suffixes
+def _whole_anchors(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor, regrouped in batches of about ``rows`` that end
+    where an anchor does."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.asarray(batch.column("key"))
+        if size >= rows and len(change := np.flatnonzero(key != last)):
+            held.append(batch.slice(0, change[0]))
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            trim() if size > 20 * rows else None
+            batch = batch.slice(change[0])
+            held, size = [], 0
+        held.append(batch)
+        size, last = size + batch.num_rows, key[-1]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _words(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as a number."""
+    return np.ndarray(len(raw) - 7, np.uint64, np.ascontiguousarray(raw), strides=(1,))
+
+
+#: Where eight bytes are compared, so that all of a string are.
+_AT = [*range(0, LENGTH - 8, 8), LENGTH - 8]
+
+
+def _compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Which bytes of the new rows some row with a smaller id has; the suffixes
     of whole anchors are compared at once, sorted by hash, equal ones by bytes."""
-    group = group.combine_chunks()
-    raw, offsets = _bytes_of(group.column("span").combine_chunks() if group.num_rows else pa.array([], pa.binary()))
+    key = np.asarray(batch.column("key"))
+    ids = np.asarray(pc.fill_null(batch.column("doc_id"), _OLD)).astype(np.int64)
+    # an anchor that only one document has, or only old rows, tells nothing
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    several = np.minimum.reduceat(ids, head) < np.maximum.reduceat(ids, head)
+    use = np.repeat(several, np.diff(np.append(head, len(key))))
+    batch, ids = batch.filter(pa.array(use)), ids[use]
+    raw, offsets = _bytes_of(batch.column("span"))
     count = np.diff(offsets) - LENGTH + 1
     row = np.repeat(np.arange(len(count)), count)
     ordinal = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     at = offsets[row] + ordinal
     h = gram_hashes(raw, LENGTH)[at]
-    ids = np.asarray(pc.fill_null(group.column("doc_id").combine_chunks(), _OLD)).astype(np.int64)
     owner = ids[row]
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     same = h[order[1:]] == h[order[:-1]]
-    pairs = np.flatnonzero(same)
-    width = np.arange(LENGTH)
-    for a in range(0, len(pairs), 1 << 16):
-        p = pairs[a : a + (1 << 16)]
-        if (raw[at[order[p + 1], None] + width] != raw[at[order[p], None] + width]).any():
+    if same.any():
+        words, place = _words(raw), at[order]
+        one, two = place[1:][same], place[:-1][same]
+        if any((words[one + k] != words[two + k]).any() for k in _AT):
             # two strings of one hash: tell them apart by their bytes
             text = raw.tobytes()
             number: dict[bytes, int] = {}
             h = np.array([number.setdefault(text[i : i + LENGTH], len(number)) for i in at.tolist()], np.uint64)
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             same = h[order[1:]] == h[order[:-1]]
-            break
-    head = np.concatenate([[True], ~same])[: len(order)]
-    least = np.empty(len(order), np.int64)
+    hit = np.zeros(len(order), bool)
     if len(order):
-        least[order] = np.minimum.reduceat(owner[order], np.flatnonzero(head))[np.cumsum(head) - 1]
-    hit = (owner > least) & (owner != _OLD)
+        head = np.concatenate([[True], ~same])
+        owners = owner[order]
+        hit[order] = owners > np.minimum.reduceat(owners, np.flatnonzero(head))[np.cumsum(head) - 1]
+    hit &= owner != _OLD
     first, last = hit.copy(), hit.copy()
     first[1:] &= ~hit[:-1] | (row[1:] != row[:-1])
     last[:-1] &= ~hit[1:] | (row[1:] != row[:-1])
     a, b = np.flatnonzero(first), np.flatnonzero(last)
-    start = np.asarray(pc.fill_null(group.column("start").combine_chunks(), 0)).astype(np.int64)[row[a]] if len(row) else np.empty(0, np.int64)
-    ver = np.asarray(pc.fill_null(group.column("ver").combine_chunks(), 0)).astype(np.int64)
-    return pa.table({"doc_id": ids[row[a]], "ver": ver[row[a]], "start": start + ordinal[a], "stop": start + ordinal[b] + LENGTH})
+    start, ver = (np.asarray(pc.fill_null(batch.column(c), 0)).astype(np.int64)[row[a]] for c in ("start", "ver"))
+    return pa.RecordBatch.from_arrays([pa.array(ids[row[a]]), pa.array(ver), pa.array(start + ordinal[a]), pa.array(start + ordinal[b] + LENGTH)], names=["doc_id", "ver", "start", "stop"])
 
 
-def scan(new: DataFrame, old: DataFrame | None, hot: int = HOT, together: tuple[int, int] = TOGETHER) -> DataFrame:
+def scan(new: DataFrame, old: DataFrame | None, hot: int = HOT, together: int = TOGETHER) -> DataFrame:
     """``doc_id, ver, start, stop``: bytes of the batch ``new`` that lie in a string
     of ``LENGTH`` bytes of ``old``, or of a smaller id in ``new``. Arrays are merged by
     anchor; anchors of more than ``hot`` rows (so few that they are broadcast) apart."""
@@ -252,7 +306,13 @@ def scan(new: DataFrame, old: DataFrame | None, hot: int = HOT, together: tuple[
     many = kept(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "hot")
     any_hot = not many.isEmpty()
     cold = rows.join(F.broadcast(many), "key", "left_anti") if any_hot else rows
-    found = by_groups(cold.select("key", "span", "doc_id", "ver", "start"), ["key"], _compare, _FOUND, together=together)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_anchors(batches, together):
+            yield _compare(batch)
+
+    n = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cold.select("key", "span", "doc_id", "ver", "start").repartition(n, "key").sortWithinPartitions("key").mapInArrow(work, _FOUND)
     if not any_hot:
         return found
     each = rows.join(F.broadcast(many), "key", "left_semi").select(
@@ -267,7 +327,7 @@ def scan(new: DataFrame, old: DataFrame | None, hot: int = HOT, together: tuple[
 class Levels:
     """The index family. ``add`` batches in the order of their documents' ids."""
 
-    def __init__(self, hot: int = HOT, together: tuple[int, int] = TOGETHER):
+    def __init__(self, hot: int = HOT, together: int = TOGETHER):
         self.hot, self.together = hot, together
         self.levels: list[tuple[int, DataFrame, str]] = []
 
@@ -317,7 +377,7 @@ def copies(docs: DataFrame) -> DataFrame:
     return kept(rows.join(several, "digest").where("doc_id > low").select("doc_id", "ver", "size").distinct(), "copies")
 
 
-def repeats(docs: DataFrame, batches: int = BATCHES, hot: int = HOT, together: tuple[int, int] = TOGETHER, piece: int = PIECE) -> DataFrame:
+def repeats(docs: DataFrame, batches: int = BATCHES, hot: int = HOT, together: int = TOGETHER, piece: int = PIECE) -> DataFrame:
     """``doc_id, ver, cuts``: for each row of ``docs(doc_id, ver, text)`` that loses
     any, its ranges (start, stop) of bytes that an earlier document has."""
     again = copies(docs)

@@ -83,7 +83,7 @@ def test_suffix_levels_against_brute_force(spark, batches, hot, piece):
     rows = corpus(batches)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("ver", F.lit("clash"))
     docs = suffixlevels.with_rows(df)
-    got = suffixlevels.remaining(docs, suffixlevels.repeats(docs, batches, hot, (50, 4000), piece)).collect()
+    got = suffixlevels.remaining(docs, suffixlevels.repeats(docs, batches, hot, 50, piece)).collect()
     key = lambda x: (str(x[0]), x[1:])
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=key) == sorted(brute(rows), key=key)
 
@@ -95,7 +95,7 @@ def test_levels_merge_geometrically(spark):
     for i in range(7):
         docs = suffixlevels.with_rows(spark.createDataFrame([(i, "".join(r.choice("xyz") for _ in range(99)) + chr(65 + i) + passage)], "doc_id long, text string"))
         # without knowledge of what comes, all anchors are kept
-        found = family.add(suffixlevels.kept(suffixlevels.suffixes(docs, suffixlevels.anchors(docs)), "batch")).collect()
+        found = family.add(suffixlevels.kept(suffixlevels.suffixes(docs, suffixlevels.each_place(suffixlevels.anchors(docs))), "batch")).collect()
         ranges = suffixlevels.merged(*(np.array([f[c] for f in found]) for c in ("start", "stop"))) if found else ([], [])
         assert [(int(a), int(b)) for a, b in zip(*ranges)] == ([(100, 180)] if i else [])
         assert [size for size, *_ in family.levels] == [1 << k for k in range(3, -1, -1) if (i + 1) >> k & 1]
@@ -110,7 +110,7 @@ def test_equal_hashes_are_told_apart(monkeypatch):
 
     monkeypatch.setattr(suffixlevels, "gram_hashes", lambda raw, width: np.zeros(max(0, len(raw) - width + 1), np.uint64))
     texts = [b"a" * 30 + b"b" * 25, b"c" * 52, b"b" * 3 + b"c" * 51]
-    group = pa.table({"key": pa.array([5] * 3), "span": pa.array(texts, pa.binary()), "doc_id": pa.array([1, 2, 3]), "ver": pa.array([0] * 3), "start": pa.array([10] * 3)})
+    group = pa.record_batch({"key": pa.array([5] * 3), "span": pa.array(texts, pa.binary()), "doc_id": pa.array([1, 2, 3]), "ver": pa.array([0] * 3), "start": pa.array([10] * 3)})
     assert suffixlevels._compare(group).to_pylist() == [{"doc_id": 3, "ver": 0, "start": 13, "stop": 64}]
 
 
