@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import bwt, chunks, runs, samples
-from .plans import parse, suffixes
-from .sources import corpus
+from .plans import colex, parse, suffixes
+from .sources import corpus, given
 from .sources.corpus import TILE, Text, load_table, save_tables
 from .sources.scratch import stored
 
@@ -53,6 +53,11 @@ class TextIndex:
         self.parse2 = parse.parse2(parse2.select("i", "pid2"), self.dict2, self.dict1, w1, w2)
         return self
 
+    @classmethod
+    def of_files(cls, spark: SparkSession, prefix: str, w1: int, w2: int, shift: int = given.SHIFT) -> TextIndex:
+        """From the files ``prefix``.dict, .parse.dict and .parse.parse."""
+        return cls.of_tables(*given.read_tables(spark, prefix, shift), w1, w2)
+
     @property
     def text(self) -> Text:
         if self._text is None:
@@ -172,6 +177,41 @@ class TextIndex:
     def suffix_array(self) -> DataFrame:
         return samples.suffix_array(self.groups, self.suffix1, self.m_table, self.ilist, self.expansion, self.n)
 
+    def lookup(self, positions: DataFrame) -> DataFrame:
+        """``pos, sa`` of ``positions(pos)``, without the rest of the array."""
+        return samples.lookup(positions, self.groups, self.suffix1, self.m_table, self.ilist, self.expansion, self.n)
+
+    @cached_property
+    def colex2(self) -> DataFrame:
+        return colex.colex2(self.dict2, colex.colex1(self.dict1))
+
+    @cached_property
+    def m_intervals(self) -> DataFrame:
+        return stored(colex.m_intervals(self.m_table, self.colex2), "m_intervals")
+
+    def hard_hard_by_interval(self) -> DataFrame:
+        return colex.hard_hard_chars(self.hard_rows, self.groups, self.suffix1, self.m_intervals, self.dict2, self.colex2, self.ilist)
+
+    def _within(self, row_start: int, row_end: int) -> tuple[DataFrame, DataFrame]:
+        """Groups ``row_start`` to ``row_end`` and their suffixes; these are read
+        by a range of the groups' numbers, which the scan is given."""
+        groups = self.groups.where(F.col("row1").between(row_start, row_end))
+        low, high = groups.agg(F.min("grp"), F.max("grp")).first()
+        return groups, self.suffix1.where(F.col("grp").between(low, high))
+
+    def chunk_runs(self, row_start: int, row_end: int) -> DataFrame:
+        """``start, ch, len, row1``: maximal runs of a range of groups, built from
+        these groups alone; ``operators.runs.merged`` puts chunks together."""
+        groups, suffix1 = self._within(row_start, row_end)
+        hard = bwt.hard_rows(groups, suffix1, self.v_table)
+        pieces = bwt.easy_runs(groups).unionByName(bwt.hard_easy_runs(hard)).unionByName(bwt.hard_hard_chars(hard, groups, suffix1, self.m_table, self.ilist))
+        return runs.merged(pieces.select("start", "ch", "len", "row1"))
+
+    def chunk_suffix_array(self, row_start: int, row_end: int) -> DataFrame:
+        """``pos, row1, sa`` of a range of groups."""
+        groups, suffix1 = self._within(row_start, row_end)
+        return samples.suffix_array(groups, suffix1, self.m_table, self.ilist, self.expansion, self.n)
+
     def bwt(self) -> DataFrame:
         return runs.decode(self.rlbwt)
 
@@ -182,6 +222,13 @@ class TextIndex:
         """Write ``rlbwt`` and, unless ``bwt_only``, ``ssa`` as Parquet."""
         save_tables({"rlbwt": self.rlbwt} | ({} if bwt_only else {"ssa": self.ssa}), path)
 
+    def save_flat(self, prefix: str, bwt_only: bool = False) -> None:
+        """Write ``prefix``.runs and, unless ``bwt_only``, ``prefix``.ssa, in
+        parts whose concatenation is the flat file."""
+        corpus.write_runs(self.rlbwt, f"{prefix}.runs")
+        if not bwt_only:
+            corpus.write_ssa(self.ssa, f"{prefix}.ssa")
+
 
 chunks_plan = chunks.plan
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.order import running
 from ..schemas import RLBWT
 from ..sources.scratch import stored
+from .intervals import containing
 
 
 def encode(pieces: DataFrame) -> DataFrame:
@@ -24,17 +25,27 @@ def encode(pieces: DataFrame) -> DataFrame:
     return out.select("run_id", "ch", "start", (F.coalesce("next", F.lit(n)) - F.col("start")).cast("bigint").alias("len"), "row1").select(*RLBWT.names)
 
 
+def merged(pieces: DataFrame) -> DataFrame:
+    """``start, ch, len, row1``: ``pieces(start, ch, len, row1)`` of any part of
+    the text, where those that touch and are of one symbol are one. Associative:
+    parts may be merged in any grouping, so chunks that were built apart are too."""
+    pieces = stored(pieces.where("len > 0"), "pieces")
+    ends = pieces.select((F.col("start") + F.col("len")).alias("start"), F.col("ch").alias("before"))
+    follows = pieces.join(ends, "start", "left")
+    island = running(follows.select("start", "ch", "len", "row1", F.when(F.col("before") == F.col("ch"), 0).otherwise(1).alias("head")), ["start"], "heads", F.col("head"))
+    whole = island.groupBy((F.col("heads") + F.col("head")).alias("run")).agg(F.min("start").alias("start"), F.first("ch").alias("ch"), F.sum("len").cast("bigint").alias("len"), F.min("row1").alias("row1"))
+    return whole.select("start", "ch", "len", "row1")
+
+
 def decode(runs: DataFrame) -> DataFrame:
     """``pos, ch``: the symbols that runs stand for."""
     return runs.select("ch", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos")).select("pos", "ch")
 
 
 def access(runs: DataFrame, positions: DataFrame, span: int = 1 << 16) -> DataFrame:
-    """``pos, ch, run_id`` of ``positions(pos)``. Runs are cut at multiples of
-    ``span``, so that the range join is an equi-join on the multiple."""
-    part = F.explode(F.sequence(F.floor(F.col("start") / span), F.floor((F.col("start") + F.col("len") - 1) / span)))
-    cut = runs.select("run_id", "ch", "start", "len", part.alias("part"))
-    return positions.withColumn("part", F.floor(F.col("pos") / span)).join(cut, "part").where("pos >= start and pos < start + len").select("pos", "ch", "run_id")
+    """``pos, ch, run_id`` of ``positions(pos)``."""
+    ranges = runs.select("run_id", "ch", F.col("start").alias("first"), (F.col("start") + F.col("len") - 1).alias("last"))
+    return containing(positions, ranges, span).select("pos", "ch", "run_id")
 
 
 def stats(runs: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ the two share no step. All queries run over whole columns."""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,9 @@ from .index import TextIndex
 from .operators import bwt as bwt_ops
 from .operators import runs, samples
 from .plans import suffixes
+from .sources import given
+from .sources.corpus import read_runs, read_ssa, write_runs, write_ssa
+from .sources.scratch import work_dir
 
 W1, P1, W2, P2 = 4, 11, 2, 5
 #: Rotations are compared by so many symbols in SQL; it raises an error if any
@@ -72,6 +78,51 @@ def _m_table(x: TextIndex) -> DataFrame:
     return spelled.select("row2", F.array_join("alpha2", ",").alias("alpha2"), "pid2", "prev_pid", "freq")
 
 
+def _lookup(x: TextIndex) -> DataFrame:
+    """Of the first and the last position of each group."""
+    return x.lookup(x.groups.select(F.explode(F.array("l_left", "l_right")).alias("pos")))
+
+
+def _chunks(x: TextIndex) -> list:
+    return x.chunk_plan(3).orderBy("chunk").collect()
+
+
+def _rlbwt_by_chunks(x: TextIndex) -> DataFrame:
+    """Runs of chunks that were built apart, put together two and two."""
+    found = [x.chunk_runs(c.row_start, c.row_end) for c in _chunks(x)]
+    while len(found) > 1:
+        found = [runs.merged(found[i].unionByName(found[i + 1])) if i + 1 < len(found) else found[i] for i in range(0, len(found), 2)]
+    return found[0].select("start", "ch", "len")
+
+
+def _sa_by_chunks(x: TextIndex) -> DataFrame:
+    found = [x.chunk_suffix_array(c.row_start, c.row_end) for c in _chunks(x)]
+    return reduce(DataFrame.unionByName, found).select("pos", "sa")
+
+
+def _place(x: TextIndex) -> str:
+    return f"{work_dir(x.groups.sparkSession)}/flat-{uuid.uuid4().hex}"
+
+
+def _given(x: TextIndex) -> TextIndex:
+    """An index of the dictionaries and the parse that were written to files."""
+    prefix = _place(x)
+    given.write_tables(x.dict1, x.dict2, x.parse2, prefix)
+    return TextIndex.of_files(x.groups.sparkSession, prefix, x.w1, x.w2)
+
+
+def _flat_runs(x: TextIndex) -> DataFrame:
+    path = _place(x)
+    write_runs(x.rlbwt, path)
+    return read_runs(x.groups.sparkSession, path)
+
+
+def _flat_samples(x: TextIndex) -> DataFrame:
+    path = _place(x)
+    write_ssa(x.ssa, path)
+    return read_ssa(x.groups.sparkSession, path)
+
+
 _OF = {
     "corpus_layout": lambda x: x.corpus.select("k", "own", "off"),
     "trigger_positions": lambda x: x.trigger_positions,
@@ -104,6 +155,19 @@ _OF = {
     "skipped_portion": _skipped,
     "chunk_plan": lambda x: x.chunk_plan(50),
     "rlbwt_access": _access,
+    "given_dictionary": lambda x: _given(x).dict1,
+    "given_dictionary_l2": lambda x: _given(x).dict2.withColumn("toks", F.array_join("toks", ",")),
+    "given_parse_l2": lambda x: _given(x).parse2,
+    "given_rlbwt": lambda x: _given(x).rlbwt.select("run_id", "ch", "start", "len"),
+    "flat_runs": _flat_runs,
+    "flat_samples": _flat_samples,
+    "colex_order": lambda x: x.colex2,
+    "m_intervals": lambda x: x.m_intervals,
+    "bwt_hard_hard_by_interval": lambda x: x.hard_hard_by_interval(),
+    "sa_lookup": _lookup,
+    "skipped_by_level": lambda x: samples.skipped(x.groups, x.rlbwt, x.suffix1, x.m_table, x.expansion),
+    "rlbwt_by_chunks": _rlbwt_by_chunks,
+    "sa_by_chunks": _sa_by_chunks,
 }
 
 
@@ -171,6 +235,10 @@ ilist AS (SELECT pid2, row_number() OVER (PARTITION BY pid2 ORDER BY pos2) - 1 A
 tiers AS (SELECT row1, row2, l_left, CAST(sum(cnt) AS BIGINT) AS cnt, count(*) AS n_pids FROM
   (SELECT row1, l_left, pid FROM groups JOIN suffix1 USING (alpha) WHERE kind = 'hard') JOIN v USING (pid) GROUP BY ALL),
 hard AS (SELECT *, CAST(l_left + sum(cnt) OVER (PARTITION BY row1 ORDER BY row2) - cnt AS BIGINT) AS start FROM tiers)"""
+_COLEX = """,
+colex1 AS (SELECT pid, row_number() OVER (ORDER BY reverse(phrase)) AS colex FROM dict1),
+back AS (SELECT pid2, list(coalesce(colex, 0) ORDER BY i DESC) AS r FROM (SELECT pid2, unnest(toks) AS pid, unnest(range(len(toks))) AS i FROM dict2) LEFT JOIN colex1 USING (pid) GROUP BY pid2),
+colex2 AS (SELECT pid2, row_number() OVER (ORDER BY r) - 1 AS colex2 FROM back)"""
 _BWT = f""",
 t AS (SELECT string_agg(o, '' ORDER BY k) AS t FROM corpus),
 tt AS (SELECT t || substr(t, 1, {PREFIX}) AS x, length(t) AS n, string_split(t, '') AS l FROM t),
@@ -230,6 +298,26 @@ c AS (SELECT CAST(0 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS row_start, CAST(0
   UNION ALL
   SELECT c.chunk + 1, c.row_end + 1, c.l_right + 1, coalesce(min(g.row1), last), coalesce(min(g.l_right), n - 1)
   FROM c, size LEFT JOIN groups g ON g.l_right > c.l_right + 1 + size.size WHERE c.row_end < last GROUP BY c.chunk, c.row_end, c.l_right, last, n)"""),
+    "given_dictionary": _sql("SELECT * FROM dict1", _PARSE),
+    "given_dictionary_l2": _sql("SELECT * REPLACE (array_to_string(toks, ',') AS toks) FROM dict2", _PARSE, _PARSE2),
+    "given_parse_l2": _sql("SELECT * FROM parse2", _PARSE, _PARSE2),
+    "given_rlbwt": _sql("SELECT run_id, ch, start, len FROM rl", _BWT),
+    "flat_runs": _sql("SELECT run_id, ch, start, len FROM rl", _BWT),
+    "flat_samples": _sql("SELECT run_id, sa FROM rl", _BWT),
+    "colex_order": _sql("SELECT * FROM colex2", _PARSE, _PARSE2, _COLEX),
+    "m_intervals": _sql("SELECT row2, CAST(max(len(alpha2)) AS BIGINT) AS len_alpha2, min(colex2) AS left, max(colex2) AS right FROM m JOIN colex2 USING (pid2) GROUP BY row2", _PARSE, _PARSE2, _COLEX),
+    "bwt_hard_hard_by_interval": _sql("SELECT pos AS start, ch, CAST(1 AS BIGINT) AS len FROM hard JOIN bwt ON pos BETWEEN start AND start + cnt - 1 WHERE n_pids > 1", _PARSE, _PARSE2, _BWT),
+    "sa_lookup": _sql("SELECT pos, sa FROM bwt WHERE pos IN (SELECT l_left FROM groups UNION ALL SELECT l_right FROM groups)", _PARSE, _BWT),
+    "skipped_by_level": _sql(
+        f"""
+SELECT level, count(*) AS n_rows, CAST(sum(cnt) AS BIGINT) AS n_symbols FROM (
+  SELECT 'group' AS level, cnt FROM groups WHERE row1 NOT IN ({_NEEDED})
+  UNION ALL SELECT CASE WHEN EXISTS (SELECT 1 FROM rl WHERE rl.start BETWEEN r.start AND r.start + r.cnt - 1) THEN 'expanded' ELSE 'row' END, cnt FROM every r WHERE row1 IN ({_NEEDED})) GROUP BY level""",
+        _PARSE, _PARSE2, """,
+wholes AS (SELECT row1, row2, l_left, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT row1, l_left, pid FROM groups JOIN suffix1 USING (alpha)) JOIN v USING (pid) GROUP BY ALL),
+every AS (SELECT row1, row2, cnt, CAST(l_left + sum(cnt) OVER (PARTITION BY row1 ORDER BY row2) - cnt AS BIGINT) AS start FROM wholes)""", _BWT),
+    "rlbwt_by_chunks": _sql("SELECT start, ch, len FROM rl", _BWT),
+    "sa_by_chunks": _sql("SELECT pos, sa FROM bwt", _BWT),
     "rlbwt_access": _sql("SELECT pos, ch, run_id FROM (SELECT unnest(range((SELECT count(*) FROM bwt))) AS pos) JOIN rl ON pos BETWEEN start AND start + len - 1", _BWT).replace("SELECT pos, ch, run_id", "SELECT pos, rl.ch, run_id"),
     "bwt_by_document": """
 WITH d AS (SELECT item_id, text || chr(2) AS t FROM benchmark),

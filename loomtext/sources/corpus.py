@@ -8,7 +8,6 @@ symbols before it, so that every window of the text lies in exactly one tile.
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.symbols import SEPARATOR, SEPARATOR_END, TERMINATOR, separator
 from ..plans.order import running
+from .flat import RANGE, read_records, write_records
 from .scratch import stored
 from .ship import ship
 
@@ -148,18 +148,29 @@ def load_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def write_ssa(ssa: DataFrame, path: str) -> int:
     """The flat layout of samples: an 8-byte count, then 8-byte values in run
-    order. For exchange of small indexes; a partition at a time is held."""
+    order, in parts that all executors write; put one after another, these are
+    the file. Gives its size."""
     count = ssa.count()
-    with open(path, "wb") as f:
-        f.write(struct.pack("<Q", count))
-        for r in ssa.orderBy("run_id").select("sa").toLocalIterator():
-            f.write(struct.pack("<Q", r.sa))
-    return os.path.getsize(path)
-
-
-def read_ssa(spark: SparkSession, path: str) -> DataFrame:
-    """``run_id, sa`` of the flat layout."""
-    raw = spark.read.format("binaryFile").load(path).select(F.hex("content").alias("h"))
-    value = lambda i: F.conv(F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.col("h").substr(i * 16 + b * 2 + 1, F.lit(2)))), ""), 16, 10).cast("bigint")
-    n = (F.length("h") / 16).cast("int")
-    return raw.select(F.posexplode(F.transform(F.sequence(F.lit(1), n - 1), value)).alias("run_id", "sa")).select(F.col("run_id").cast("bigint"), "sa")
+    write_records(ssa.select(F.col("run_id").alias("i"), "sa"), "sa:q", path, struct.pack("<Q", count))
+    return 8 * (1 + count)
+
+
+def read_ssa(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """``run_id, sa`` of the flat layout, in one file or in parts."""
+    return read_records(spark, path, "sa:q", 8, range_bytes).withColumnRenamed("i", "run_id")
+
+
+def write_runs(rlbwt: DataFrame, path: str) -> int:
+    """Runs in a flat layout: for each, in order, its symbol's code point in 4
+    bytes and its length in 8. Gives the size."""
+    write_records(rlbwt.select(F.col("run_id").alias("i"), F.ascii("ch").alias("code"), "len"), "code:I,len:q", path)
+    return 12 * rlbwt.count()
+
+
+def read_runs(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """``run_id, ch, start, len`` of the flat layout."""
+    runs = read_records(spark, path, "code:I,len:q", 0, range_bytes)
+    placed = running(runs, ["i"], "start", F.col("len"))
+    # a code point as UTF-32, which every decoder of Spark reads
+    ch = F.decode(F.unhex(F.lpad(F.hex("code"), 8, "0")), "UTF-32")
+    return placed.select(F.col("i").alias("run_id"), ch.alias("ch"), "start", "len")
