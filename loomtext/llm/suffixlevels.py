@@ -49,7 +49,7 @@ LENGTH, GRAM = 50, 24
 #: Batches of the query; documents of an even share of the ids each.
 BATCHES = 4
 #: Rows of one anchor beyond which its suffixes are dealt out one by one.
-HOT = 100_000
+HOT = 20_000
 PIECE = 1 << 18
 #: Rows that a task compares at once, and more up to the end of an anchor.
 TOGETHER = 3_000
