@@ -140,17 +140,28 @@ def test_bad_parameters(spark):
         TextIndex.of_strings(spark, ["a"]).chunk_plan(0)
 
 
-def test_command_line(spark, tmp_path):
-    from loomtext.__main__ import main, options
+def test_command_line(spark, tmp_path, caplog):
+    from loomtext.__main__ import main, options, parsed
 
     spark.createDataFrame([(1, "banana"), (2, "ananas")], "k long, t string").write.parquet(str(tmp_path / "in"))
-    main([str(tmp_path / "in"), "k", "t", str(tmp_path / "out"), "--chunks", "2"])
+    with caplog.at_level("INFO", logger="loomtext"):
+        main([str(tmp_path / "in"), "k", "t", str(tmp_path / "out"), "--chunks", "2", "--flat"])
     t, sa, b = naive(["banana", "ananas"], 4)
     assert [r.start for r in load(spark, str(tmp_path / "out"), "rlbwt").orderBy("run_id").collect()] == heads(b)
     assert [r.sa for r in load(spark, str(tmp_path / "out"), "ssa").orderBy("run_id").collect()] == [sa[i] for i in heads(b)]
+    assert [r.sa for r in read_ssa(spark, str(tmp_path / "out" / "flat.ssa")).orderBy("run_id").collect()] == [sa[i] for i in heads(b)]
     assert load(spark, str(tmp_path / "out"), "chunks").agg(F.sum("cnt")).first()[0] == len(t)
+    assert f"{len(t)} symbols" in caplog.text and "samples, " in caplog.text
     with pytest.raises(SystemExit):
         options().parse_args(["--version"])
+    # options in a file, those of the command line first
+    (tmp_path / "ini").write_text("w1 = 7\nbwt-only = true\nl1-prefix = some/prefix\n")
+    a = parsed(["out", "--configure", str(tmp_path / "ini"), "--w2", "3"])
+    assert (a.place, a.w1, a.w2, a.bwt_only, a.l1_prefix) == (["out"], 7, 3, True, "some/prefix")
+    assert parsed(["out", "--configure", str(tmp_path / "ini"), "--w1", "5"]).w1 == 5
+    for bad in (["a", "b"], ["out", "--fasta", "x", "--l1-prefix", "y"], ["out", "--fasta", "x", "--tmp-dir", str(tmp_path / "none")]):
+        with pytest.raises(SystemExit):
+            parsed(bad)
 
 
 def test_cluster_needs_a_shared_folder(spark):
