@@ -448,6 +448,25 @@ def test_templates(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_each_text_is_judged_by_itself(spark, tmp_path):
+    """Rows of one id aren't added up; the text alone counts, null ids too."""
+    words = [f"{a}{b}" for a in "bcdfghjkl" for b in ("alo", "emi", "onu", "ute")]
+    item = " ".join(words)
+    first, last = " ".join(words[:24]) + " something else", "other words here " + " ".join(words[13:])
+    half, leak = " ".join(words[:15]) + " and so on", "it was said that " + item
+    rows = [(3, half), (3, "and then " + " ".join(words[24:])), (4, first), (4, last), (5, leak), (5, "a clean text of the same id"), (None, leak), (None, "clean"), (6, None), (7, ""), (8, "so: What is 17 + 23? ok"), (9, "what is 17 or 23")]
+    items = spark.createDataFrame([(1, item), (2, "What is 17 + 23?"), (3, "17 + 23?"), (4, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.total_windows, r.position) for r in decontaminate.contaminated(docs(spark, rows), items).collect()}
+    assert got == {(4, 1): (15, 27, 0), (5, 1): (27, 27, 4), (8, 2): (1, 1, 1)}
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame = docs(spark, rows).withColumns({"ver": F.lit("x"), "more": F.lit(1), "_ver_": F.lit(2), "item_id": F.lit(3)})
+    left = decontaminate.stage(spark, frame, str(tmp_path))
+    assert left.columns == frame.columns
+    gone = {leak, first, last, rows[10][1]} if got[4, 1] else None
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(((i, t) for i, t in rows if t not in gone), key=str)
+    assert decontaminate.stage(spark, frame.limit(0), str(tmp_path)).count() == 0
+
+
 def test_decontamination_by_hand(spark):
     d = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
