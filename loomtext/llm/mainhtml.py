@@ -8,12 +8,15 @@ the spread of the path's text lengths, as running text varies and notices
 don't; a path's value is the mean over its blocks, and paths are thresholded by the
 spread of the values and by the largest one. The blocks of the paths that reach
 the threshold are the article, with the headings that belong to them and the
-lists and quotations that stand beside them; all other blocks go.
+lists and quotations that stand beside them; all other blocks go. Where a page has
+an ``article`` or ``main`` with running text, only paths inside are compared, and
+of each such element with a chosen block all blocks stay but those with a telling
+name and those that are mostly links: sections, captions, tables, short lines.
 
 Before that, elements that can't be article by HTML's own meaning are left out:
-menus, footers, asides, forms, scripts and the like, and what is hidden.
-Class names and ids (advert, sidebar, comments and so on) and, on pages that
-have an ``article`` or ``main``, standing outside of it only lower a path's
+menus, footers, asides, forms, scripts and the like, and what is hidden; but a
+form around more than half of the page's text is the page's frame, no form.
+Class names and ids (advert, sidebar, comments and so on) only lower a path's
 value, so a telling name on the article itself takes nothing away.
 
 A page is worked on alone, in one narrow pass without a shuffle and in time in
@@ -65,9 +68,8 @@ MARKS = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 SPACES = re.compile(r"\s+")
 
 
-#: Value of a path whose names say that it isn't the article, and of one that
-#: stands outside of the page's article or main.
-NAMED, OUTSIDE = 0.1, 0.1
+#: Value of a path whose names say that it isn't the article.
+NAMED = 0.1
 #: Weight in the smoothing of a neighbour of another path.
 STRANGE = 0.03
 #: Threshold: shares of the values' standard deviation and of the largest value.
@@ -77,12 +79,15 @@ SPREAD, LARGEST = 0.5, 0.15
 class Element:
     """An open element. It knows its parent, so nothing is copied per block."""
 
-    __slots__ = ("name", "parent", "apart", "article", "linked", "path", "leaf")
+    __slots__ = ("name", "parent", "apart", "article", "region", "formed", "linked", "path", "leaf")
 
     def __init__(self, name: str, parent: Element | None, apart: bool, path: int, leaf: str):
         self.name, self.parent, self.path, self.leaf = name, parent, path, leaf
         self.apart = apart or (parent is not None and parent.apart)
         self.article = name in ("article", "main") or (parent is not None and parent.article)
+        # the outermost article or main around
+        self.region = parent.region if parent is not None and parent.article else self if self.article else None
+        self.formed = name == "form" or (parent is not None and parent.formed)
         self.linked = name == "a" or (parent is not None and parent.linked)
 
 
@@ -98,9 +103,11 @@ class Block:
         self.parts: list[str] = []
 
 
-def _kind(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+def _kind(name: str, attributes: str, inside: bool, forms: bool = False) -> tuple[bool, bool]:
     """Whether an element can't be part of an article, and whether its class or
-    id tells against it. inside: of article or main."""
+    id tells against it. inside: of article or main; forms: these may be part."""
+    if name == "form" and forms:
+        return False, False
     if name in APART or (name == "header" and not inside):
         return True, False
     if not attributes.strip() or name in ("html", "body"):
@@ -121,7 +128,8 @@ class Page:
     ``article`` tell of each path whether a name on it tells against it, and
     whether it is in an article."""
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, forms: bool = False):
+        self.forms = forms
         self.blocks: list[Block] = []
         self.named, self.article = [False], [False]
         self._numbers: dict[tuple, int] = {}
@@ -149,7 +157,7 @@ class Page:
 
     def _start(self, name: str, attributes: str) -> None:
         parent = self._stack[-1] if self._stack else None
-        apart, named = _kind(name, attributes, parent is not None and parent.article)
+        apart, named = _kind(name, attributes, parent is not None and parent.article, self.forms)
         above = parent.path if parent else 0
         path, leaf = above, parent.leaf if parent else ""
         if name in BLOCK:
@@ -262,7 +270,10 @@ def selected(page: Page) -> np.ndarray:
     size, marks, spread = ratios(page)
     fused = smooth(size, path) * np.log1p(smooth(marks, path) + 0.5) * (1 + np.log1p(spread))
     article = np.array(page.article)
-    lowered = np.where(page.named, NAMED, 1.0) * np.where(article | ~article[path].any(), 1.0, OUTSIDE)
+    named = np.array(page.named)
+    lowered = np.where(named, NAMED, 1.0)
+    if (article & ~named)[path][size > 0].any():
+        lowered = lowered * article
     count = np.bincount(path, minlength=len(lowered))
     value = np.bincount(path, fused, minlength=len(lowered)) / np.maximum(count, 1) * lowered
     value = value[path]
@@ -277,8 +288,10 @@ def _block(e: Element | None) -> Element | None:
 
 def completed(page: Page, chosen: np.ndarray) -> np.ndarray:
     """``chosen`` and what belongs to it: headings right before a chosen block,
-    or of an element, smaller than the body, that holds one; and lists and
-    quotations, if no links, in the same element as a chosen block."""
+    or of an element, smaller than the body, that holds one; lists and
+    quotations, if no links, in the same element as a chosen block; and all of an
+    article that holds one, if no links and without a telling name."""
+    regions = {id(b.element.region) for b, c in zip(page.blocks, chosen) if c and b.element is not None and b.element.region is not None}
     holds: set[int] = set()
     beside: set[int] = set()
     for b, c in zip(page.blocks, chosen):
@@ -296,9 +309,12 @@ def completed(page: Page, chosen: np.ndarray) -> np.ndarray:
             while e.name not in HEADING:
                 e = e.parent
             around = _block(e.parent)
-            out[k] = following or (around is not None and id(around) in holds)
+            out[k] = following or (around is not None and id(around) in holds) or (id(b.element.region) in regions and not page.named[b.path])
             continue
         following = bool(chosen[k])
+        if b.element is not None and id(b.element.region) in regions and 2 * b.linked < len(b.text) and not page.named[b.path]:
+            out[k] = following = True
+            continue
         if not chosen[k] and 2 * b.linked < len(b.text) and not page.named[b.path] and b.tag in LISTED:
             e = b.element
             while e is not None and e.name not in LIST and (e.name in LISTED or e.name not in BLOCK):
@@ -310,6 +326,11 @@ def completed(page: Page, chosen: np.ndarray) -> np.ndarray:
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by an empty line."""
     read = Page(page or "")
+    if re.search("<form", page or "", re.I):
+        whole = Page(page, forms=True)
+        inside = sum(len(b.text) for b in whole.blocks if b.element is not None and b.element.formed)
+        if 2 * inside > sum(len(b.text) for b in whole.blocks):
+            read = whole
     if not read.blocks:
         return ""
     return "\n\n".join(b.text for b, keep in zip(read.blocks, completed(read, selected(read))) if keep)

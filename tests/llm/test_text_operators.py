@@ -226,6 +226,40 @@ def test_paths_choose_what_is_kept(monkeypatch):
         assert sum(mainhtml.main_text(x) != w for x, w in zip(pages, wants)) >= 4
 
 
+def test_an_article_keeps_all_its_text():
+    """Of an article only menus, adverts, comments and the like go, however short its blocks are."""
+    long = "".join(f"<p>{x} {x}</p>" for x in PROSE[:2] + PROSE[3:])
+    texts = [f"{x} {x}" for x in PROSE[:2] + PROSE[3:]]
+    around = lambda inner: f"<body><nav><a href=/>Home</a></nav><div class=ad>Buy now, friends.</div><article>{inner}</article><aside>More.</aside></body>"
+    more = {
+        "<section><h2>Later</h2><p>It fell by three metres.</p></section>": ["Later", "It fell by three metres."],
+        "<div>A paragraph in a div.</div>": ["A paragraph in a div."],
+        "<figure><img src=x><figcaption>The mill, 1910</figcaption></figure>": ["The mill, 1910"],
+        "<table><tr><th>Year</th><td>1910</td></tr></table>": ["Year", "1910"],
+        "<details><summary>Notes</summary><p>Two dams</p></details>": ["Notes", "Two dams"],
+    }
+    for inner, blocks in more.items():
+        assert mainhtml.main_text(around(long + inner)) == "\n\n".join(texts + blocks)
+        assert mainhtml.main_text(around(inner + long)) == "\n\n".join(blocks + texts)
+    header = "<header><h1>The flood</h1><p class=meta>By A. Miller</p></header>"
+    assert mainhtml.main_text(around(header + long)) == "\n\n".join(["The flood", "By A. Miller", *texts])
+    # a short article beside longer text that isn't one
+    short = "<body><article><p>No.</p><p>Who was to blame?</p></article><div>" + long + "</div></body>"
+    assert mainhtml.main_text(short) == "No.\n\nWho was to blame?"
+    # what goes all the same
+    junk = "<div class='share-buttons'>Share this, please.</div><ul><li><a href=/x>Another story, told here.</a></li></ul><form>Your name, please. <p>Yes.</p></form><section id=comments><p>Nice one, thank you.</p></section><p hidden>Not seen, at all.</p>"
+    assert mainhtml.main_text(around(long + junk)) == "\n\n".join(texts)
+    # a main of menus alone isn't the article
+    assert mainhtml.main_text("<main><ul class=menu><li>One</li></ul></main><div>" + long + "</div>") == "\n\n".join(texts)
+
+
+def test_a_form_around_the_page_is_no_form():
+    long = "".join(f"<p>{x}</p>" for x in PROSE)
+    page = f"<body><form id=aspnet action=x><input name=a><div><div class=nav>Home News</div><div>{long}</div></div></form></body>"
+    assert mainhtml.main_text(page) == "\n\n".join(PROSE)
+    assert mainhtml.main_text(f"<body><div>{long}</div><form><p>Leave a word, here. Thank you.</p></form></body>") == "\n\n".join(PROSE)
+
+
 def test_ratios_by_hand():
     page = mainhtml.Page("<body><div><p>One, two.</p><p>Three <a href=x>four</a>!</p><ul><li>Five</li></ul><p class=ad>Six; seven.</p></div></body>")
     assert [b.text for b in page.blocks] == ["One, two.", "Three four!", "Five", "Six; seven."]
