@@ -1,8 +1,8 @@
-"""Schemas of the tables of the index, all positions and ids being 64-bit."""
+"""Schemas of the results of the index, all positions and ids being 64-bit."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def _of(**fields) -> StructType:
@@ -10,17 +10,5 @@ def _of(**fields) -> StructType:
 
 
 _L, _S = LongType(), StringType()
-CORPUS = _of(k=_L, s=_S, own=_L, off=_L)
-DICT1 = _of(pid=_L, phrase=_S, len=_L, freq=_L)
-PARSE1 = _of(i=_L, pid=_L, k=_L, j=_L, start=_L, len=_L)
-SUFFIX1 = _of(pid=_L, alpha=_S, len_alpha=_L, prev=_S, freq=_L)
-GROUPS = _of(row1=_L, alpha=_S, len_alpha=_L, cnt=_L, n_chars=_L, n_pids=_L, l_left=_L, l_right=_L, kind=_S)
-DICT2 = _of(pid2=_L, toks=ArrayType(_L), len=_L, freq=_L)
-PARSE2 = _of(i=_L, pid2=_L, end_pos=_L)
-M_TABLE = _of(row2=_L, alpha2=ArrayType(_L), pid2=_L, prev_pid=_L, freq=_L)
-V_TABLE = _of(pid=_L, row2=_L, cnt=_L)
-ILIST = _of(pid2=_L, k=_L, pos2=_L, end_pos=_L)
-PIECES = _of(start=_L, ch=_S, len=_L, row1=_L, tier=_S)
 RLBWT = _of(run_id=_L, ch=_S, start=_L, len=_L, row1=_L)
-SSA = _of(run_id=_L, sa=_L)
 CHUNKS = _of(chunk=_L, row_start=_L, row_end=_L, l_left=_L, cnt=_L)

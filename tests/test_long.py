@@ -137,3 +137,16 @@ def test_index_of_given_tables_names_what_it_lacks(spark):
     for name in ("text", "corpus", "phrases", "parse1", "occurrences", "trigger_positions"):
         with pytest.raises(ValueError, match="no text"):
             getattr(x, name)
+
+
+def test_settled_suffixes_leave_the_rounds(spark, monkeypatch):
+    """On ordinary text, all rounds together sort fewer rows than there are suffixes."""
+    seq = [(r.i, r.pid) for r in TextIndex.of_table(spark.read.parquet("/root/testdata/sf0.001/part.parquet"), "p_partkey", "p_name").ids.select("i", "pid").collect()]
+    sorted_rows = []
+    kept = order.stored
+    monkeypatch.setattr(order, "stored", lambda d, tag: (lambda out: sorted_rows.append(out.count()) or out if tag == "pairs" else out)(kept(d, tag)))
+    got = {r.i: r.rank for r in order.suffix_ranks(spark.createDataFrame(seq, "i long, x long"), tile=100).collect()}
+    values = [x for _, x in sorted(seq)]
+    ordered = sorted(range(len(values)), key=lambda i: values[i:])
+    assert got == {i: k + 1 for k, i in enumerate(ordered)}
+    assert sorted_rows == sorted(sorted_rows, reverse=True) and sum(sorted_rows) < len(seq)
