@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.symbols import BASE, PRIME
-from .index import TextIndex
+from .index import TextIndex, load
 from .operators import bwt as bwt_ops
 from .operators import runs, samples
 from .plans import suffixes
 from .sources import given
 from .sources.corpus import read_runs, read_ssa, write_runs, write_ssa
-from .sources.scratch import work_dir
+from .sources.scratch import stored, work_dir
 
 W1, P1, W2, P2 = 4, 11, 2, 5
 #: Rotations are compared by so many symbols in SQL; it raises an error if any
@@ -123,6 +123,26 @@ def _flat_samples(x: TextIndex) -> DataFrame:
     return read_ssa(x.groups.sparkSession, path)
 
 
+def _saved(x: TextIndex) -> str:
+    path = _place(x)
+    x.save(path)
+    return path
+
+
+def of_fasta(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of the column written as FASTA, in several files, lines of at
+    most 20 symbols, and read again by lines."""
+    name = (spark.sparkContext.applicationId, sf_dir, "part", "fasta")
+    if name not in _built:
+        path = f"{work_dir(spark)}/fasta-{uuid.uuid4().hex}"
+        rows = stored(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name"), "part")
+        # lines end where a symbol does, as blanks at a line's end aren't symbols of it
+        lines = F.regexp_replace(F.translate(F.coalesce("p_name", F.lit("")), " ", "_"), "(.{20})", "$1\n")
+        rows.repartitionByRange(3, "p_partkey").sortWithinPartitions("p_partkey").select(F.concat(F.lit(">"), F.col("p_partkey"), F.lit(" a part\n"), lines).alias("value")).write.text(path)
+        _built[name] = TextIndex.of_fasta(spark, path, W1, P1, W2, P2)
+    return _built[name]
+
+
 _OF = {
     "corpus_layout": lambda x: x.corpus.select("k", "own", "off"),
     "trigger_positions": lambda x: x.trigger_positions,
@@ -155,6 +175,8 @@ _OF = {
     "skipped_portion": _skipped,
     "chunk_plan": lambda x: x.chunk_plan(50),
     "rlbwt_access": _access,
+    "saved_runs_decoded": lambda x: runs.decode(load(x.groups.sparkSession, _saved(x), "rlbwt")),
+    "saved_samples": lambda x: load(x.groups.sparkSession, _saved(x), "ssa"),
     "given_dictionary": lambda x: _given(x).dict1,
     "given_dictionary_l2": lambda x: _given(x).dict2.withColumn("toks", F.array_join("toks", ",")),
     "given_parse_l2": lambda x: _given(x).parse2,
@@ -180,6 +202,8 @@ def _events(make):
 
 
 QUERIES = {k: _query(f) for k, f in _OF.items()} | {
+    "fasta_layout": lambda spark, sf_dir: of_fasta(spark, sf_dir).corpus.select("k", "own", "off"),
+    "fasta_rlbwt": lambda spark, sf_dir: of_fasta(spark, sf_dir).rlbwt.select("run_id", "ch", "start", "len"),
     "bwt_by_document": by_document,
     "rlbwt_events": _events(_OF["rlbwt"]),
     "sa_at_run_heads_events": _events(_OF["sa_at_run_heads"]),
@@ -298,6 +322,10 @@ c AS (SELECT CAST(0 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS row_start, CAST(0
   UNION ALL
   SELECT c.chunk + 1, c.row_end + 1, c.l_right + 1, coalesce(min(g.row1), last), coalesce(min(g.l_right), n - 1)
   FROM c, size LEFT JOIN groups g ON g.l_right > c.l_right + 1 + size.size WHERE c.row_end < last GROUP BY c.chunk, c.row_end, c.l_right, last, n)"""),
+    "saved_runs_decoded": _sql("SELECT pos, ch FROM bwt", _BWT),
+    "saved_samples": _sql("SELECT run_id, sa FROM rl", _BWT),
+    "fasta_layout": _sql("SELECT k, own, off FROM corpus"),
+    "fasta_rlbwt": "WITH " + _text("part", "p_partkey", "translate(p_name, ' ', '_')") + _BWT + "\nSELECT run_id, ch, start, len FROM rl",
     "given_dictionary": _sql("SELECT * FROM dict1", _PARSE),
     "given_dictionary_l2": _sql("SELECT * REPLACE (array_to_string(toks, ',') AS toks) FROM dict2", _PARSE, _PARSE2),
     "given_parse_l2": _sql("SELECT * FROM parse2", _PARSE, _PARSE2),
