@@ -4,11 +4,12 @@ Every revisit is joined, by canonical URL, with the latest full response that
 was captured before it; if the validators agree it takes that response's
 payload and its headers, updated with the permitted headers of the 304.
 
-The as-of join is a running maximum in time order. A URL that is captured very
-often would be one huge window, so time is cut in spans of ``SPAN``: the window
-runs within (URL, span), and the last response of the spans before comes from
-one row per URL and span. Only record ids, validators and headers are shuffled,
-never payloads.
+The as-of join is a running maximum in time order, over one row for each URL and
+moment, which is made map-side. Time is cut in spans of ``SPAN`` moments: a window runs
+within (URL, span), so it has at most ``SPAN`` rows however often a URL is
+captured, and the last response of the spans before comes from one row per URL
+and span. Records are then joined with their moment's row. Only record ids,
+validators and headers are shuffled, never payloads.
 
 Input columns of ``resolve``: record_id long, url string, ts long, kind
 ('response' or 'revisit'), etag, last_modified string, digest string, headers
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import stored, table
 
 SPAN = 4096
 # Query parameters that name no resource, and the stored headers
@@ -57,16 +58,14 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     apart = r.where(~F.coalesce(usable, F.lit(False)))
     r = r.where(usable)
     full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", "digest", F.map_entries("headers").alias("entries")))
-    spans = r.where("kind = 'response'").groupBy("canonical_url", "part").agg(F.max(full).alias("last"))
-    # a revisit's span need not hold a response: find it by the running maximum
-    marks = spans.unionByName(r.where("kind = 'revisit'").select("canonical_url", "part").distinct(), allowMissingColumns=True)
-    marks = marks.groupBy("canonical_url", "part").agg(F.max("last").alias("last"))
+    moments = r.groupBy("canonical_url", "part", "ts").agg(F.max(full).alias("here"))
     over = Window.partitionBy("canonical_url").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = marks.select("canonical_url", "part", F.max("last").over(over).alias("carried"))
-    within = Window.partitionBy("canonical_url", "part").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("near", F.max(full).over(within)).join(before, ["canonical_url", "part"], "left")
-    old = F.coalesce("near", "carried")
-    r = r.withColumn("old", old)
+    before = moments.groupBy("canonical_url", "part").agg(F.max("here").alias("last")).select("canonical_url", "part", F.max("last").over(over).alias("carried"))
+    within = Window.partitionBy("canonical_url", "part").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    latest = moments.withColumn("near", F.max("here").over(within)).join(before, ["canonical_url", "part"])
+    # stored, so that the join below can split a moment of very many records
+    latest = stored(latest.select("canonical_url", "ts", F.coalesce("near", "carried").alias("old")), "latest")
+    r = r.join(latest, ["canonical_url", "ts"], "left")
     by_tag = F.col("etag").isNotNull() & F.col("old.etag").isNotNull()
     by_date = F.col("last_modified").isNotNull() & F.col("old.last_modified").isNotNull()
     agree = F.when(by_tag, F.col("etag") == F.col("old.etag")).when(by_date, F.col("last_modified") == F.col("old.last_modified"))
@@ -80,9 +79,9 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     r = r.withColumn("resolution", resolution)
     done = F.col("resolution") == "resolved"
     update = F.map_filter("headers", lambda k, _: ~k.isin(UNCHANGED))
-    stored = F.map_from_entries("old.entries")
-    kept = F.map_filter(stored, lambda k, _: F.coalesce(~F.map_contains_key(update, k), F.lit(True)))
-    merged = F.coalesce(F.map_concat(kept, update), stored, update)
+    original = F.map_from_entries("old.entries")
+    kept = F.map_filter(original, lambda k, _: F.coalesce(~F.map_contains_key(update, k), F.lit(True)))
+    merged = F.coalesce(F.map_concat(kept, update), original, update)
     out = r.select(
         "record_id", "canonical_url", "kind", "resolution",
         F.when(F.col("kind") == "revisit", F.col("old.record_id")).alias("ref_id"),
@@ -94,25 +93,28 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     return out.unionByName(rest)
 
 
-#: A page is asked for again so many steps after its capture.
-AGAIN = 5000
+#: Captures of a page, and moments between two of them: some in one span, some not.
+ROUNDS, STEP = 6, 900
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Two records of every page: its response at time page_id, and a 304 of
-    the same validator ``AGAIN`` steps later (weak for every other length)."""
-    p = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
-    tag = F.concat(F.lit('"'), F.col("digest"), F.lit('"'))
-    one = p.select(
-        (2 * F.col("page_id")).alias("record_id"), "url", F.col("page_id").alias("ts"), F.lit("response").alias("kind"), tag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), "digest",
-        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.col("size").cast("string"), F.lit("date"), F.col("page_id").cast("string"), F.lit("etag"), tag).alias("headers"),
+    """``ROUNDS`` records of every page, ``STEP`` moments apart, full responses and
+    304s in turn, starting at another turn for each page. A page changes between
+    its rounds, and its validator with it: an ETag (weak in a 304 of an even
+    round), or for every fourth page a date alone. So a 304 may follow a
+    response of its version, of another, or none."""
+    round_ = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ROUNDS - 1).cast("bigint"))).alias("round")
+    p = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("body"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"), round_)
+    version = F.floor((F.col("round") + F.col("page_id") % 2) / 2).cast("string")
+    p = p.select("*", (F.col("page_id") + STEP * F.col("round")).alias("ts"), ((F.col("page_id") + F.col("round")) % 3 == 0).alias("full"), F.concat("body", F.lit("-"), version).alias("digest"))
+    tag = F.when(F.col("page_id") % 4 != 0, F.concat(F.lit('"'), F.col("digest"), F.lit('"')))
+    weak = F.when(~F.col("full") & (F.col("round") % 2 == 0), F.concat(F.lit("W/"), tag)).otherwise(tag)
+    always = [F.lit("date"), F.col("ts").cast("string")]
+    headers = F.when(F.col("full"), F.create_map(*always, F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.col("size").cast("string"))).otherwise(F.create_map(*always, F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.lit("max-age=60")))
+    return p.select(
+        (ROUNDS * F.col("page_id") + F.col("round")).alias("record_id"), "url", "ts", F.when(F.col("full"), "response").otherwise("revisit").alias("kind"), weak.alias("etag"),
+        F.when(F.col("page_id") % 4 == 0, F.col("digest")).alias("last_modified"), F.when(F.col("full"), F.col("digest")).alias("digest"), headers.alias("headers"),
     )
-    weak = F.when(F.col("size") % 2 == 0, F.concat(F.lit("W/"), tag)).otherwise(tag)
-    two = p.select(
-        (2 * F.col("page_id") + 1).alias("record_id"), "url", (F.col("page_id") + AGAIN).alias("ts"), F.lit("revisit").alias("kind"), weak.alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"),
-        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), (F.col("page_id") + AGAIN).cast("string"), F.lit("cache-control"), F.lit("max-age=60")).alias("headers"),
-    )
-    return one.unionByName(two)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -131,18 +133,21 @@ WITH p AS (
            lambda q: q <> '' AND NOT regexp_matches(lower(q), '{TRACKING}'))), '&'), ''), '')
     ELSE url END AS canonical_url
   FROM pages),
+rec AS (
+  SELECT {ROUNDS} * page_id + round AS record_id, canonical_url, page_id + {STEP} * round AS ts, (page_id + round) % 3 = 0 AS full_, page_id % 4 = 0 AS dated,
+    digest || '-' || CAST((round + page_id % 2) // 2 AS VARCHAR) AS digest, size
+  FROM p, (SELECT unnest(range({ROUNDS})) AS round)),
 old AS (
-  SELECT v.page_id, max(struct_pack(ts := r.page_id, digest := r.digest, size := r.size)) AS r
-  FROM p v JOIN p r ON r.canonical_url = v.canonical_url AND r.page_id < v.page_id + {AGAIN} GROUP BY v.page_id)
-SELECT 2 * page_id AS record_id, canonical_url, 'response' AS kind, 'response' AS resolution, CAST(NULL AS BIGINT) AS ref_id, digest,
-  'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || page_id || chr(10) || 'etag: "' || digest || '"' AS headers
-FROM p
-UNION ALL
-SELECT 2 * p.page_id + 1, canonical_url, 'revisit',
-  CASE WHEN canonical_url IS NULL THEN 'no_url' WHEN r IS NULL THEN 'unmatched' WHEN r.digest = p.digest THEN 'resolved' ELSE 'validator_mismatch' END,
-  2 * r.ts, CASE WHEN r.digest = p.digest THEN r.digest END,
-  CASE WHEN r.digest = p.digest
-    THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || r.size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || (p.page_id + {AGAIN}) || chr(10) || 'etag: "' || r.digest || '"'
-    ELSE 'cache-control: max-age=60' || chr(10) || 'content-length: 0' || chr(10) || 'date: ' || (p.page_id + {AGAIN}) END
-FROM p LEFT JOIN old USING (page_id)
+  SELECT v.record_id, max(struct_pack(ts := r.ts, record_id := r.record_id, digest := r.digest, size := r.size, dated := r.dated)) AS r
+  FROM rec v JOIN rec r ON r.canonical_url = v.canonical_url AND r.ts < v.ts WHERE r.full_ AND NOT v.full_ GROUP BY v.record_id),
+told AS (
+  SELECT rec.*, r, CASE WHEN full_ THEN 'response' WHEN canonical_url IS NULL THEN 'no_url' WHEN r IS NULL THEN 'unmatched' WHEN r.dated <> dated THEN 'no_validator'
+    WHEN r.digest = digest THEN 'resolved' ELSE 'validator_mismatch' END AS resolution
+  FROM rec LEFT JOIN old USING (record_id))
+SELECT record_id, canonical_url, CASE WHEN full_ THEN 'response' ELSE 'revisit' END AS kind, resolution, r.record_id AS ref_id,
+  CASE WHEN full_ OR resolution = 'resolved' THEN digest END AS digest,
+  CASE WHEN full_ THEN 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts
+    WHEN resolution = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || r.size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts
+    ELSE 'cache-control: max-age=60' || chr(10) || 'content-length: 0' || chr(10) || 'date: ' || ts END AS headers
+FROM told
 """

@@ -503,7 +503,7 @@ def test_revisits(spark):
         record(11, "not a url", 1, "response", None, "m", "d11"), record(12, "not a url", 2, "revisit", None, "m"), record(12, "not a url", 2, "revisit", None, "m"),
     ]
     df = spark.createDataFrame(rows, RECORDS)
-    for span in (warc.SPAN, 7):
+    for span in (warc.SPAN, 7, 1):
         got = {}
         out = warc.resolve(df, span).collect()
         for r in out:
