@@ -16,8 +16,10 @@ At most ``MAX_PIVOTS`` pivots are broadcast; labels beyond that are one cell.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and vectors without a label, link with nothing; so do vectors whose
-lengths differ; labels may be of any type; norms may be beyond a double's range; ties keep the smallest id; repeated rows count as copies; an
-empty table gives an empty result; extra columns are left alone.
+lengths differ; labels may be of any type; norms may be beyond a double's range;
+ties keep the smallest id; repeated rows count as copies; rows with a null id
+link with nothing; a very long vector is one row of its tile; an empty table gives an
+empty result; extra columns are left alone.
 """
 
 from __future__ import annotations

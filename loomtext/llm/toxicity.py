@@ -14,7 +14,9 @@ Defined cases: null and empty texts have no feature and get the intercept's
 probability; labels that are null, repeated or of unknown documents are
 skipped or joined as they are; without a usable label every score is 0; a
 label that is the same everywhere gives its own probability; repeated rows
-give repeated results; extra columns are left alone.
+give repeated results; a null id has no label, but its row is scored; a very long
+text is read whole, in one slice of its own; a score of exactly 0.5 is predicted
+as 1; an empty table gives an empty result; extra columns are left alone.
 """
 
 from __future__ import annotations
