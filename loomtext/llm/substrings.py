@@ -5,7 +5,10 @@ functions the Cartesian tree of the shingles' hashes (each one's nearest
 smaller neighbours) groups all subsequences that have the same minimum: one
 compact window (l, c, r) stands for every subsequence that begins in l..c and
 ends in c..r. Only windows with room for ``LEAST`` shingles (passages of
-``WORDS`` words) are kept, about 2 / ``LEAST`` per word.
+``WORDS`` words) are kept, about 2 / ``LEAST`` per word. Of a window only the
+place c of its minimum is used from then on: l and r tell which windows have room,
+and aren't intersected across hash functions, so one minimum that is shared under
+one function makes a candidate, and verification does the rest.
 
 Two stretches of ``LEAST`` shingles are near duplicates if ``NEEDED`` places of
 either stand in the other, which for distinct shingles is a Jaccard similarity
@@ -19,7 +22,7 @@ costs a row each and not a pair each. Each joined pair of windows is verified
 on the two stretches around its own two minima: place by place first, then, if
 that doesn't reach the window's minimum, every stretch of one against every
 stretch of the other, so that words put in, taken out or moved are found too.
-The intervals of all windows and hash functions are joined per document. A
+The places that are found repeated are joined to spans per document. A
 window whose minimum isn't found so is compared with all windows of its minimum
 in smaller documents, those of equal surroundings once: an index of the
 surroundings' shingles, rarest first, gives every one that can be near, so a
