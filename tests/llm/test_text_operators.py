@@ -163,6 +163,52 @@ def test_toxicity_ftrl_by_hand():
     assert m.z[7] == pytest.approx(z) and m.z[0] == pytest.approx(zi)
 
 
+def plain_toxicity(rows, labels):
+    """Scores of all rows by the definition: features as tuples of words, a
+    dictionary for each state, one coordinate at a time."""
+    words = lambda t: [w for w in re.split("[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower()) if w]
+
+    def tuples(t):
+        w = words(t)
+        return {(x,) for x in w} | {(g, *p) for g in (1, 2, 3) for p in zip(w, w[g:])}
+
+    own = {i: tuples(t) for i, t in rows}
+    # features share coordinates where their hashes do
+    every = sorted(set().union(*own.values()), key=str)
+    texts = [x[0] if len(x) == 1 else " ".join([x[1], *["x"] * (x[0] - 1), x[2]]) for x in every]
+    index, of = toxicity.features(pa.array(texts))
+    last = dict(zip(of.tolist(), index.tolist()))  # the widest gap comes last
+    number = {x: last[k] for k, x in enumerate(every)}
+    at = {i: sorted({0} | {number[x] for x in xs}) for i, xs in own.items()}
+    learn = sorted((i, y) for i, y in labels if i in at and zlib.crc32(str(i).encode()) % 5)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(k):
+        free = toxicity.L1 if k else 0.0
+        return 0.0 if abs(z[k]) <= free else -(z[k] - math.copysign(free, z[k])) / ((toxicity.BETA + n[k] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    squash = lambda x: 1 / (1 + math.exp(-max(-35, min(35, x))))
+    rng = np.random.default_rng(5)
+    for _ in range(toxicity.EPOCHS):
+        for j in rng.permutation(len(learn)):
+            i, y = learn[j]
+            w = {k: weight(k) for k in at[i]}
+            g = squash(sum(w.values())) - y
+            for k in at[i]:
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / toxicity.ALPHA * w[k]
+                n[k] += g * g
+    return {i: squash(sum(weight(k) for k in ks)) for i, ks in at.items()}
+
+
+def test_toxicity_against_plain_python(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.toxic is not None]
+    want = plain_toxicity(rows, labels)
+    got = toxicity.query(spark, SF).collect()
+    assert len(got) == len(rows)
+    assert all(r.score == pytest.approx(want[r.doc_id], abs=1e-9) and r.predicted == (r.score >= 0.5) for r in got)
+
+
 def test_toxicity_odd(spark):
     lab = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (5, None), (99, 1), (3, 0)], "doc_id long, toxic int")
     model = toxicity.fit(docs(spark, ODD), lab)
