@@ -51,11 +51,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def bucketed(df: DataFrame, tag: str, buckets: int, column: str) -> DataFrame:
     """``stored``, but bucketed by ``column``, so that joins and groups by it
-    need no shuffle of this side. The session's catalogue has it as a table
-    whose files are in the shared folder."""
+    need no shuffle of this side. The catalogue knows the table only while it is
+    written and found again; the files are in the shared folder."""
     spark = df.sparkSession
     name = f"{tag}_{uuid.uuid4().hex}"
     path = f"{work_dir(spark)}/{name}"
     df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
     atexit.register(_remove, weakref.ref(spark), path)
-    return spark.table(name)
+    out = spark.table(name)  # resolved here: it needs the catalogue no more
+    spark.sql(f"DROP TABLE {name}")
+    return out
