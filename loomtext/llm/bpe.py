@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import bucketed
 from ._shared import slices, small_batches, table, trim
 
-#: Text of a group of documents.
+#: Text of a group of documents, about.
 GROUP_BYTES = 48 << 20
 #: The tokenizer's file in the package of vocabularies.
 VOCABULARY = "byte_bpe_50k.json"
@@ -110,15 +111,52 @@ def _source(spark, path: str | None):
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, part`` stored, bucketed by the group's number."""
+    """``doc_id, text, part`` stored, bucketed by the group's number.
+
+    A partition is cut by its running bytes of text in the whole number of
+    groups that comes nearest to ``GROUP_BYTES`` each, or to an even share of
+    the cores if that is less. So a group holds at most one and a half times
+    that and one document."""
+    spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, math.ceil(size / GROUP_BYTES))
+    sizes = _partition_bytes(docs)
+    each = max(1, min(GROUP_BYTES, math.ceil(sum(sizes.values()) / spark.sparkContext.defaultParallelism)))
+    groups = max(1, math.ceil(sum(sizes.values()) / each))
     whole = docs.rdd.getNumPartitions()
-    docs = docs.coalesce(groups) if whole > groups else docs
-    each = math.ceil(groups / max(1, min(whole, groups)))  # groups of a partition
-    number = F.spark_partition_id() * each + F.pmod(F.monotonically_increasing_id(), F.lit(each)).cast("int")
-    return bucketed(docs.withColumn("part", number), "grouped", 2 * groups, "part")
+    if whole > groups:
+        docs, whole = docs.coalesce(groups), groups
+        sizes = _partition_bytes(docs)
+    cuts = {p: math.ceil(n / max(1, round(n / each))) for p, n in sizes.items()}
+    docs = docs.withColumn("part", F.spark_partition_id())
+    if any(sizes[p] > cuts[p] for p in sizes):
+        small_batches(spark)
+        docs = docs.mapInArrow(_numbered(spark.sparkContext.broadcast(cuts), whole), docs.schema)
+    return bucketed(docs, "grouped", 2 * max(groups, whole), "part")
+
+
+def _partition_bytes(docs: DataFrame) -> dict[int, int]:
+    """Bytes of text in each partition that has any: a number a partition."""
+    rows = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    return {r.p: r.n for r in rows if r.n}
+
+
+def _numbered(cuts, partitions: int):
+    """Work that raises ``part`` by ``partitions`` after every ``cuts[part]``
+    bytes of text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = batch.column("part")[0].as_py()
+            ends = before + np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64))
+            starts = np.r_[before, ends[:-1]]
+            before = int(ends[-1])
+            part = first + partitions * (starts // cuts.value.get(first, GROUP_BYTES))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(part.astype(np.int32))], names=["doc_id", "text", "part"])
+
+    return work
 
 
 def _words(grouped: DataFrame, source) -> DataFrame:

@@ -77,6 +77,21 @@ def test_bpe_words_are_encoded_once_and_join_their_groups(spark, monkeypatch):
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(word") >= 1 and "Exchange hashpartitioning(doc_id" not in plan
 
 
+def test_bpe_groups_are_bounded_and_leave_no_table(spark):
+    cores = spark.sparkContext.defaultParallelism
+    text = "ab cd " * 50
+    rows = [(k, text) for k in range(900)] + [(None, None), (901, "")]
+    for given in (docs(spark, rows).coalesce(1), docs(spark, rows).coalesce(1).union(docs(spark, [(k, text) for k in range(1000, 1100)]).repartition(4))):
+        size = given.selectExpr("sum(octet_length(text))").first()[0]
+        found = bpe._grouped(given)
+        groups = [r.n for r in found.groupBy("part").agg(F.sum(F.octet_length("text")).alias("n")).collect() if r.n]
+        assert sorted(found.drop("part").collect(), key=str) == sorted(given.select("doc_id", "text").collect(), key=str)
+        assert len(groups) >= cores and max(groups) <= 1.5 * size / cores + len(text)
+    before = spark.catalog.listTables()
+    assert bpe.digests(docs(spark, rows)).count() == len(rows)
+    assert [t.name for t in spark.catalog.listTables()] == [t.name for t in before] and not any(t.name.startswith("grouped_") for t in before)
+
+
 def test_bpe_empty(spark):
     assert bpe.digests(docs(spark, [])).count() == 0
     assert bpe.query(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
