@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, katz, langid, mainhtml, toxicity
+from loomtext.llm import bpe, katz, langid, mainhtml, ngramtables, toxicity
 from loomtext.llm._shared import word_hashes
 
 DOCS = "doc_id long, text string, ids string, score double, q int, n long"  # names that clash with columns of the operators
@@ -434,3 +434,70 @@ def test_katz_query(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in got)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def tables_by_hand(rows, learn, order):
+    """Scores of a back-off model of any order, by dictionaries and recursion."""
+    up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = [(i, ["<s>"] * (order - 1) + re.findall("[^\x20\x09-\x0d]+", (t or "").translate(up)) + ["</s>"], ok) for (i, t), ok in zip(rows, learn)]
+    grams = lambda ws, n: [tuple(ws[k - n + 1 : k + 1]) for k in range(order - 1, len(ws))]
+    count = [None] + [collections.Counter(g for _, ws, ok in texts if ok for g in grams(ws, n)) for n in range(1, order + 1)]
+    d = [None] + [katz.discounts(np.array([0] + [sum(c == r for c in x.values()) for r in range(1, katz.K + 2)])) for x in count[1:]]
+    total, after = sum(count[1].values()), collections.defaultdict(set)
+    for x in count[2:]:
+        for g in x:
+            after[g[:-1]].add(g[-1])
+    size = {u: sum(count[len(u) + 1][u + (w,)] for w in ws) for u, ws in after.items()}
+
+    def seen(g):
+        c = count[len(g)][g]
+        return c * (d[len(g)][c] if c <= katz.K else 1.0) / ((size[g[:-1]] if len(g) > 1 else total) + 1)
+
+    unknown = 1 - sum(seen(g) for g in count[1])
+
+    def back(u):
+        return (1 - sum(seen(u + (w,)) for w in after[u])) / (1 - sum(seen(u[1:] + (w,)) for w in after[u])) if u in size else 1.0
+
+    def p(g):
+        if count[len(g)][g]:
+            return seen(g)
+        return back(g[:-1]) * p(g[1:]) if len(g) > 1 else unknown
+
+    for u in [*list(size)[::40], ("never",) * (order - 1)]:  # a distribution for every context
+        assert sum(p(u + g) for g in count[1]) + p(u + ("unknown word",)) == pytest.approx(1)
+    out = [(str(i), len(ws) - order + 1, sum(math.log10(p(g)) for g in grams(ws, order))) for i, ws, _ in texts]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_ngram_tables(spark, order, tmp_path):
+    rng = random.Random(order)
+    vocabulary = [word(rng) for _ in range(40)]
+    rows = [(100 + k, " ".join(vocabulary[min(int(rng.expovariate(0.2)), 39)] for _ in range(rng.randint(0, 60)))) for k in range(120)] + ODD + [(7, "The THE the the " * 300), (8, "some words"), (8, "other words, and more"), (None, None)]
+    given = docs(spark, rows)
+    learn = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
+    model = ngramtables.train(given.where(learn), order)
+    model.save(str(tmp_path / "m"))
+    model = ngramtables.Model.load(spark, str(tmp_path / "m"))
+    got = ngramtables.evaluate(given, model).collect()
+    want = tables_by_hand(rows, [i is not None and i % 3 != 0 for i, _ in rows], order)
+    plain = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got)
+    assert len(plain) == len(want)
+    for r, w in zip(plain, want):
+        assert r[:2] == w[:2] and r[2] == pytest.approx(w[2], abs=1e-6)
+    if order == 2:  # the query's operator gives the same
+        same = {(str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in katz.score(given, learn).collect()}
+        assert same == {(str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got}
+    if order == 3:  # the tables can be asked: what follows "the the", and how often
+        h = lambda *x: spark.range(1).select(F.xxhash64(*x)).first()[0]
+        the = h(F.lit("the"))
+        pair = h(F.lit(the), F.lit(the))
+        asked = {r.term: r["count"] for r in model.grams.where((F.col("n") == 3) & (F.col("context") == pair)).join(model.terms, "word").collect()}
+        assert asked == {"the": 1198}
+
+
+def test_ngram_tables_empty(spark):
+    model = ngramtables.train(docs(spark, []), 3)
+    assert ngramtables.evaluate(docs(spark, []), model).count() == 0
+    got = ngramtables.evaluate(docs(spark, [(1, "a b"), (2, None)]), model).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_tokens, r.n_known, r.score) for r in got] == [(1, 3, 0, 0.0), (2, 1, 0, 0.0)]
