@@ -11,7 +11,7 @@ from .operators import bwt, chunks, runs, samples
 from .plans import colex, parse, suffixes
 from .sources import corpus, given
 from .sources.corpus import TILE, Text, load_table, save_tables
-from .sources.scratch import stored
+from .sources.scratch import measured_broadcasts, stored
 
 
 class TextIndex:
@@ -46,6 +46,7 @@ class TextIndex:
         ``dict1(pid, phrase)``, ``dict2(pid2, toks)``, ``parse2(i, pid2)``; ids are
         the ranks of their phrases, tokens 0 stand for the terminators. The
         frequencies of first-level phrases follow from the second level."""
+        measured_broadcasts(dict1.sparkSession)
         self = cls(None, w1, 1, w2, 1)
         self.dict2 = stored(dict2.join(parse2.groupBy("pid2").agg(F.count("*").alias("freq")), "pid2").select("pid2", "toks", F.size("toks").cast("bigint").alias("len"), "freq"), "dict2")
         used = self.dict2.select("freq", F.explode(F.slice("toks", F.lit(1), F.size("toks") - w2)).alias("pid")).groupBy("pid").agg(F.sum("freq").alias("freq"))

@@ -36,8 +36,9 @@ def hard_hard_chars(rows: DataFrame, groups: DataFrame, suffix1: DataFrame, m_ta
     """Rows of several phrases: a symbol for each occurrence, in the order of
     the second parse's BWT."""
     rows = rows.where("n_pids > 1").select("row1", "row2", "start", "cnt")
-    chars = groups.select("row1", "grp").join(suffix1.select("grp", F.col("pid").alias("prev_pid"), "prev"), "grp").select("row1", "prev_pid", "prev")
-    found = rows.join(m_table.select("row2", "pid2", "prev_pid"), "row2").join(chars, ["row1", "prev_pid"]).join(ilist.select("pid2", "pos2"), "pid2")
+    chars = groups.where("kind = 'hard'").select("row1", "grp").join(suffix1.select("grp", F.col("pid").alias("prev_pid"), "prev"), "grp").select("row1", "prev_pid", "prev")
+    # by the phrase first: by row2 alone, each row would meet all phrases before its suffix
+    found = chars.join(m_table.select("row2", "pid2", "prev_pid"), "prev_pid").join(rows, ["row1", "row2"]).join(ilist.select("pid2", "pos2"), "pid2")
     found = within(found.select("row1", "row2", "start", "prev", "pos2"), ["row1", "row2"], ["pos2"], "rank", rows.select("row1", "row2", F.col("cnt").alias("size")))
     return found.select((F.col("start") + F.col("rank")).alias("start"), F.col("prev").alias("ch"), F.lit(1).cast("bigint").alias("len"), "row1", F.lit("hard_hard").alias("tier"))
 
@@ -46,5 +47,6 @@ def from_suffix_array(tiles: DataFrame, sa: DataFrame, n: int, tile: int) -> Dat
     """``pos, ch``: the symbol before each suffix of ``sa(pos, sa)``, from the
     text's ``tiles(tile, text)`` of ``tile`` symbols."""
     text = tiles.select("tile", F.posexplode(F.split("text", "")).alias("j", "ch"))
-    text = text.select((F.col("tile") * tile + F.col("j")).alias("at"), "ch")
+    # a row for each symbol: Spark judges it by the tiles' compressed size, and would broadcast it
+    text = text.select((F.col("tile") * tile + F.col("j")).alias("at"), "ch").hint("merge")
     return sa.select("pos", F.pmod(F.col("sa") - 1, F.lit(n)).alias("at")).join(text, "at").select("pos", "ch")

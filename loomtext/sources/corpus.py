@@ -12,6 +12,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +20,11 @@ from pyspark.sql import functions as F
 from ..functions.symbols import SEPARATOR, SEPARATOR_END, TERMINATOR, separator
 from ..plans.order import running
 from .flat import RANGE, read_records, write_records
-from .scratch import stored
+from .scratch import measured_broadcasts, stored
 from .ship import ship
 
-#: Symbols of a tile.
-TILE = 1 << 16
+#: Symbols of a tile, and of the pieces that Python gives back at once.
+TILE, HELD = 1 << 16, 1 << 22
 
 
 @dataclass
@@ -51,14 +52,26 @@ def tiled(pieces: DataFrame, w: int, tile: int) -> DataFrame:
     ship(pieces.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, str]] = []
+
+        def done() -> pa.RecordBatch:
+            at = np.array([x for x, _ in held], np.int64)
+            out = pa.RecordBatch.from_arrays([pa.array(at // tile), pa.array(at), pa.array([t for _, t in held], pa.string())], names=["tile", "at", "text"])
+            held.clear()
+            return out
+
         for batch in batches:
+            size = 0
             for off, text in zip(batch.column("off").to_pylist(), batch.column("text").to_pylist()):
                 cuts = [0, *range(tile - off % tile, len(text), tile), len(text)] if text else []
-                for a in range(0, max(0, len(cuts) - 1), 256):
-                    part = list(zip(cuts[a : a + 257], cuts[a + 1 : a + 257]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([(off + x) // tile for x, _ in part], pa.int64()), pa.array([off + x for x, _ in part], pa.int64()), pa.array([text[x:y] for x, y in part], pa.string())], names=["tile", "at", "text"]
-                    )
+                for x, y in zip(cuts, cuts[1:]):
+                    held.append((off + x, text[x:y]))
+                    size += y - x
+                    if size > HELD:
+                        yield done()
+                        size = 0
+            if held:
+                yield done()
 
     cut = pieces.select("off", "text").mapInArrow(work, "tile bigint, at bigint, text string")
     whole = cut.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("p")).select("tile", F.array_join("p.text", "").alias("text"))
@@ -77,6 +90,7 @@ def _text(sequences: DataFrame, pieces: DataFrame, count: int, length: int, w: i
 
 def of_table(docs: DataFrame, key: str, text: str, w: int, tile: int = TILE) -> Text:
     """A row for each sequence, in the order of ``key``, then of the text."""
+    measured_broadcasts(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.concat(clean(F.col(text)), F.lit(separator(w))).alias("text")).withColumn("own", F.length("text").cast("bigint"))
     rows = stored(running(rows, ["key", "text"], "off", F.col("own"), rank="k"), "rows")
     count, length = rows.agg(F.count("*"), F.coalesce(F.sum("own"), F.lit(0))).first()
@@ -103,6 +117,7 @@ def of_fasta(spark: SparkSession, path: str, w: int, tile: int = TILE) -> Text:
     record of any length is many rows. A record begins with ``>`` at the start
     of a line; what stands before a file's first record goes to the record before,
     or is left out if there is none; blanks aren't symbols."""
+    measured_broadcasts(spark)
     lines = running(_lines(spark, path).withColumn("head", F.col("value").startswith(">").cast("bigint")), _ORDER, "records", F.col("head"))
     ended = F.when(F.col("records") > 0, F.lit(separator(w))).otherwise("")
     symbols = F.when(F.col("records") > 0, clean(F.regexp_replace("value", r"\s+", ""))).otherwise("")

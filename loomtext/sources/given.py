@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans.order import running
 from .flat import RANGE, read_records, read_words, write_records, write_words
+from .scratch import measured_broadcasts
 
 #: Fixed value: ids of first-level phrases begin above this; numbers below are reserved,
 #: and stand for terminators.
@@ -30,6 +31,7 @@ def read_tables(spark: SparkSession, prefix: str, shift: int = SHIFT, range_byte
     """``dict1(pid, phrase)``, ``dict2(pid2, toks)`` and ``parse2(i, pid2)`` of
     the files of ``prefix``. Bytes become characters of the same number; ids lose
     their shift, terminators become 0; a 0 that ends the parse is left out."""
+    measured_broadcasts(spark)
     dict1 = _numbered(read_words(spark, f"{prefix}.dict", 1, range_bytes), "pid").withColumnRenamed("word", "phrase")
     ids = F.transform("word", lambda t: F.when(t < shift, 0).otherwise(t - shift).cast("bigint"))
     words = read_words(spark, f"{prefix}.parse.dict", 4, range_bytes).select("at", ids.alias("word"))

@@ -26,6 +26,19 @@ def work_dir(spark: SparkSession) -> str:
     return place
 
 
+def measured_broadcasts(spark: SparkSession) -> None:
+    """Let adaptive execution alone choose broadcast joins, by the measured size
+    of what was shuffled and the same threshold. Beforehand Spark judges by the
+    size of files, which for compressed stored tables is a small part of their
+    rows', and the driver would have to hold these."""
+    static, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    limit = spark.conf.get(static)
+    if limit != "-1":
+        if spark.conf.get(adaptive, None) is None:
+            spark.conf.set(adaptive, limit)
+        spark.conf.set(static, "-1")
+
+
 def _remove(spark_ref, path: str) -> None:
     spark = spark_ref()
     try:
