@@ -42,7 +42,7 @@ def decode(runs: DataFrame) -> DataFrame:
     return runs.select("ch", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos")).select("pos", "ch")
 
 
-def access(runs: DataFrame, positions: DataFrame, span: int = 1 << 16) -> DataFrame:
+def access(runs: DataFrame, positions: DataFrame, span: int | None = None) -> DataFrame:
     """``pos, ch, run_id`` of ``positions(pos)``."""
     ranges = runs.select("run_id", "ch", F.col("start").alias("first"), (F.col("start") + F.col("len") - 1).alias("last"))
     return containing(positions, ranges, span).select("pos", "ch", "run_id")

@@ -10,9 +10,6 @@ from ..plans.order import running, within
 from ..sources.scratch import stored
 from .intervals import containing
 
-#: Positions of a piece of an interval join.
-SPAN = 1 << 12
-
 
 def placed_rows(groups: DataFrame, suffix1: DataFrame, m_table: DataFrame, expansion: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The second-level rows of the given groups, ``row1, row2, start, cnt,
@@ -61,7 +58,7 @@ def groups_with_heads(groups: DataFrame, runs: DataFrame) -> DataFrame:
     return groups.join(runs.select("row1"), "row1", "left_semi")
 
 
-def lookup(positions: DataFrame, groups: DataFrame, suffix1: DataFrame, m_table: DataFrame, ilist: DataFrame, expansion: DataFrame, n: int, span: int = SPAN) -> DataFrame:
+def lookup(positions: DataFrame, groups: DataFrame, suffix1: DataFrame, m_table: DataFrame, ilist: DataFrame, expansion: DataFrame, n: int, span: int | None = None) -> DataFrame:
     """``pos, sa`` of the distinct ``positions(pos)`` only: from a position to
     its group, to its second-level row, to its occurrence. Only groups and rows
     that hold an asked position are expanded; a row of one entry isn't even then."""
@@ -84,7 +81,7 @@ def at_run_heads(groups: DataFrame, runs: DataFrame, suffix1: DataFrame, m_table
     return runs.select("run_id", F.col("start").alias("pos")).join(found, "pos").select("run_id", "sa")
 
 
-def skipped(groups: DataFrame, runs: DataFrame, suffix1: DataFrame, m_table: DataFrame, expansion: DataFrame, span: int = SPAN) -> DataFrame:
+def skipped(groups: DataFrame, runs: DataFrame, suffix1: DataFrame, m_table: DataFrame, expansion: DataFrame, span: int | None = None) -> DataFrame:
     """``level, n_rows, n_symbols``: what the samples skip: groups without a run
     head, second-level rows without one in the other groups, and what is left."""
     needed = groups_with_heads(groups, runs)
