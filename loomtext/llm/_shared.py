@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import measured, stored
 from ..sources.ship import ship
 
 try:

@@ -52,7 +52,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_IDS, NOT_WORD, by_groups, mix, shingles, slices, small_batches, stored, table, thinned, word_hashes
+from ._shared import BROADCAST_IDS, NOT_WORD, by_groups, measured, mix, shingles, slices, small_batches, stored, table, thinned, word_hashes
 
 WORDS, WIDTH, SIMILARITY = 50, 5, 0.8
 LEAST = WORDS - WIDTH + 1
@@ -497,7 +497,8 @@ def _found(docs: DataFrame) -> DataFrame:
     low = others.groupBy("key").agg(F.min("doc_id").alias("low"))
     need = others.unionByName(goals.join(low, "key").where("doc_id > low").select("key", "doc_id", "ver", "at", "left"))
     need = stored(need.groupBy("doc_id", "ver").agg(F.collect_list(F.struct("key", "at", "left")).alias("windows")), "need")  # at most twice the windows of one document
-    around = need.join(shingled, ["doc_id", "ver"]).mapInArrow(_surroundings, "key bigint, doc_id bigint, ver int, lo bigint, left binary, around binary")
+    # planned by the caller: not broadcast by the size of its file
+    around = need.hint("merge").join(shingled, ["doc_id", "ver"]).mapInArrow(_surroundings, "key bigint, doc_id bigint, ver int, lo bigint, left binary, around binary")
     more = by_groups(around, ["key"], _rejoined, _RANGE)
     ranges = seen.where("at is null").select("doc_id", "ver", "source_id", "a", "b").unionByName(more)
     return by_groups(ranges, ["doc_id", "ver"], _spans, "doc_id bigint, ver int, source_id bigint, start_word bigint, end_word bigint")
@@ -509,7 +510,8 @@ def passages(docs: DataFrame) -> DataFrame:
     beyond ASCII, counted from 0."""
     small_batches(docs.sparkSession)
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _found(_versions(docs)).drop("ver")
+    with measured(docs.sparkSession):
+        return _found(_versions(docs)).drop("ver")
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -541,7 +543,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     ver, cuts = (next(f"{x}{k}" for k in range(len(names) + 1) if f"{x}{k}" not in names and f"{x}{k}id" not in names) for x in ("ver", "cuts"))
     marked = _versions(docs, ver)
     narrow = marked.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(ver).alias("ver"), F.col("text").cast("string").alias("text"))
-    spans = stored(_found(narrow), "spans")
+    with measured(spark):
+        spans = stored(_found(narrow), "spans")
     spans = stored(spans.groupBy("doc_id", F.col("ver").alias(ver)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(cuts)), "spans")
     ids = stored(spans.select("doc_id").distinct(), "ids")
 
@@ -561,5 +564,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                     out.append(batch.column(name))
             yield pa.RecordBatch.from_arrays(out, names=names).filter(keep)
 
-    changed = thinned(marked, ids, "left_semi").join(spans, ["doc_id", ver], "left").select(*[F.col(f"`{c}`") for c in names], cuts).mapInArrow(work, docs.schema)
+    changed = thinned(marked, ids, "left_semi").join(spans.hint("merge"), ["doc_id", ver], "left").select(*[F.col(f"`{c}`") for c in names], cuts).mapInArrow(work, docs.schema)
     return thinned(docs, ids, "left_anti").unionByName(changed)

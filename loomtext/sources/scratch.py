@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,22 @@ def measured_broadcasts(spark: SparkSession) -> None:
         spark.conf.set(static, "-1")
 
 
+@contextmanager
+def measured(spark: SparkSession) -> Iterator[None]:
+    """``measured_broadcasts`` for what is written inside."""
+    names = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = [spark.conf.get(n, None) for n in names]
+    measured_broadcasts(spark)
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before):
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def _remove(spark_ref, path: str) -> None:
     spark = spark_ref()
     try:

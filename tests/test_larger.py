@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomtext.index import TextIndex
+from loomtext.llm import substrings
 from loomtext.operators import bwt, intervals, runs
 
 
@@ -36,3 +37,17 @@ def test_no_broadcast_by_the_size_of_files(spark):
     assert "BroadcastHashJoin" not in plan
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
     assert "".join(r.ch for r in again.orderBy("pos").collect()) == "".join(r.ch for r in x.bwt().orderBy("pos").collect())
+
+
+def test_passages_plan_no_broadcast_by_the_size_of_files(spark):
+    static = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(static)
+    spark.conf.set(static, "10485760")
+    try:
+        words = " ".join(f"w{i}" for i in range(120))
+        found = substrings.passages(spark.createDataFrame([(1, words), (2, "other words first " + words), (3, words + " end")], "doc_id bigint, text string"))
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r.doc_id, r.source_id) for r in found.collect()} == {(2, 1), (3, 1)}
+        assert spark.conf.get(static) == "10485760"
+    finally:
+        spark.conf.set(static, before)
