@@ -20,10 +20,11 @@ a bucket that are not yet connected with each other are compared in tiles of
 bounded size: a tile
 never pairs sets of one connected group, so a group takes part in as many tiles
 as the sets outside of it fill. Tiles give direct links that connect what the
-tile's links connect. The result is the list of these verified links between
-representatives (``pairs``) plus membership; classes are its connected
-components. No link between different classes is left out; a link inside a
-class may be left to the path that connects its ends.
+tile's links connect. Classes are the connected components. Then every two sets
+of a class are compared whole, in tiles of bounded size: the result is the list
+of all these links between representatives (``pairs``), or their number for
+each document, plus membership. A link of a class needs no path of its own to be
+found; only one that no tree connects is left out.
 
 Defined cases: null, empty and wordless texts link with nothing and are classes
 of their own; a text of one to four words is one shingle; very long texts are
@@ -283,6 +284,44 @@ def _linked(group: pa.Table, similarity: float) -> pa.Table | None:
     return pa.table({"a": rep[[i for i, _ in edges]], "b": rep[[j for _, j in edges]]})
 
 
+def _matrix(group: pa.Table, similarity: float) -> np.ndarray:
+    """(n, n): which sets of a tile are linked, of its own pairs."""
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+    size = np.array([len(s) for s in sets], float)
+    links = intersections(sets) * (1 + similarity) >= similarity * (size[:, None] + size[None, :]) - 1e-9
+    np.fill_diagonal(links, False)
+    if group.column("a")[0].as_py() != group.column("b")[0].as_py():
+        part = group.column("part").to_numpy()
+        links &= part[:, None] != part[None, :]
+    return links
+
+
+def _counted(group: pa.Table, similarity: float) -> pa.Table:
+    """For each set of a tile the documents of the sets linked with it there."""
+    return pa.table({"rep": group.column("rep"), "links": _matrix(group, similarity) @ group.column("copies").to_numpy()})
+
+
+def _listed(group: pa.Table, similarity: float) -> pa.Table:
+    """The links of a tile."""
+    i, j = np.nonzero(np.triu(_matrix(group, similarity)))
+    rep = group.column("rep").to_numpy()
+    return pa.table({"a": np.maximum(rep[i], rep[j]), "b": np.minimum(rep[i], rep[j])})
+
+
+def within_classes(docs: DataFrame, reps: DataFrame, roots: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on tiles of the sets of each class of ``roots(rep, whole)``,
+    which compare every two of its sets once: a class is dealt out to parts, each
+    about a tile's sets, and a tile is a part or a pair of parts. So memory is
+    bounded, and only what a tile computes grows with the square of a class."""
+    members = stored(roots.join(reps.select("rep", "n", "copies"), "rep"), "members")
+    parts = members.groupBy("whole").agg(F.ceil(F.sum(_weight()) / TILE_SETS).cast("int").alias("parts"))
+    dealt = members.join(parts, "whole").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("whole", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "rep", "copies")
+    sets = _with_sets(docs, reps, members.select("rep"))
+    return by_groups(dealt.join(sets, "rep"), ["whole", "a", "b"], work, schema)
+
+
 def _with_sets(docs: DataFrame, reps: DataFrame, needed: DataFrame) -> DataFrame:
     """``rep, shingles`` of the ``needed(rep)``."""
 
@@ -375,16 +414,17 @@ def tiles(leaves: DataFrame, whole: DataFrame) -> DataFrame:
     return dealt.select("leaf", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "rep", "whole")
 
 
-def _classed(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links ``a, b`` between representatives; ``rep, key, doc_id, class_id,
-    class_key, n_links`` of these; and ``doc_id, key`` of all rows. A class is named by its smallest id (and key)."""
+def _classed(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``rep, key, doc_id, copies, class_id, class_key`` of the representatives;
+    ``doc_id, key`` of all rows; and, for ``within_classes``, ``reps`` and
+    ``roots``. A class is named by its smallest id (and key)."""
     spark = docs.sparkSession
     small_batches(spark)
     sketched = stored(_sketched(docs), "sketch")
     reps = sketched.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
     leaves = stored(buckets(reps, similarity), "leaves")
-    links, roots = connected(leaves, reps, docs, similarity)
+    _, roots = connected(leaves, reps, docs, similarity)
     keys = ["leaf", "a", "b"]
     dealt = tiles(leaves, roots).join(reps.select("rep", "sketch"), "rep")
     likely = stored(by_groups(dealt, keys, _likely, "leaf bigint, a int, b int, part int, rep bigint, whole bigint"), "likely")
@@ -392,18 +432,14 @@ def _classed(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame
         sets = _with_sets(docs, reps, likely.select("rep"))
         more = stored(by_groups(likely.join(sets, "rep"), keys, lambda g: _linked(g, similarity), "a bigint, b bigint"), "linked")
         roots = _rooted(more.unionByName(roots.select(F.col("rep").alias("a"), F.col("whole").alias("b"))))
-        links = links.unionByName(more)
-    links = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     slim = reps.select("rep", "key", "doc_id", "copies")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = both.join(slim.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("links"))
     linked = stored(roots.join(slim, "rep").select("rep", "whole", "doc_id", "key"), "classes")
     names = linked.groupBy("whole").agg(F.min(F.struct("doc_id", "key")).alias("name"))
     linked = linked.join(names, "whole").select("rep", "name")
-    named = slim.join(linked, "rep", "left").join(counts, "rep", "left").select(
-        "rep", "key", "doc_id", F.coalesce("name.doc_id", "doc_id").alias("class_id"), F.coalesce("name.key", "key").alias("class_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    named = slim.join(linked, "rep", "left").select(
+        "rep", "key", "doc_id", "copies", F.coalesce("name.doc_id", "doc_id").alias("class_id"), F.coalesce("name.key", "key").alias("class_key")
     )
-    return links, named, sketched.select("doc_id", "key")
+    return named, sketched.select("doc_id", "key"), reps, roots
 
 
 def _narrowed(docs: DataFrame) -> DataFrame:
@@ -411,9 +447,11 @@ def _narrowed(docs: DataFrame) -> DataFrame:
 
 
 def pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The verified links ``doc_id, other_id`` between representatives (of
-    equal sets the smallest id)."""
-    links, named, _ = _classed(_narrowed(docs), similarity)
+    """All links ``doc_id, other_id`` between representatives (of equal sets
+    the smallest id) of one class."""
+    docs = _narrowed(docs)
+    named, _, reps, roots = _classed(docs, similarity)
+    links = within_classes(docs, reps, roots, lambda g: _listed(g, similarity), "a bigint, b bigint")
     name = named.select("rep", "doc_id")
     return links.join(name.withColumnRenamed("rep", "a"), "a").join(name.select(F.col("rep").alias("b"), F.col("doc_id").alias("other_id")), "b").select("doc_id", "other_id")
 
@@ -422,9 +460,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id, n_links`` for every row of ``docs(doc_id, text)``:
     the smallest id of its class, and the number of documents it is joined with
     directly: those of equal sets, and those of the sets that ``pairs`` joins
-    with its own."""
+    with its own, which are counted in the tiles and not listed."""
     docs = _narrowed(docs)
-    _, named, sketched = _classed(docs, similarity)
+    named, sketched, reps, roots = _classed(docs, similarity)
+    counts = within_classes(docs, reps, roots, lambda g: _counted(g, similarity), "rep bigint, links bigint").groupBy("rep").agg(F.sum("links").alias("links"))
+    named = named.join(counts, "rep", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
     found = sketched.where("key is not null").join(named.select("key", "class_id", "n_links"), "key").select("doc_id", "class_id", "n_links")
     # rows without shingles, each its own class
     alone = sketched.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
@@ -441,7 +481,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     tables and extra columns as they are. Very long texts count like others;
     of rows of one id each text stands for itself."""
     narrow = _narrowed(docs)
-    _, named, sketched = _classed(narrow)
+    named, sketched, _, _ = _classed(narrow)
     named = stored(named.select("key", "class_id", "class_key"), "classes")
     sketched = sketched.where("key is not null")
     twice = stored(sketched.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")

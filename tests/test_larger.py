@@ -1,9 +1,13 @@
 """What has to hold for tables that are much larger than those of the tests."""
 
+import itertools
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomtext.index import TextIndex
-from loomtext.llm import substrings
+from loomtext.llm import neardup, substrings
 from loomtext.operators import bwt, intervals, runs
 
 
@@ -51,3 +55,27 @@ def test_passages_plan_no_broadcast_by_the_size_of_files(spark):
         assert spark.conf.get(static) == "10485760"
     finally:
         spark.conf.set(static, before)
+
+
+def test_every_link_of_a_class_counts(spark, monkeypatch):
+    """Near copies that differ: each has all of its links, not those of a forest."""
+    monkeypatch.setattr(neardup, "TILE_SETS", 7)
+    rng = random.Random(3)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for k in range(30):
+        rows.append((k, " ".join(rng.choice("xyz") + str(k) if i in (5 + k % 9, 90) else w for i, w in enumerate(base))))
+    rows += [(40, rows[3][1]), (41, rows[3][1]), (50, "of its own")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    value, starts = neardup.sets_of(pa.array([t for _, t in rows]))
+    sets = [set(value[a:b].tolist()) for a, b in zip(starts, starts[1:])]
+    n, pairs = dict.fromkeys((i for i, _ in rows), 0), set()
+    for (i, x), (j, y) in itertools.combinations(zip(n, sets), 2):
+        if len(x & y) >= 0.8 * len(x | y) - 1e-9:
+            n[i] += 1
+            n[j] += 1
+            if x != y and max(i, j) < 40:
+                pairs.add(frozenset((i, j)))
+    assert max(n.values()) > 20
+    assert {r.doc_id: r.n_links for r in neardup.classes(frame).collect()} == n
+    listed = [frozenset(r) for r in neardup.pairs(frame).collect()]
+    assert len(listed) == len(pairs) and set(listed) == pairs
