@@ -316,10 +316,17 @@ def within_classes(docs: DataFrame, reps: DataFrame, roots: DataFrame, work, sch
     members = stored(roots.join(reps.select("rep", "n", "copies"), "rep"), "members")
     parts = members.groupBy("whole").agg(F.ceil(F.sum(_weight()) / TILE_SETS).cast("int").alias("parts"))
     dealt = members.join(parts, "whole").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("whole", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "rep", "copies")
+    dealt = dealt.withColumn("others", F.sequence(F.lit(0), F.col("parts") - 1))
+    # joined before it is dealt out: a row for each set, not one for each of its tiles
     sets = _with_sets(docs, reps, members.select("rep"))
-    return by_groups(dealt.join(sets, "rep"), ["whole", "a", "b"], work, schema)
+    return by_groups(_dealt(dealt.join(sets, "rep"), "whole", ["rep", "copies", "shingles"]), ["whole", "a", "b"], work, schema)
+
+
+def _dealt(placed: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """``name, a, b, part`` and the ``columns`` of ``placed(name, part, others)``,
+    a row for each of the tiles that a part makes with the ``others``."""
+    each = placed.select(name, "part", *columns, F.explode("others").alias("other"))
+    return each.select(name, F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", *columns)
 
 
 def _with_sets(docs: DataFrame, reps: DataFrame, needed: DataFrame) -> DataFrame:
@@ -390,7 +397,13 @@ def _weight():
 
 def tiles(leaves: DataFrame, whole: DataFrame) -> DataFrame:
     """``leaf, a, b, part, rep, whole``: the sets of each bucket but its first,
-    dealt out to tiles; ``whole(rep, whole)`` names what is connected already.
+    dealt out to tiles; ``whole(rep, whole)`` names what is connected already."""
+    return _dealt(_placed(leaves, whole), "leaf", ["rep", "whole"])
+
+
+def _placed(leaves: DataFrame, whole: DataFrame) -> DataFrame:
+    """``leaf, rep, whole, part, others``: the part that each set of ``tiles`` is
+    in, and the parts that it makes tiles with, in one row.
 
     A connected group as heavy as a tile or heavier takes parts of its own; the
     others, heaviest first, share parts. A tile is a pair of parts, and none is
@@ -410,8 +423,7 @@ def tiles(leaves: DataFrame, whole: DataFrame) -> DataFrame:
     parts = placed.groupBy("leaf").agg(F.max(F.col("start") + F.greatest("own", F.lit(1))).alias("parts"))
     part = F.col("start") + F.when(F.col("own") > 1, F.pmod(F.xxhash64("rep", "leaf"), F.col("own"))).otherwise(0).cast("int")
     other = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: (F.col("own") == 0) | (p < F.col("start")) | (p >= F.col("start") + F.col("own")))
-    dealt = rest.join(placed, ["leaf", "whole"]).join(parts, "leaf").select("leaf", "rep", "whole", part.alias("part"), F.explode(other).alias("other"))
-    return dealt.select("leaf", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "rep", "whole")
+    return rest.join(placed, ["leaf", "whole"]).join(parts, "leaf").select("leaf", "rep", "whole", part.alias("part"), other.alias("others"))
 
 
 def _classed(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -426,11 +438,14 @@ def _classed(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame
     leaves = stored(buckets(reps, similarity), "leaves")
     _, roots = connected(leaves, reps, docs, similarity)
     keys = ["leaf", "a", "b"]
-    dealt = tiles(leaves, roots).join(reps.select("rep", "sketch"), "rep")
+    # sketches and sets are joined to sets, not to a set's rows in its tiles, which grow with the square of a bucket
+    dealt = _dealt(_placed(leaves, roots).join(reps.select("rep", "sketch"), "rep"), "leaf", ["rep", "whole", "sketch"])
     likely = stored(by_groups(dealt, keys, _likely, "leaf bigint, a int, b int, part int, rep bigint, whole bigint"), "likely")
     if not likely.isEmpty():
         sets = _with_sets(docs, reps, likely.select("rep"))
-        more = stored(by_groups(likely.join(sets, "rep"), keys, lambda g: _linked(g, similarity), "a bigint, b bigint"), "linked")
+        places = likely.groupBy("rep").agg(F.collect_list(F.struct("leaf", "a", "b", "part", "whole")).alias("x"))  # at most a set's tiles
+        each = places.join(sets, "rep").select("rep", F.inline("x"), "shingles")
+        more = stored(by_groups(each, keys, lambda g: _linked(g, similarity), "a bigint, b bigint"), "linked")
         roots = _rooted(more.unionByName(roots.select(F.col("rep").alias("a"), F.col("whole").alias("b"))))
     slim = reps.select("rep", "key", "doc_id", "copies")
     linked = stored(roots.join(slim, "rep").select("rep", "whole", "doc_id", "key"), "classes")

@@ -137,6 +137,36 @@ def test_near_copies_cost_rows_in_proportion(spark, monkeypatch):
         assert links <= leaves and tiles <= (2 + neardup.CROWDED) * leaves, sizes
 
 
+def joined_rows(spark, run, name):
+    """Rows that the joins by ``name`` make while ``run`` works."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    total, found = 0, store.executionsList()
+    for k in range(before, found.size()):
+        at = found.apply(k).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and f"[{name}#" in node.desc():
+                metrics = node.metrics()
+                ids = [metrics.apply(i).accumulatorId() for i in range(metrics.size()) if metrics.apply(i).name() == "number of output rows"]
+                total += sum(int(values.apply(i).replace(",", "")) for i in ids if values.contains(i))
+    return total
+
+
+def test_joins_by_set_grow_with_the_sets(spark, monkeypatch):
+    # copies too far apart to link, but likely by their sketches, in buckets of many tiles
+    monkeypatch.setattr(neardup, "TILE_SETS", 12)
+    monkeypatch.setattr(neardup, "CROWDED", 1000)
+    rng, got = random.Random(9), {}
+    base = words(rng, 120)
+    for many in (60, 240):
+        df = docs(spark, [(k, " ".join(changed(rng, base, 2)), ) for k in range(many)])
+        got[many] = joined_rows(spark, lambda: neardup.classes(df).collect(), "rep")
+    assert 0 < got[240] < 6 * got[60], got
+
+
 def test_recall_of_the_whole_join(spark):
     rng = random.Random(11)
     rows, near = [], []
