@@ -26,6 +26,8 @@ from .ship import ship
 
 #: Bytes of a range, and records of a part.
 RANGE, PART = 64 << 20, 1 << 20
+#: Bytes that a task reads, or has of rows to write, at a time.
+STEP = 1 << 20
 #: What ends a word, and a dictionary, in files of dictionaries.
 END_OF_WORD, END_OF_DICT = 1, 0
 _KIND = {"q": "bigint", "i": "int", "I": "bigint"}
@@ -93,7 +95,7 @@ class RecordsReader(DataSourceReader):
         return [_Range(a, min(size, a + self.range)) for a in range(0, size, self.range)] or [_Range(0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        source, step = _Bytes(self.path, self.files), (4 << 20) // self.dtype.itemsize * self.dtype.itemsize
+        source, step = _Bytes(self.path, self.files), STEP // self.dtype.itemsize * self.dtype.itemsize
         for a in range(partition.start, partition.stop, step):
             rows = np.frombuffer(source.read(self.header + a, self.header + min(partition.stop, a + step)), self.dtype)
             i = a // self.dtype.itemsize + np.arange(len(rows), dtype=np.int64)
@@ -133,39 +135,49 @@ class WordsReader(DataSourceReader):
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         """A word belongs to the range where its first symbol is, so what the
-        range before has begun is skipped, and the last word is read to its end."""
+        range before has begun is skipped, and the last word is read to its end.
+        A step of the range, and a word that goes on behind it, is held at a time."""
         source, w = _Bytes(self.path, self.files), self.width
+        step = STEP // w * w
         # the symbol before tells whether a word begins with the first
-        symbols = self._symbols(source, max(0, partition.start - w), partition.stop)
-        at = partition.start
-        if partition.start:
+        pos, at = max(0, partition.start - w), None if partition.start else 0
+        begun: list[np.ndarray] = []  # of the word that begins at ``at``
+        while pos < partition.stop or begun and pos < source.size:
+            behind = pos >= partition.stop
+            end = min(pos + step, source.size if behind else partition.stop)
+            symbols = self._symbols(source, pos, end)
+            if behind:  # only the end of the word that goes on
+                last = np.flatnonzero((symbols == END_OF_WORD) | (symbols == END_OF_DICT))
+                symbols, end = (symbols[: last[0] + 1], source.size) if len(last) else (symbols, end)
             ends = np.flatnonzero(symbols == END_OF_WORD)
-            if not len(ends):
+            if at is None and len(ends):
+                at = pos + (int(ends[0]) + 1) * w
+                symbols, ends = symbols[ends[0] + 1 :], ends[1:] - ends[0] - 1
+            pos = end
+            if at is None:
+                continue
+            if len(ends):
+                whole, begun = np.concatenate([*begun, symbols[: ends[-1] + 1]]), []
+                symbols = symbols[ends[-1] + 1 :].copy()
+                yield from self._words(whole, at)
+                at += len(whole) * w
+            if len(symbols):
+                begun.append(symbols)
+            if pos >= partition.stop and len(symbols) and symbols[-1] == END_OF_DICT:
                 return
-            symbols = symbols[ends[0] + 1 :]
-            at += int(ends[0]) * w
-        more = max(self.range, 1 << 16)
-        stop = partition.stop
-        # a word that begins in the range may go on behind it
-        while len(symbols) and symbols[-1] not in (END_OF_WORD, END_OF_DICT) and stop < source.size:
-            nxt = self._symbols(source, stop, min(source.size, stop + more))
-            end = np.flatnonzero((nxt == END_OF_WORD) | (nxt == END_OF_DICT))
-            stop += len(nxt) * w
-            if len(end):
-                nxt = nxt[: end[0] + 1]
-            symbols = np.concatenate([symbols, nxt])
-            if len(end):
-                break
+
+    def _words(self, symbols: np.ndarray, at: int) -> Iterator[pa.RecordBatch]:
+        """The words of whole words' ``symbols``, which begin at ``at``."""
         ends = np.flatnonzero(symbols == END_OF_WORD)
-        starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+        starts = np.r_[0, ends[:-1] + 1]
+        if self.width == 1:
+            words = pa.array(symbols.tobytes().decode("latin-1").split(chr(END_OF_WORD))[:-1], pa.string())
+        else:
+            offsets = np.r_[0, np.cumsum(ends - starts)].astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(symbols[symbols != END_OF_WORD].astype(np.int64)))
+        batch = pa.RecordBatch.from_arrays([pa.array(at + starts * self.width, pa.int64()), words], names=["at", "word"])
         for a in range(0, len(ends), 4096):
-            s, e = starts[a : a + 4096].tolist(), ends[a : a + 4096].tolist()
-            if w == 1:
-                text = symbols.tobytes()
-                words = pa.array([text[x:y].decode("latin-1") for x, y in zip(s, e)], pa.string())
-            else:
-                words = pa.array([symbols[x:y].astype(np.int64).tolist() for x, y in zip(s, e)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([at + x * w for x in s], pa.int64()), words], names=["at", "word"])
+            yield batch.slice(a, 4096)
 
 
 class Words(DataSource):
@@ -267,7 +279,14 @@ def _write(df: DataFrame, pack, path: str, before: bytes, after: bytes, part: in
     ends = [(b, p) for b, p in ((0, before), ((1 << 39) - 1, after)) if p]
     if ends:
         body = body.unionByName(spark.createDataFrame(ends, "block bigint, payload binary"))
-    body.write.format("loomtext_parts").option("path", path).mode("append").save()
+    # both of a task's workers hold a batch: by bytes, not by Spark's 64 MB
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, None)
+    spark.conf.set(key, str(STEP))
+    try:
+        body.write.format("loomtext_parts").option("path", path).mode("append").save()
+    finally:
+        spark.conf.unset(key) if held is None else spark.conf.set(key, held)
 
 
 def write_records(df: DataFrame, fields: str, path: str, before: bytes = b"", part: int = PART) -> None:

@@ -4,6 +4,7 @@ import glob
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,25 @@ def test_chunks_lookups_and_intervals(spark):
     held = {y.row2: (y.left, y.right) for y in x.m_intervals.collect()}
     sizes = {y.row2: y.n for y in x.m_table.groupBy("row2").agg(F.count("*").alias("n")).collect()}
     assert {k: b - a + 1 for k, (a, b) in held.items()} == sizes
+
+
+@pytest.mark.parametrize("width", [1, 4])
+def test_words_are_read_in_steps(monkeypatch, tmp_path, width):
+    rng, sizes = random.Random(width), []
+    whole = flat._Bytes.read
+    monkeypatch.setattr(flat._Bytes, "read", lambda self, a, b: sizes.append(b - a) or whole(self, a, b))
+    for trial in range(30):
+        words = [[rng.randint(2, 255) for _ in range(rng.choice([0, 1, 3, 5, 40]))] for _ in range(rng.randint(0, 60))]
+        symbols = [x for w in words for x in [*w, flat.END_OF_WORD]] + [flat.END_OF_DICT]
+        path = tmp_path / f"w{trial}"
+        path.write_bytes(np.array(symbols, "u1" if width == 1 else "<u4").tobytes())
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])[:-1] * width
+        want = [(int(a), "".join(map(chr, w)) if width == 1 else w) for a, w in zip(starts, words)]
+        for step in (4, 12, 64, 1 << 20):
+            for size in (4, 20, 100, 1 << 20):
+                monkeypatch.setattr(flat, "STEP", step)
+                sizes.clear()
+                reader = flat.WordsReader({"path": str(path), "width": str(width), "rangebytes": str(size)})
+                got = [(r["at"], r["word"]) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+                assert got == want
+                assert max(sizes) <= step
