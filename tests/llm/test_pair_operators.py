@@ -140,12 +140,16 @@ def test_near_copies_cost_rows_in_proportion(spark, monkeypatch):
 def joined_rows(spark, run, name):
     """Rows that the joins by ``name`` make while ``run`` works."""
     store = spark._jsparkSession.sharedState().statusStore()
-    before = store.executionsCount()
+
+    def executions():  # the store keeps the last 1,000
+        found = store.executionsList()
+        return {found.apply(k).executionId() for k in range(found.size())}
+
+    before = max(executions(), default=-1)
     run()
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    total, found = 0, store.executionsList()
-    for k in range(before, found.size()):
-        at = found.apply(k).executionId()
+    total = 0
+    for at in (x for x in executions() if x > before):
         values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
         for node in (nodes.apply(i) for i in range(nodes.size())):
             if "Join" in node.name() and f"[{name}#" in node.desc():
