@@ -410,7 +410,8 @@ def _placed(leaves: DataFrame, whole: DataFrame) -> DataFrame:
     made of one group alone."""
     first = leaves.groupBy("leaf").agg(F.min("rep").alias("first"), F.count("*").alias("sets")).where("sets > 2")
     rest = leaves.join(first, "leaf").where("rep <> first").join(whole, "rep", "left")
-    rest = rest.select("leaf", "rep", F.coalesce("whole", "rep").alias("whole"), _weight().alias("weight"))
+    # stored, as it is read several times below: the joins above make a row for each set of a bucket once
+    rest = stored(rest.select("leaf", "rep", F.coalesce("whole", "rep").alias("whole"), _weight().alias("weight")), "rest")
     groups = rest.groupBy("leaf", "whole").agg(F.sum("weight").alias("weight"))
     many = groups.groupBy("leaf").agg(F.count("*").alias("groups")).where("groups > 1").select("leaf")
     large = F.col("weight") >= TILE_SETS
@@ -420,6 +421,7 @@ def _placed(leaves: DataFrame, whole: DataFrame) -> DataFrame:
     placed = groups.join(many, "leaf").select(
         "leaf", "whole", own.alias("own"), (F.coalesce(F.sum(own).over(before), F.lit(0)) + F.floor(F.coalesce(F.sum(light).over(before), F.lit(0.0)) / TILE_SETS)).cast("int").alias("start")
     )
+    placed = stored(placed, "parts")
     parts = placed.groupBy("leaf").agg(F.max(F.col("start") + F.greatest("own", F.lit(1))).alias("parts"))
     part = F.col("start") + F.when(F.col("own") > 1, F.pmod(F.xxhash64("rep", "leaf"), F.col("own"))).otherwise(0).cast("int")
     other = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: (F.col("own") == 0) | (p < F.col("start")) | (p >= F.col("start") + F.col("own")))

@@ -171,6 +171,16 @@ def test_joins_by_set_grow_with_the_sets(spark, monkeypatch):
     assert 0 < got[240] < 6 * got[60], got
 
 
+def test_sets_of_a_bucket_are_joined_once(spark):
+    # a connected group and as many sets that stand alone, in 20 buckets
+    leaves = neardup.stored(spark.range(20 * 400).selectExpr("id % 20 as leaf", "id div 20 as rep", "cast(80 as bigint) as n"), "leaves")
+    roots = neardup.stored(spark.range(200).selectExpr("id as rep", "cast(0 as bigint) as whole"), "roots")
+    placed = []
+    made = joined_rows(spark, lambda: placed.append(neardup._placed(leaves, roots).count()), "leaf")
+    # once with the first of its bucket, once each with its group and its bucket's parts; and the groups
+    assert placed == [20 * 399] and made <= 3.6 * 20 * 400, made
+
+
 def test_recall_of_the_whole_join(spark):
     rng = random.Random(11)
     rows, near = [], []
