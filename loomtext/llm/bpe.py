@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -43,7 +44,24 @@ VOCABULARY = "byte_bpe_50k.json"
 # The pre-token pattern of byte-level BPE, with Unicode's
 # White_Space spelled out (Python counts \x1c-\x1f as space, the library doesn't).
 _S = r"\t-\r \x85\xa0  -     　"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+
+def _pattern(letters: str, numbers: str) -> str:
+    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{_S}{letters}{numbers}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+
+
+#: The last character up to which the library knows the same letters and numbers.
+LAST = 0x52F
+
+
+def _ranges(kind: str) -> str:
+    """The characters of a class up to LAST, for ``re``, which has no such
+    classes but takes half the time of ``regex``."""
+    found = [k for k in range(LAST + 1) if regex.match(rf"\p{{{kind}}}", chr(k))]
+    first, last = [k for k in found if k - 1 not in found], [k for k in found if k + 1 not in found]
+    return "".join(rf"\u{a:04x}-\u{b:04x}" for a, b in zip(first, last))
+
+
+PATTERN = _pattern(_ranges("L"), _ranges("N"))
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -63,8 +81,8 @@ class Codec:
         spec = json.loads(source)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = regex.compile(PATTERN)
-        self.later = regex.compile(r"[^\x00-\u052f]")
+        self.words = re.compile(PATTERN)
+        self.later = re.compile(rf"[^\x00-\u{LAST:04x}]")
         shown = _byte_codes()
         code = {c: b for b, c in shown.items()}
         self.shown = str.maketrans({chr(b): c for b, c in shown.items()})
