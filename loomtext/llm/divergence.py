@@ -1,7 +1,8 @@
 """Audit of how the sources of each language differ in their words.
 
-Terms are counted by (language, source, term); each language keeps the terms that
-enough of its documents hold. A kept term becomes one wide row, an array of counts
+Terms are found on the bytes of slices of texts, which are counted there, and then
+summed by (language, source, term); each language keeps the terms that enough of its
+documents hold. A kept term becomes one wide row, an array of counts
 with a place for each source of the language; higher-order functions turn the
 counts to smoothed shares and emit, for each pair of sources, the term's share of
 their divergence, which is summed map-side. So a term's row is as long as its
@@ -21,11 +22,14 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.symbols import let
-from ._shared import stored, table
+from ._shared import _LOWER, slices, small_batches, stored, table
 
 #: Documents of a language that must hold a term, ranks of terms that are reported.
 LEAST, TOP = 10, 10
@@ -34,23 +38,58 @@ SCALE = 1_000_000_000
 _BY, _AND = 32_000, 31_250
 #: Most (language, source) groups whose totals are broadcast; more are joined by shuffle.
 BROADCAST_GROUPS = 100_000
-_BREAK = "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-
-
-def terms(text: Column) -> Column:
-    """All terms of a text, with repeats, each with whether it is the first of
-    its kind there; A-Z in lower case."""
-    is_ascii = lambda t: F.octet_length(t) == F.length(t)
-    # lower() is for all letters, so what has others than ASCII takes a longer way
-    low = lambda t: F.when(is_ascii(t), F.lower(t)).otherwise(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    found = F.sort_array(F.when(is_ascii(text), F.split(F.lower(text), _BREAK)).otherwise(F.transform(F.split(text, _BREAK), low)))
-    return let(found, lambda a: F.transform(a, lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get(a, i - 1) == t), 0).otherwise(1).alias("first"))))
+#: Bytes of a term: letters, and what is beyond ASCII.
+_TERM = np.array([k > 127 or chr(k).isalpha() for k in range(256)])
+
+
+def terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms of the texts, with repeats and in order, and the text that each
+    is of; A-Z in lower case. Works on the UTF-8 bytes of the whole array."""
+    texts = texts.cast(pa.large_binary())
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    inside = _TERM[raw]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edge = (offsets[1:-1] - offsets[0])[offsets[1:-1] < offsets[-1]]
+    first[edge] = inside[edge]
+    at = np.flatnonzero(first)
+    kept = np.cumsum(inside)
+    starts = np.append(kept[at] - 1, kept[-1] if len(kept) else 0)
+    # the terms' bytes, one term behind the other
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(_LOWER[raw[inside]])])
+    return found, np.searchsorted(offsets - offsets[0], at, side="right") - 1
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, source, term, n, docs`` of each slice of a batch."""
+    for batch in slices(batches, "text"):
+        found, text = terms(batch.column("text"))
+        names = pa.StructArray.from_arrays([batch.column("lang"), batch.column("source")], names=["lang", "source"])
+        number: dict[tuple, int] = {}
+        group = np.array([number.setdefault((x["lang"], x["source"]), len(number)) for x in names.to_pylist()], np.int64)
+        coded = found.dictionary_encode()
+        code, kinds = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        if not kinds:
+            continue
+        # each term of a text with its occurrences there, then of a group
+        each, n = np.unique(text * kinds + code, return_counts=True)
+        key, place = np.unique(group[each // kinds] * kinds + each % kinds, return_inverse=True)
+        langs, sources = (pa.array([x[i] for x in number], pa.string()) for i in (0, 1))
+        of = pa.array(key // kinds)
+        yield pa.RecordBatch.from_arrays(
+            [langs.take(of), sources.take(of), coded.dictionary.take(pa.array(key % kinds)).cast(pa.binary()).cast(pa.string()), pa.array(np.bincount(place, n).astype(np.int64)), pa.array(np.bincount(place).astype(np.int64))],
+            names=["lang", "source", "term", "n", "docs"],
+        )
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences and documents with the term."""
-    each = docs.select("lang", "source", F.explode(terms(F.col("text"))).alias("x")).where("x.term <> ''")
-    return each.groupBy("lang", "source", "x.term").agg(F.count("*").alias("n"), F.sum("x.first").alias("docs"))
+    """``lang, source, term, n, docs``: occurrences and documents with the term.
+    Tasks give the sums of their slices of texts, which Spark adds up by term."""
+    small_batches(docs.sparkSession)
+    each = docs.select("lang", "source", "text").mapInArrow(_counted, "lang string, source string, term string, n bigint, docs bigint")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:

@@ -4,9 +4,11 @@ import hashlib
 import itertools
 import os
 import random
+import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +170,15 @@ def test_filter_audit_against_brute_force(spark):
 
 
 # Source divergence.
+def test_terms_of_whole_arrays():
+    texts = ["Ab1cD d-ab", "", None, "x", "x y", "99 _", "É\x85éÀa\u3000b\x7f\x1cZ", "tail", "tail"]
+    array = pa.array(["skipped", *[t or "" for t in texts]]).slice(1)
+    found, text = divergence.terms(array)
+    want = [(k, re.sub("[A-Z]", lambda m: m[0].lower(), t)) for k, x in enumerate(texts) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", x or "")]
+    assert list(zip(text.tolist(), [t.decode() for t in found.to_pylist()])) == want
+    assert [len(x) for x in divergence.terms(pa.array([], pa.string()))] == [0, 0] == [len(x) for x in divergence.terms(pa.array(["", "1"]))]
+
+
 
 
 def test_divergence_small_cases(spark):
