@@ -52,7 +52,9 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import done_with
 from ._shared import BROADCAST_IDS, NOT_WORD, by_groups, measured, mix, shingles, slices, small_batches, stored, table, thinned, word_hashes
+from .suffixlevels import freeing
 
 WORDS, WIDTH, SIMILARITY = 50, 5, 0.8
 LEAST = WORDS - WIDTH + 1
@@ -460,7 +462,8 @@ def _versions(docs: DataFrame, name: str = "ver") -> DataFrame:
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """``doc_id, ver, source_id, start_word, end_word`` of ``docs(doc_id, ver, text)``."""
+    """``doc_id, ver, source_id, start_word, end_word`` of ``docs(doc_id, ver, text)``.
+    Called where shuffle files of a table go once it is written (``freeing``)."""
     windows = stored(_windows(docs), "windows")
     first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "ver", "at")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first.doc_id < last")
     # stored, so that a hot key's side of the join below is a plain shuffle, which adaptive execution can split
@@ -473,6 +476,8 @@ def _found(docs: DataFrame) -> DataFrame:
         .select("doc_id", "ver", "source_id", "source_ver", F.col("x.at").alias("here"), F.col("x.there").alias("there"), F.col("x.key").alias("keys"))
     )
     pairs = stored(pairs, "pairs")
+    for table_ in (windows, first):
+        done_with(table_)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -487,6 +492,7 @@ def _found(docs: DataFrame) -> DataFrame:
     cut = cut.mapInArrow(_cut, "doc_id bigint, ver int, source_id bigint, here array<int>, there array<int>, keys array<bigint>, other binary")
     both = cut.join(shingled, ["doc_id", "ver"])
     seen = stored(by_groups(both, ["doc_id", "ver"], _verified, _RANGE + ", key bigint, at int, mark bigint, left binary", together=TOGETHER), "seen")
+    done_with(pairs)
 
     # windows whose minimum isn't found, and the first of each surroundings in smaller documents
     rest = seen.where("at is not null").select("key", "doc_id", "ver", "at", "mark", "left")
@@ -510,7 +516,7 @@ def passages(docs: DataFrame) -> DataFrame:
     beyond ASCII, counted from 0."""
     small_batches(docs.sparkSession)
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    with measured(docs.sparkSession):
+    with measured(docs.sparkSession), freeing(docs.sparkSession):
         return _found(_versions(docs)).drop("ver")
 
 
@@ -543,7 +549,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     ver, cuts = (next(f"{x}{k}" for k in range(len(names) + 1) if f"{x}{k}" not in names and f"{x}{k}id" not in names) for x in ("ver", "cuts"))
     marked = _versions(docs, ver)
     narrow = marked.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(ver).alias("ver"), F.col("text").cast("string").alias("text"))
-    with measured(spark):
+    with measured(spark), freeing(spark):
         spans = stored(_found(narrow), "spans")
     spans = stored(spans.groupBy("doc_id", F.col("ver").alias(ver)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(cuts)), "spans")
     ids = stored(spans.select("doc_id").distinct(), "ids")

@@ -80,6 +80,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def done_with(df: DataFrame) -> None:
+    """Remove the files of a ``stored`` table that nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _remove(weakref.ref(df.sparkSession), path)
+
+
 def bucketed(df: DataFrame, tag: str, buckets: int, column: str) -> DataFrame:
     """``stored``, but bucketed by ``column``, so that joins and groups by it
     need no shuffle of this side. The catalogue knows the table only while it is

@@ -1,6 +1,7 @@
 """Near duplicates, passages, embeddings, decontamination, WARC, components."""
 
 import itertools
+import pathlib
 import random
 
 import duckdb
@@ -343,6 +344,17 @@ def places_by_hand(rows):
     return out
 
 
+def test_passages_leave_no_windows_behind(spark):
+    from loomtext.sources.scratch import work_dir
+
+    there = lambda: {p.name for p in pathlib.Path(work_dir(spark).removeprefix("file://")).iterdir()}
+    before = there()
+    text = " ".join(words(random.Random(5), 90))
+    assert substrings.passages(docs(spark, [(1, text), (2, text)])).count() == 1
+    new = {x.rsplit("-", 5)[0] for x in there() - before}
+    assert "seen" in new and not new & {"windows", "first", "pairs"}, new
+
+
 def test_passages_by_hand(spark):
     rng = random.Random(21)
     sources = [words(rng, 70) for _ in range(6)]
