@@ -43,7 +43,9 @@ columns are left alone, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,8 @@ LEAST = WORDS - WIDTH + 1
 HASHES = 3
 #: Documents are verified together until they hold so many rows or bytes.
 TOGETHER = 64, 4 << 20
+#: Minima are compared again together until their windows are so many rows or bytes.
+MINIMA = 4096, 2 << 20
 #: Places around a minimum that stretches with it can reach.
 SPAN = 2 * LEAST - 1
 #: Shingles of a stretch that must agree: m / (2 LEAST - m) >= SIMILARITY.
@@ -162,12 +166,21 @@ def _around(flat: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
     return flat[np.clip(place, 0, len(flat) - 1)], ok
 
 
-def _sums(x: np.ndarray, axis: int) -> np.ndarray:
-    """Sums of LEAST following entries along ``axis``."""
-    total = np.cumsum(x, axis=axis, dtype=np.int16)
-    total = np.concatenate([np.zeros_like(np.take(total, [0], axis)), total], axis=axis)
-    n = total.shape[axis]
-    return np.take(total, range(LEAST, n), axis) - np.take(total, range(n - LEAST), axis)
+def _sums(x: np.ndarray, axis: int, n: int = LEAST) -> np.ndarray:
+    """Sums of ``n`` (at most 255) following entries along ``axis`` of booleans,
+    put together from sums of 1, 2, 4, ... entries. These are taken of the whole
+    array as one row; where they run over an end of ``axis`` they are left out."""
+    power, step, width, at = np.ascontiguousarray(x).view(np.uint8).ravel(), int(np.prod(x.shape[axis + 1 :])), 1, 0
+    total, size = np.zeros(x.size, np.uint8), max(0, x.size - (n - 1) * step)
+    out = total[:size]
+    while width <= n:
+        if n & width:
+            out += power[at * step : at * step + size]
+            at += width
+        width *= 2
+        if width <= n:
+            power = power[: len(power) - width // 2 * step] + power[width // 2 * step :]
+    return total.reshape(x.shape)[(slice(None),) * axis + (slice(0, max(0, x.shape[axis] - n + 1)),)]
 
 
 def _reach(shared: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -193,20 +206,30 @@ def aligned(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray, ne
     return out
 
 
-def unaligned(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray, needed: int = NEEDED) -> np.ndarray:
+def unaligned(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray, needed: int = NEEDED, wanted: np.ndarray | None = None) -> np.ndarray:
     """(n, SPAN): repeated places of ``a`` in ``b``, any stretch of one against
-    any of the other."""
+    any of the other. With ``wanted`` places of ``a``, none where none of these
+    lies in a stretch that is a near duplicate; that enough of ``a`` stands in
+    ``b`` is known then."""
     out = np.zeros(a.shape, bool)
-    for k in range(0, len(a), 64):
-        part = slice(k, k + 64)
-        match = (a[part][:, :, None] == b[part][:, None, :]) & in_a[part][:, :, None] & in_b[part][:, None, :]
-        some = np.flatnonzero((match.any(2).sum(1) >= needed) & (match.any(1).sum(1) >= needed))
+    for k in range(0, len(a), 32):
+        part = slice(k, k + 32)
+        match = a[part][:, :, None] == b[part][:, None, :]
+        for ok in (in_a[part][:, :, None], in_b[part][:, None, :]):
+            if not ok.all():
+                match &= ok
+        some = match.any(1).sum(1) >= needed
+        if wanted is None:
+            some &= match.any(2).sum(1) >= needed
+        some = np.flatnonzero(some)
         if not len(some):
             continue
         match = match[some]
         there, here = _sums(match, 2) > 0, _sums(match, 1) > 0  # (place, stretch of b), (stretch of a, place)
         good = (_sums(there, 1) >= needed) & (_sums(here, 2) >= needed)
         good &= (_sums(in_a[part][some], 1) == LEAST)[:, :, None] & (_sums(in_b[part][some], 1) == LEAST)[:, None, :]
+        if wanted is not None:
+            good &= (good.any(2) & (_sums(wanted[part][some], 1) > 0)).any(1)[:, None, None]
         # stretches of b that share the same places of a and are near the same stretches of it count once
         new = good.any(1)
         new[:, 1:] &= (there[:, :, 1:] != there[:, :, :-1]).any(1) | (good[:, :, 1:] != good[:, :, :-1]).any(1)
@@ -218,19 +241,30 @@ def unaligned(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray,
     return out
 
 
-def _stretches(there: np.ndarray) -> list[tuple[int, int]]:
-    """The places of a source that windows with these minima can reach."""
-    return _merged(np.maximum(there - LEAST + 1, 0), there + LEAST)
+def _stretches(there: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The places of sources that windows with these minima can reach, ``of``
+    telling, ascending, whose each is: source, first place and end of each
+    stretch; and in which stretch each minimum is."""
+    order = np.lexsort((there, of))
+    at, of = there[order], of[order]
+    new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (np.maximum(at[1:] - LEAST + 1, 0) > at[:-1] + LEAST)])
+    stretch = np.empty(len(at), np.int64)
+    stretch[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(at)]))
+    return of[new], np.maximum(at[new] - LEAST + 1, 0), at[np.r_[new[1:] - 1, len(at) - 1]] + LEAST, stretch
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stretches of a source's shingles that a pair needs."""
     names = ["doc_id", "ver", "source_id", "here", "there", "keys"]
     for batch in batches:
-        parts = []
-        for there, raw in zip(batch.column("there"), batch.column("shingles").to_pylist()):
-            s = np.frombuffer(raw, np.uint32)
-            parts.append(b"".join(s[i:j].tobytes() for i, j in _stretches(there.values.to_numpy().astype(np.int64))))
+        if not batch.num_rows:
+            continue
+        size = batch.column("there").value_lengths().to_numpy()
+        of, begin, end, _ = _stretches(batch.column("there").flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(size)), size))
+        cuts, parts = np.searchsorted(of, np.arange(len(size) + 1)).tolist(), []
+        begin, end = (4 * begin).tolist(), (4 * end).tolist()
+        for k, raw in enumerate(batch.column("shingles").to_pylist()):
+            parts.append(b"".join([raw[begin[i] : end[i]] for i in range(cuts[k], cuts[k + 1])]))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(parts, pa.binary())], names=[*names, "other"])
 
 
@@ -254,20 +288,15 @@ def _verified(group: pa.Table) -> pa.Table | None:
     text_of, of = np.repeat(text_of, size), np.repeat(group.column("source_id").to_numpy(), size)
     here, at, key = lists["here"].flatten().to_numpy() + base[text_of], lists["there"].flatten().to_numpy().astype(np.int64), lists["keys"].flatten()
     # the stretches of all sources, one after the other, and the windows' places in them
-    there, lo, hi = np.empty(len(at), np.int64), np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-    flat, begin, i = [], 0, 0
-    for n, raw in zip(size.tolist(), group.column("other").to_pylist()):
-        other, own_at = np.frombuffer(raw, np.uint32), at[i : i + n]
-        parts = np.array(_stretches(own_at), np.int64)
-        end = np.cumsum(parts[:, 1] - parts[:, 0])
-        where = end - (parts[:, 1] - parts[:, 0])
-        stretch = np.searchsorted(parts[:, 0], own_at, side="right") - 1
-        there[i : i + n] = begin + where[stretch] + own_at - parts[stretch, 0]
-        lo[i : i + n] = begin + where[stretch]
-        hi[i : i + n] = begin + np.minimum(end[stretch], len(other))
-        flat.append(other)
-        begin, i = begin + len(other), i + n
-    flat = np.concatenate(flat)
+    row = np.repeat(np.arange(len(size)), size)
+    raw = group.column("other").to_pylist()
+    flat, begins = np.frombuffer(b"".join(raw), np.uint32), np.cumsum([0, *map(len, raw)]) // 4
+    of_part, start, end, stretch = _stretches(at, row)
+    length = end - start
+    where = np.cumsum(length) - length
+    where += (begins[:-1] - where[np.searchsorted(of_part, np.arange(len(size)))])[of_part]  # in ``flat``
+    lo = where[stretch]
+    there, hi = lo + at - start[stretch], np.minimum(lo + length[stretch], begins[row + 1])
     reach = np.arange(1 - LEAST, LEAST)
     first, last = np.maximum(here - LEAST + 1, base[text_of]), np.minimum(here + LEAST, base[text_of + 1])
     # first a few windows, as one finds the places of its neighbours too
@@ -316,113 +345,176 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    size = np.array([len(x) for x in parts])
-    ok = np.arange(SPAN) < size[:, None]
-    out = np.zeros((len(parts), SPAN), np.uint32)
-    out[ok] = np.concatenate(parts)
-    return out, ok
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of ranges, one after the other."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + size, size)
 
 
-def rejoined(docs: np.ndarray, los: list[int], lefts: list[bytes | None], around: list[np.ndarray], needed: int = NEEDED) -> list[tuple[int, int, int, int]]:
-    """``window, source_id, a, b`` of the places of ``lefts`` (windows of one
-    minimum; those of None are sources) that are repeated in a source of a
-    smaller document."""
-    order = sorted((k for k in range(len(docs)) if lefts[k] is None), key=lambda k: docs[k])
-    goals = [k for k in range(len(docs)) if lefts[k] is not None]
-    if not order or not goals:
+def _padded(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, SPAN) entries of ``flat`` from ``start`` on, and which are there."""
+    place = np.arange(SPAN)
+    ok = place < size[:, None]
+    return flat[np.minimum(start[:, None] + place, len(flat) - 1)], ok
+
+
+def _reached(shared: np.ndarray, size: np.ndarray, needed: int) -> np.ndarray:
+    """Which places (columns) lie in a stretch of LEAST, of ``size`` places,
+    with ``needed`` shared."""
+    good = (_sums(shared, 1) >= needed) & (np.arange(LEAST, SPAN + 1) <= size[:, None])
+    wide = np.zeros((len(shared), SPAN + LEAST - 1), bool)
+    wide[:, LEAST - 1 : SPAN] = good
+    return _sums(wide, 1) > 0
+
+
+@dataclass
+class _Goal:
+    """A window that is compared again: its ``open`` places, the sources to come,
+    those at hand with the places they reach, and which of these are to be tried."""
+
+    window: int
+    open: np.ndarray
+    more: Iterator[tuple[np.ndarray, np.ndarray]]
+    part: np.ndarray | None = None
+    reach: np.ndarray | None = None
+    todo: np.ndarray | tuple = ()
+    batch: int = 1
+
+
+def rejoined(key: np.ndarray, docs: np.ndarray, los: np.ndarray, goal: np.ndarray, flat: np.ndarray, ends: np.ndarray, left: np.ndarray, needed: int = NEEDED) -> list[tuple[int, int, int, int]]:
+    """``window, source_id, a, b`` of the places that are repeated in a source
+    of a smaller document and the same ``key``. Windows lie by key; those that are
+    no ``goal`` are sources. ``flat`` has the shingles around each window, up to
+    ``ends``, and ``left`` the wanted places of these."""
+    sizes = np.diff(ends, prepend=0)
+    begins = ends - sizes
+    number_of = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+    _, rank = np.unique(docs, return_inverse=True)
+    rank = number_of * (len(docs) + 1) + rank
+    order, goals = np.flatnonzero(~goal), np.flatnonzero(goal)
+    order = order[np.argsort(rank[order], kind="stable")]
+    if not len(order) or not len(goals):
         return []
-    lengths = np.array([len(around[k]) for k in order])
-    both = np.repeat(np.arange(len(order), dtype=np.uint64) << np.uint64(32), lengths) | np.concatenate([around[k] for k in order])
-    both = np.unique(both)  # the distinct shingles of each source
-    starts = np.searchsorted(both, np.arange(len(order) + 1, dtype=np.uint64) << np.uint64(32))
-    value = both.astype(np.uint32)
+    high = np.uint64(32)
+    both = np.repeat(np.arange(len(order), dtype=np.uint64) << high, sizes[order]) | flat[_ranges(begins[order], sizes[order])]
+    both.sort()
+    both = both[np.r_[True, both[1:] != both[:-1]]]  # the distinct shingles of each source
+    starts = np.searchsorted(both, np.arange(len(order) + 1, dtype=np.uint64) << high)
+    source_of = (both >> high).astype(np.int32)
+    value = (number_of[order].astype(np.uint64) << high)[source_of] | both.astype(np.uint32)
     by_value = np.argsort(value, kind="stable")
-    shingle, first, count = np.unique(value[by_value], return_index=True, return_counts=True)
-    owner = np.repeat(np.arange(len(order)), np.diff(starts))[by_value]
-    number = np.empty(len(value), np.int64)
-    number[by_value] = np.repeat(np.arange(len(shingle)), count)
-    column = np.zeros(len(shingle), np.int64)
-
-    # places not found whose shingles stand in a smaller document; no others can be a repeated place's end
-    smaller = np.searchsorted(docs[order], docs[goals], side="left")
-    sizes = np.array([len(around[y]) for y in goals])
-    flat = np.concatenate([around[y] for y in goals])
-    at = np.minimum(np.searchsorted(shingle, flat), len(shingle) - 1)
-    there = (shingle[at] == flat) & (owner[first[at]] < np.repeat(smaller, sizes))
-    lefts_there = there & np.concatenate([np.unpackbits(np.frombuffer(lefts[y], np.uint8), count=len(around[y])) for y in goals]).astype(bool)
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-
-    def reached(shared: np.ndarray) -> np.ndarray:
-        """Which places (columns) lie in a stretch of LEAST with ``needed`` shared."""
-        total = np.zeros((len(shared), shared.shape[1] + 1), np.int16)
-        np.cumsum(shared, axis=1, out=total[:, 1:])
-        good = np.zeros((len(shared), shared.shape[1] - LEAST + 2), np.int16)
-        np.cumsum(total[:, LEAST:] - total[:, :-LEAST] >= needed, axis=1, out=good[:, 1:])
-        p = np.arange(shared.shape[1])
-        return good[:, np.minimum(p, shared.shape[1] - LEAST) + 1] > good[:, np.maximum(p - LEAST + 1, 0)]
-
+    value = value[by_value]
+    new = np.r_[True, value[1:] != value[:-1]]
+    shingle, first = value[new], np.flatnonzero(new)
+    count = np.diff(first, append=len(value))
+    owner = source_of[by_value]
+    number = np.empty(len(value), np.int32)
+    number[by_value] = np.cumsum(new, dtype=np.int32) - 1
+
+    # places whose shingles stand in a smaller document; no others can be a repeated place's end
+    smaller = np.searchsorted(rank[order], rank[goals], side="left")
+    lowest = np.searchsorted(rank[order], number_of[goals] * (len(docs) + 1), side="left")  # the key's first source
     # most goals end here: too little around them stands in smaller documents at all
     live = []
-    for a in range(0, len(goals), 4096):
-        size = sizes[a : a + 4096]
-        inside = np.arange(max(SPAN, size.max())) < size[:, None]
-        whole, wanted = np.zeros(inside.shape, bool), np.zeros(inside.shape, bool)
-        whole[inside], wanted[inside] = (x[begins[a] : begins[a] + size.sum()] for x in (there, lefts_there))
-        live.append(a + np.flatnonzero((wanted & reached(whole)).any(1) & (size >= LEAST)))
-
-    out = []
-    for k in np.concatenate(live):
-        y, i, j = goals[k], begins[k], begins[k + 1]
-        s, ids, known = around[y], at[i:j], there[i:j]
-        left = lefts_there[i:j] & reached(known[None])[0]
-        if not left.any():
-            continue
-        # of a stretch's known places so many, the rarest, can't all be missing; a
-        # shingle that stands in it repeatedly counts at each of its places
-        cost = np.where(known, count[ids], len(value) + 1)
-        enough = sliding_window_view(known, LEAST).sum(1)
-        some = np.flatnonzero((enough >= needed) & sliding_window_view(left, LEAST).any(1))
-        order_in = np.argsort(sliding_window_view(cost, LEAST)[some], axis=1, kind="stable")[:, : LEAST - needed + 1]
-        rare = np.unique(ids[(some[:, None] + order_in)[np.arange(LEAST - needed + 1) < (enough[some] - needed + 1)[:, None]]])
-        own, place = np.unique(ids[known], return_inverse=True)
-        through = min(rare, np.unique(ids[left]), key=lambda x: count[x].sum())
-        maybe = np.unique(np.concatenate([owner[a : a + c] for a, c in zip(first[through], count[through])]))
-        maybe = maybe[maybe < smaller[k]]
-        column[own] = np.arange(1, len(own) + 1)
-        for part in np.split(maybe, range(1024, len(maybe), 1024)):
-            if not len(part) or not left.any():
-                break
+    for a in range(0, len(goals), 1024):
+        y = goals[a : a + 1024]
+        size, place = sizes[y], _ranges(begins[y], sizes[y])
+        wanted = flat[place] | np.repeat(number_of[y].astype(np.uint64) << high, size)
+        at = np.minimum(np.searchsorted(shingle, wanted), len(shingle) - 1)
+        there = (shingle[at] == wanted) & (owner[first[at]] < np.repeat(smaller[a : a + 1024], size))
+        inside = np.arange(SPAN) < size[:, None]
+        known, ids, open_ = np.zeros(inside.shape, bool), np.zeros(inside.shape, np.int32), np.zeros(inside.shape, bool)
+        known[inside], ids[inside], open_[inside] = there, at, there & left[place]
+        open_ &= _reached(known, size, needed)
+        live += [(a + int(k), known[k], ids[k], open_[k]) for k in np.flatnonzero(open_.any(1))]
+
+    column, mark = np.zeros(len(shingle), np.uint8), np.zeros(len(order), bool)
+
+    def candidates(k: int, known: np.ndarray, ids: np.ndarray, open_: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The sources that share enough places with a goal, in their order, and
+        which; 1,024 sources are looked at at a time while a place is open."""
+        own, place, times = np.unique(ids[known], return_inverse=True, return_counts=True)
+        through = np.unique(ids[open_])
+        if count[through].sum() > 512:
+            # of a stretch's known places so many, the rarest, can't all be missing; a
+            # shingle that stands in it repeatedly counts at each of its places
+            cost = np.where(known, count[ids], len(value) + 1)
+            enough, some = _sums(np.stack([known, open_]), 1).astype(np.int64)
+            some = np.flatnonzero((enough >= needed) & (some > 0))
+            order_in = np.argsort(sliding_window_view(cost, LEAST)[some], axis=1, kind="stable")[:, : LEAST - needed + 1]
+            rare = np.unique(ids[(some[:, None] + order_in)[np.arange(LEAST - needed + 1) < (enough[some] - needed + 1)[:, None]]])
+            through = min(rare, through, key=lambda x: count[x].sum())
+        found = owner[_ranges(first[through], count[through])]
+        mark[found] = True
+        maybe = lowest[k] + np.flatnonzero(mark[lowest[k] : smaller[k]])
+        mark[found] = False
+        cell, weight = np.zeros(SPAN, np.int64), np.concatenate([[0], times])
+        cell[known] = place + 1
+        for a in range(0, len(maybe), 1024):
+            if not open_.any():
+                return
+            part = maybe[a : a + 1024]
             size = starts[part + 1] - starts[part]
-            end = np.cumsum(size)
-            cells = column[number[np.arange(end[-1]) + np.repeat(starts[part] - end + size, size)]]
-            has = np.zeros((len(part), len(own) + 1), bool)
-            has[np.repeat(np.arange(len(part)), size), cells] = True
-            shared = np.zeros((len(part), len(s)), bool)
-            shared[:, known] = has[:, place + 1]
-            reach = shared & reached(shared)
-            todo, batch = np.ones(len(part), bool), 1
-            while left.any():
-                todo &= reach[:, left].any(axis=1)
-                turn = np.flatnonzero(todo)[:batch]
-                if not len(turn):
-                    break
-                todo[turn], batch = False, min(32, 4 * batch)
-                few = part[turn]
-                mine = [s] * len(few)
-                hits = unaligned(*_padded(mine), *_padded([around[order[x]] for x in few]), needed=needed)[:, : len(s)]
-                for x, hit in zip(few, hits):
-                    if (hit & left).any():
-                        edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
-                        out += [(int(y), int(docs[order[x]]), los[y] + int(a), los[y] + int(b)) for a, b in zip(edge[::2], edge[1::2])]
-                        left &= ~hit
-        column[own] = 0
-    return out
+            column[own] = np.arange(1, len(own) + 1)
+            cells = column[number[_ranges(starts[part], size)]]
+            column[own] = 0
+            shares = np.flatnonzero(cells)
+            row, cells = np.repeat(np.arange(len(part)), size)[shares], cells[shares]
+            enough = np.bincount(row, weights=weight[cells], minlength=len(part)) >= needed
+            keep = enough[row]
+            has = np.zeros((int(enough.sum()), len(own) + 1), bool)
+            has[(np.cumsum(enough) - 1)[row[keep]], cells[keep]] = True
+            yield part[enough], has[:, cell]
+
+    out, waiting, active = [], iter(live), []
+    while True:
+        # some goals at a time, each with its sources in their order
+        for k, known, ids, open_ in itertools.islice(waiting, 32 - len(active)):
+            active.append(_Goal(goals[k], open_, candidates(k, known, ids, open_)))
+        if not active:
+            return out
+        fresh = [x for x in active if not len(x.todo)]
+        for x in fresh:
+            x.part, x.reach = next(x.more, (None, None))
+        active, fresh = ([x for x in y if x.part is not None] for y in (active, fresh))
+        if fresh:
+            shared = np.concatenate([x.reach for x in fresh])
+            shared &= _reached(shared, np.repeat(sizes[[x.window for x in fresh]], [len(x.part) for x in fresh]), needed)
+            for x, reach in zip(fresh, np.split(shared, np.cumsum([len(x.part) for x in fresh])[:-1])):
+                x.reach, x.todo, x.batch = reach, np.flatnonzero((reach & x.open).any(1)), 1
+        turns = [x for x in active if len(x.todo)]
+        if not turns:
+            continue
+        few = [x.part[x.todo[: x.batch]] for x in turns]
+        n = [len(f) for f in few]
+        y, theirs = np.repeat([x.window for x in turns], n), order[np.concatenate(few)]
+        hits = unaligned(*_padded(flat, begins[y], sizes[y]), *_padded(flat, begins[theirs], sizes[theirs]), needed=needed, wanted=np.repeat([x.open for x in turns], n, axis=0))
+        useful, i = hits.any(1), 0
+        for x, m in zip(turns, n):
+            x.todo, x.batch = x.todo[m:], min(32, 4 * x.batch)
+            for h in i + np.flatnonzero(useful[i : i + m]):
+                if (hits[h] & x.open).any():
+                    edge = np.flatnonzero(np.diff(np.r_[0, hits[h].astype(np.int8), 0]))
+                    out += [(int(x.window), int(docs[theirs[h]]), int(los[x.window] + a), int(los[x.window] + b)) for a, b in zip(edge[::2], edge[1::2])]
+                    x.open &= ~hits[h]
+            if useful[i : i + m].any():
+                x.todo = x.todo[(x.reach[x.todo] & x.open).any(1)]
+            i += m
 
 
 def _rejoined(group: pa.Table) -> pa.Table | None:
-    docs = group.column("doc_id").to_numpy()
-    found = rejoined(docs, group.column("lo").to_pylist(), group.column("left").to_pylist(), [np.frombuffer(x, np.uint32) for x in group.column("around").to_pylist()])
+    docs, left = group.column("doc_id").to_numpy(), group.column("left").combine_chunks()
+    goal = left.is_valid().to_numpy(zero_copy_only=False)
+    around = group.column("around").to_pylist()
+    sizes = np.array([len(x) // 4 for x in around])
+    wanted = np.zeros(sizes.sum(), bool)
+    bits = [x for x in left.to_pylist() if x is not None]
+    if not bits or len(bits) == len(goal):
+        return None
+    held = np.array([8 * len(x) for x in bits])
+    ends = np.cumsum(sizes)
+    wanted[_ranges((ends - sizes)[goal], sizes[goal])] = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8))[_ranges(np.cumsum(held) - held, sizes[goal])]
+    found = rejoined(group.column("key").to_numpy(), docs, group.column("lo").to_numpy(), goal, np.frombuffer(b"".join(around), np.uint32), ends, wanted)
     if not found:
         return None
     window, source, a, b = (np.array(x, np.int64) for x in zip(*found))
@@ -505,7 +597,7 @@ def _found(docs: DataFrame) -> DataFrame:
     need = stored(need.groupBy("doc_id", "ver").agg(F.collect_list(F.struct("key", "at", "left")).alias("windows")), "need")  # at most twice the windows of one document
     # planned by the caller: not broadcast by the size of its file
     around = need.hint("merge").join(shingled, ["doc_id", "ver"]).mapInArrow(_surroundings, "key bigint, doc_id bigint, ver int, lo bigint, left binary, around binary")
-    more = by_groups(around, ["key"], _rejoined, _RANGE)
+    more = by_groups(around, ["key"], _rejoined, _RANGE, together=MINIMA)
     ranges = seen.where("at is null").select("doc_id", "ver", "source_id", "a", "b").unionByName(more)
     return by_groups(ranges, ["doc_id", "ver"], _spans, "doc_id bigint, ver int, source_id bigint, start_word bigint, end_word bigint")
 

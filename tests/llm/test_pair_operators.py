@@ -423,6 +423,25 @@ def test_passages_odd(spark):
     assert substrings.cut_words("Ab, cd. Ef!", [(1, 2)]) == "Ab, Ef!" and substrings.cut_words("a b", [(0, 2)]) == ""
 
 
+def test_windows_of_many_minima_are_compared_again_together(monkeypatch):
+    n, span, calls = 200, substrings.SPAN, []
+    rng = np.random.default_rng(7)
+    near = rng.integers(1, 1 << 32, (n, span), dtype=np.uint32)
+    near[:, substrings.LEAST - 1] = 5
+    near[:, 3:20] = near[0, 3:20]  # what all have
+    far = near.copy()
+    far[::2, 60] = 6  # of some goals a place is another
+    every = np.packbits(np.ones(span, bool)).tobytes()
+    rows = [(4, i, None, near[i]) for i in range(n)] + [(4, 1000 + i, every, far[i]) for i in range(n)]
+    rows += [(9, 0, None, near[0])] + [(9, 1000 + i, every, far[i]) for i in range(1, n)]  # no source of these has this minimum
+    whole = substrings.unaligned
+    monkeypatch.setattr(substrings, "unaligned", lambda *a, **k: calls.append(len(a[0])) or whole(*a, **k))
+    group = pa.table({"key": [r[0] for r in rows], "doc_id": [r[1] for r in rows], "ver": pa.array([0] * len(rows), pa.int32()), "lo": [0] * len(rows), "left": pa.array([r[2] for r in rows], pa.binary()), "around": pa.array([r[3].tobytes() for r in rows], pa.binary())})
+    found = substrings._rejoined(group).to_pylist()
+    assert sorted((r["doc_id"], r["source_id"], r["a"], r["b"]) for r in found) == [(1000 + i, i, 0, span) for i in range(n)]
+    assert sum(calls) >= n > 4 * len(calls)  # a call for each goal before
+
+
 # embeddings -----------------------------------------------------------------------
 @pytest.mark.parametrize("cell,tile", [(2000, 1500), (20, 15)])
 def test_range_join(spark, monkeypatch, cell, tile):
